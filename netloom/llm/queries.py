@@ -21,7 +21,7 @@ WITH RECURSIVE w AS (
   FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
   FROM w
 ), n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s
 ), e AS (SELECT doc_id, md5_number_lower(x) AS h FROM (SELECT doc_id, unnest(s) AS x FROM s)
