@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
 FALLBACK_DIR = "/tmp/checkpoints"
@@ -42,6 +43,12 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in mine])
 
 
+def widened(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of ``df`` with further columns (name and simple type)."""
+    more = ", ".join(f"{name} {kind}" for name, kind in kinds.items())
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``links`` (a, b).
 

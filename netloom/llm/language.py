@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import fresh, small_batches
+from netloom.llm.common import fresh, small_batches, widened
 from netloom.llm.words import chunks, mix
 
 BUCKETS = 1 << 15
@@ -152,4 +152,4 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             langs, scores = shared.value.score(batch.column(where))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(run, widened(docs, lang_pred="string", score="double"))

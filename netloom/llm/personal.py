@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import saved, small_batches
@@ -203,11 +203,11 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     hits = open_.select("doc_id", "u.start", "u.end", "u.instance", F.explode("u.patterns").alias("pattern")).join(rules, "pattern")
     hits = hits.select("doc_id", "instance", "start", "end").distinct()
     # a row takes the hits of its id that are among its own candidates
-    gathered = hits.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "instance")).alias("hits"))
+    gathered = hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set(F.struct("start", "end", "instance")).alias("hits"))
     at = F.expr("filter(uses, u -> u.kind IS NULL AND array_contains(hits, named_struct('start', u.start, 'end', u.end, 'instance', u.instance)))")
     extra = F.transform(at, lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end"), F.lit(FOUND).alias("kind")))
-    return made.join(gathered, made["doc_id"].eqNullSafe(gathered["doc_id"]), "left").select(
-        made["doc_id"], "base", F.coalesce(extra, F.array().cast("array<struct<start:int,end:int,kind:string>>")).alias("extra")
+    return made.join(gathered, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(
+        "doc_id", "base", F.coalesce(extra, F.array().cast("array<struct<start:int,end:int,kind:string>>")).alias("extra")
     )
 
 
@@ -215,7 +215,7 @@ def digest(spans: DataFrame) -> DataFrame:
     """The query's columns from those of ``found``."""
     kinds = F.array(*[F.lit(k) for k in (*KINDS, FOUND)])
 
-    def text(column: str) -> F.Column:
+    def text(column: str) -> Column:
         ranked = F.array_sort(F.transform(column, lambda s: F.struct(s["start"], F.array_position(kinds, s["kind"]).alias("k"), s["end"], s["kind"])))
         return F.array_join(F.transform(ranked, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 

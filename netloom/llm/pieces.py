@@ -19,10 +19,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from netloom.llm.common import fresh, small_batches
+from netloom.llm.common import fresh, small_batches, widened
 from netloom.llm.words import chunks, mix, span_hashes
 
 #: Where the driver's box keeps the public vocabulary; a parameter everywhere.
@@ -87,7 +87,7 @@ class Encoder:
         tied = [pieces[i] for same in counts.values() if len(same) > 1 for i in same]
         self.direct_all = kind == "bpe" and any(set(p) != {BLANK} for p in tied)
         self.tied_blanks = kind == "bpe" and bool(tied)
-        kept = {p: i for p, i in self.ids.items()}
+        kept = dict(self.ids)
         if kind == "bpe":
             self._histories()
             kept = {p: i for p, i in self.ids.items() if self.sound[i]}
@@ -239,16 +239,12 @@ class Encoder:
                 open_ = open_[keep]
         # trace back all words at once
         rows, position, found_ids, found_rows = np.arange(n), start + lengths - 1, [], []
-        unknown: list[tuple[np.ndarray, np.ndarray, int]] = []
-        turn = 0
         while len(rows):
             found_ids.append(best[position].astype(np.int64))
             found_rows.append((rows, position))
             position = position - np.maximum(back[position], 1)
             stay = position >= start[rows]
             rows, position = rows[stay], position[stay]
-            turn += 1
-        del unknown, turn
         ids = np.concatenate(found_ids)
         rows = np.concatenate([r for r, _ in found_rows])
         place = np.concatenate([p for _, p in found_rows])
@@ -286,8 +282,6 @@ class Encoder:
         first = at[full] + np.arange(len(full))
         if self.split_blanks:
             blank = body == 32
-            if not self.split_blanks:
-                blank[:] = False
             head = blank.copy()
             head[1:] &= ~blank[:-1]
             if self.split_lines:
@@ -405,20 +399,11 @@ def encoded(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL,
             text = batch.column(where)
             ids, bounds = enc.encode(text)
             if check:
-                same = pa.compute.equal(decode(ids, bounds, model), text.fill_null("")).fill_null(False)
+                same = pc.equal(decode(ids, bounds, model), text.fill_null("")).fill_null(False)
             else:
                 same = pa.nulls(len(batch), pa.bool_())
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(np.diff(bounds)), same], [*names, "piece_ids", "n_pieces", "round_trip"])
 
-    import pyarrow.compute  # noqa: F401  (pa.compute)
+    return docs.mapInArrow(run, widened(docs, piece_ids="array<int>", n_pieces="long", round_trip="boolean"))
 
-    schema = docs.schema.add("piece_ids", "array<int>").add("n_pieces", "long").add("round_trip", "boolean")
-    return docs.mapInArrow(run, schema)
-
-
-def digest(made: DataFrame) -> DataFrame:
-    """One row per document: its id, the number of ids, their SHA-256 and whether the text came back."""
-    return made.select(
-        "doc_id", "n_pieces", F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), "round_trip"
-    )

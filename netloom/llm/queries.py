@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import fingerprint, minhash, sharding
+from netloom.llm import chat, crossentropy, fingerprint, language, minhash, packing, personal, pieces, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,35 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b
 FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
 """
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return crossentropy.scored(docs, crossentropy.fit(docs, table(spark, sf_dir, "labels").where("quality = 1")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = language.identified(docs.select("doc_id", "text"), language.fit(docs))
+    return made.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    made = chat.parsed(rows.select("conv_id", "turn", "text"), chat.fit(rows))
+    return made.withColumn("held_out", chat.held_out("conv_id"))
+
+
+def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(personal.found(table(spark, sf_dir, "documents")))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -62,7 +91,13 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTI
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_fingerprints": op3_fingerprints,
+    "op4_language_id": op4_language_id,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_chat_format": op6_chat_format,
+    "op7_packed_ids": op7_packed_ids,
     "op8_byte_shards": op8_byte_shards,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op8_byte_shards": OP8_SQL}
