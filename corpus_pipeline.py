@@ -1,23 +1,57 @@
-"""A corpus pipeline: every stage reads what its predecessor kept."""
+"""A corpus pipeline: every stage reads what its predecessor kept.
+
+Language identification, near-duplicates, benchmark decontamination, personal data, SentencePiece ids. All stages
+but the last return the columns of documents; a stage that filters only lets go of what its operator rejects.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netloom.llm import minhash
+from netloom.llm import decontaminate, language, minhash, personal, pieces
 from netloom.llm.common import saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told (no text or no letter) go."""
+    return language.identified(docs, language.fit(docs)).where(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five words, similarity 0.8)."""
     return minhash.deduplicated(docs, width=5)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    index = decontaminate.fit(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.searched(docs, index).where("NOT contaminated").select(docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kind; n_chars follows the new text."""
+    masked = personal.masked(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds SentencePiece ids and whether they decode to the text."""
+    return pieces.encoded(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("personal_data", mask_personal_data),
+    ("sentencepiece", encode),
+]
+#: No SQL: the first stage is a learned classifier and the last an encoder.
 ORACLE_SQL = None
 
 

@@ -219,7 +219,10 @@ def digest(spans: DataFrame) -> DataFrame:
         ranked = F.array_sort(F.transform(column, lambda s: F.struct(s["start"], F.array_position(kinds, s["kind"]).alias("k"), s["end"], s["kind"])))
         return F.array_join(F.transform(ranked, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
     spans = spans.withColumn("every", F.concat("base", "extra"))
     return spans.select("doc_id", *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("every").alias("spans"))
 

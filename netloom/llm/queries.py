@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import chat, crossentropy, fingerprint, language, minhash, packing, personal, pieces, sharding
+from netloom.llm import chat, crossentropy, decontaminate, fingerprint, language, minhash, packing, personal, pieces, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.searched(docs, decontaminate.fit(docs, table(spark, sf_dir, "benchmark"))).drop("text")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(personal.found(table(spark, sf_dir, "documents")))
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_packed_ids": op7_packed_ids,
     "op8_byte_shards": op8_byte_shards,
+    "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
 }
 ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op8_byte_shards": OP8_SQL}
