@@ -55,7 +55,7 @@ def _ranges(docs: DataFrame) -> DataFrame:
         start = F.greatest(F.lit(0), (block - 1) * step)
         place = start + F.size(F.filter(F.slice(fine, start + 1, F.lit(step)), lambda c: c < F.col("doc_id")))
     part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1) + F.pmod(F.col("h"), F.lit(max(1, many))).cast("int")).otherwise(F.lit(len(cuts)) - place)
-    return docs.withColumn("part", part)
+    return docs.withColumn("part", F.coalesce(part, F.lit(0)))  # never null: no filter is inferred that would part the plans below
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
@@ -92,8 +92,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     paired = paired.withColumn("edited", edited)
     key = ["part", "row"]
     words = (
-        paired.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("v"))
-        .select(*key, "v.side", F.explode(F.split("v.text", SPACES)).alias("w")).where("w <> ''")
+        paired.select(*key, F.explode_outer(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("v"))
+        .select(*key, "v.side", F.explode_outer(F.split("v.text", SPACES)).alias("w")).where("w <> ''")
         .select(*key, "side", F.xxhash64("w").alias("w"))
     )
     counts = words.groupBy(*key, "side", "w").agg(F.count("*").alias("c")).withColumn("lw", F.log(F.col("c").cast("double")))
