@@ -22,6 +22,8 @@ from netloom.llm.common import small_batches
 from netloom.llm.words import LOWER, chunks, mix, span_hashes, word_spans
 
 BUCKETS = 1 << 20
+#: Ids of target documents that may be broadcast (8 bytes each).
+BROADCAST_ROWS = 2_000_000
 #: Weight of the bigram estimate, and the count that smoothing adds to every word bucket.
 BIGRAM_WEIGHT, ADDED = 0.7, 0.1
 
@@ -66,7 +68,9 @@ def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     small_batches(docs.sparkSession)
     chosen = target.select(F.col("doc_id").cast("long").alias("__target")).where("__target IS NOT NULL").distinct()
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("text"))
-    source = source.join(chosen, F.col("i") == F.col("__target"), "left").select("text", F.col("__target").isNotNull().alias("t"))
+    # Ids only are broadcast, and only so many; texts are shuffled beyond that.
+    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    source = source.join(F.broadcast(chosen) if few else chosen, F.col("i") == F.col("__target"), "left").select("text", F.col("__target").isNotNull().alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 2 * BUCKETS + 1), np.int64)
