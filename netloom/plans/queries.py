@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import bits
-from netloom.operators import graph, hierarchy, linkage, lookup, quality, spans, waves
+from netloom.operators import graph, hierarchy, linkage, lookup, probe, quality, schematic, spans, waves
 from netloom.plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,3 +443,145 @@ def mux_chain(d: Data) -> DataFrame:
   FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) x GROUP BY 1""")
 def latency_summary(d: Data) -> DataFrame:
     return quality.percentiles(d.events, "event_type", "value")
+
+
+@query("match_gate", f"WITH {_CLASS} SELECT status, count(*) AS n, status IN ('direct', 'alias') AS hit FROM fin GROUP BY status")
+def match_gate(d: Data) -> DataFrame:
+    return _match(d).groupBy("status").agg(F.count("*").alias("n")).withColumn("hit", F.col("status").isin("direct", "alias"))
+
+
+@query("rematch", """SELECT count(*) AS names, count(*) FILTER (full_name LIKE 'TOP.tb.%') AS inside, 0 AS direct FROM vars""")
+def rematch(d: Data) -> DataFrame:
+    """Against another anchor: everything under it is tried, and nothing of this trace is found there directly."""
+    found = linkage.matched(d.vars, d.nodes, linkage.Options(anchor=("TOP", "tb")))
+    return found.agg(F.count("*").alias("names"), F.count_if(~F.col("status").isin("excluded", "mystery")).alias("inside"), F.count_if(F.col("status") == "direct").alias("direct"))
+
+
+@query("signal_values", "SELECT sig, t, v FROM changes WHERE sig = (SELECT min(sig) FROM changes)")
+def signal_values(d: Data) -> DataFrame:
+    return d.changes.join(F.broadcast(d.changes.agg(F.min("sig").alias("sig"))), "sig", "left_semi").select("sig", "t", "v")  # one row
+
+
+@query("source_files", "SELECT doc_id AS file, strlen(text) AS bytes, len(string_split(text, chr(10))) AS lines FROM documents")
+def source_files(d: Data) -> DataFrame:
+    return d.documents.select(F.col("doc_id").alias("file"), F.octet_length("text").alias("bytes"), F.size(F.split("text", "\n")).alias("lines"))
+
+
+@query("parse_excluded", r"SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(p_name, '[\s,]+'), lambda x: x <> ''), ',') AS scopes FROM part")
+def parse_excluded(d: Data) -> DataFrame:
+    return d.part.select("p_partkey", F.array_join(F.filter(F.split("p_name", r"[\s,]+"), lambda x: x != ""), ",").alias("scopes"))
+
+
+@query("canonical_edges", "SELECT port, endpoint, dir, coalesce(sel, '') AS sel, row_number() OVER (PARTITION BY port ORDER BY endpoint, dir, coalesce(sel, '')) AS pos FROM edges")
+def canonical_edges(d: Data) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = d.edges.select("port", "endpoint", "dir", F.coalesce("sel", F.lit("")).alias("sel"))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("port").orderBy("endpoint", "dir", "sel")))
+
+
+@query("scope_graph_nodes", "SELECT parent AS scope, id AS box, kind, id IN (SELECT parent FROM nodes WHERE parent IS NOT NULL) AS expandable FROM nodes WHERE parent IS NOT NULL")
+def scope_graph_nodes(d: Data) -> DataFrame:
+    return schematic.boxes(d.nodes)
+
+
+@query("structural_wires", """SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM (
+    SELECT coalesce(p.parent, p.id) AS x, coalesce(q.parent, q.id) AS y FROM edges JOIN nodes p ON p.id = port JOIN nodes q ON q.id = endpoint) w WHERE x <> y GROUP BY 1, 2""")
+def structural_wires(d: Data) -> DataFrame:
+    return schematic.wires(d.nodes, d.edges)
+
+
+@query("scope_predicates", """SELECT id, kind = 'Instance' OR (kind = 'GenBlock' AND id IN (SELECT parent FROM nodes WHERE parent IS NOT NULL)) AS navigable,
+  kind IN ('FF', 'Comb', 'Latch', 'Assign') AS logic, kind IN ('Port', 'Net', 'Var', 'Memory') AS signal FROM nodes""")
+def scope_predicates(d: Data) -> DataFrame:
+    return schematic.predicates(d.nodes)
+
+
+@query("tree_hoist", """SELECT c.parent, c.id AS child FROM nodes c JOIN nodes p ON c.parent = p.id WHERE NOT (c.kind = 'GenBlock' AND c.name = '') AND NOT (p.kind = 'GenBlock' AND p.name = '')
+  UNION ALL SELECT g.parent, c.id FROM nodes c JOIN nodes g ON c.parent = g.id WHERE g.kind = 'GenBlock' AND g.name = ''""")
+def tree_hoist(d: Data) -> DataFrame:
+    return schematic.hoisted(d.nodes)
+
+
+@query("prune_subtree", """SELECT id FROM nodes WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey % 2 = 1 AND (nodes.path = concat('top.r', n_regionkey, '.n', n_nationkey) OR nodes.path LIKE concat('top.r', n_regionkey, '.n', n_nationkey, '.%')))""")
+def prune_subtree(d: Data) -> DataFrame:
+    """Without the subtrees of every second nation (branches that weren't instantiated)."""
+    gone = d.nation.where("n_nationkey % 2 = 1").select(F.concat(F.lit("top.r"), "n_regionkey", F.lit(".n"), "n_nationkey").alias("path"))
+    return schematic.pruned(d.nodes, gone).select("id")
+
+
+@query("unambiguous_select", "SELECT port, min(sel) AS sel FROM edges WHERE sel IS NOT NULL GROUP BY port HAVING count(DISTINCT sel) = 1")
+def unambiguous_select(d: Data) -> DataFrame:
+    return schematic.unambiguous_select(d.edges)
+
+
+@query("resolve_candidates", """WITH h AS (SELECT e.endpoint AS probe, n.path, arg_min(n.id, (CASE n.kind WHEN 'Var' THEN 0 WHEN 'Net' THEN 1 WHEN 'Port' THEN 2 ELSE 5 END) * 100000000000000 + n.id) AS rep
+    FROM edges e JOIN nodes n ON n.id = e.port GROUP BY 1, 2), s AS (SELECT path, count(*) AS size FROM nodes GROUP BY path)
+  SELECT probe, arg_min(rep, concat(CASE WHEN h.path LIKE 'top.r1.%' THEN '0' ELSE '1' END, h.path)) AS anchor, count(*) - 1 AS others, CAST(sum(size) AS BIGINT) AS nodes FROM h JOIN s ON s.path = h.path GROUP BY probe""")
+def resolve_candidates(d: Data) -> DataFrame:
+    hits = d.edges.select(F.col("endpoint").alias("probe"), F.col("port").alias("id"))
+    return probe.candidates(hits, d.nodes, ("probe",), context="top.r1")
+
+
+@query("to_wave", f"""WITH {_CLASS}, ix AS (SELECT coalesce(direct, alias) AS node, arg_max(var_ref, CASE status WHEN 'direct' THEN 100000000000000 ELSE 0 END + var_ref) AS var_ref FROM fin WHERE status IN ('direct', 'alias') GROUP BY 1)
+  SELECT a.id AS probe, arg_min(ix.var_ref, CASE WHEN b.id = a.id THEN 0 ELSE 100000000000000 END + b.id) FILTER (ix.var_ref IS NOT NULL) AS var_ref
+  FROM nodes a JOIN nodes b ON b.path = a.path LEFT JOIN ix ON ix.node = b.id WHERE a.kind IN ('Port', 'Net') GROUP BY a.id""")
+def to_wave(d: Data) -> DataFrame:
+    index = linkage.wave_index(_match(d))
+    anchors = d.nodes.where("kind IN ('Port', 'Net')").select(F.col("id").alias("probe"), F.col("id").alias("anchor"))
+    return probe.to_wave(anchors, d.nodes, index, "probe")
+
+
+@query("probe_signal", f"""WITH {_CLASS} SELECT var_ref, coalesce(direct, alias) AS node, n.path, n.kind FROM fin JOIN nodes n ON n.id = coalesce(direct, alias) WHERE status IN ('direct', 'alias')""")
+def probe_signal(d: Data) -> DataFrame:
+    return _match(d).where("node IS NOT NULL").select("var_ref", "node").join(d.nodes.select(F.col("id").alias("node"), "path", "kind"), "node")
+
+
+@query("probe_name_ref", """SELECT concat(c.id, '') AS ref, n.id FROM nodes c JOIN nodes p ON p.id = c.parent JOIN nodes n ON n.path = concat(p.path, '.', c.name) WHERE c.kind IN ('Net', 'Port') UNION
+  SELECT concat('p', c.id), n.id FROM nodes c JOIN nodes n ON n.path = c.path WHERE c.kind = 'Var'""")
+def probe_name_ref(d: Data) -> DataFrame:
+    """Signals by name inside their scope, and variables by absolute path."""
+    inside = d.nodes.where("kind IN ('Net', 'Port')")
+    refs = inside.select(F.col("id").cast("string").alias("ref"), F.col("name").alias("rel"))
+    refs = refs.unionAll(d.nodes.where("kind = 'Var'").select(F.concat(F.lit("p"), "id"), F.concat(F.lit("/"), "path")))
+    scopes = inside.alias("c").join(d.nodes.alias("p"), F.col("c.parent") == F.col("p.id")).select(F.col("c.id").cast("string").alias("ref"), F.col("p.path").alias("scope"))
+    return probe.references(refs, scopes, d.nodes)
+
+
+@query("parse_sv_int", "SELECT p_partkey, CAST(p_size AS BIGINT) AS hex, CAST(p_size AS BIGINT) AS dec, CAST(NULL AS BIGINT) AS bad FROM part")
+def parse_sv_int(d: Data) -> DataFrame:
+    size = F.col("p_size")
+    literal = F.concat(F.lit("32'h0_"), F.hex(size))
+    bad = F.concat(F.lit("8'b1x"), size.cast("string"))
+    return d.part.select("p_partkey", quality.parse_int(literal).alias("hex"), quality.parse_int(F.concat(F.lit("32'd"), size.cast("string"))).alias("dec"), quality.parse_int(bad).alias("bad"))
+
+
+@query("logic_role", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN CASE WHEN l_linestatus = 'F' THEN 'ff' ELSE 'comb' END WHEN 'R' THEN 'latch' ELSE 'assign' END AS role FROM lineitem")
+def logic_role(d: Data) -> DataFrame:
+    keyword = F.when(F.col("l_returnflag") == "A", "always").when(F.col("l_returnflag") == "R", "always_latch").otherwise("assign")
+    return d.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", quality.logic_role(keyword, F.col("l_linestatus") == "F").alias("role"))
+
+
+@query("zoom_window", "SELECT sig, (max(t) - min(t)) * CAST(0.25 AS DOUBLE) AS a, (max(t) - min(t)) * CAST(0.75 AS DOUBLE) AS b FROM changes GROUP BY sig HAVING max(t) - min(t) >= 2")
+def zoom_window(d: Data) -> DataFrame:
+    """Half of each signal's time, counted from its first change, about its middle."""
+    rows = d.changes.groupBy("sig").agg((F.max("t") - F.min("t")).alias("t1")).where("t1 >= 2").withColumn("t0", F.lit(0).cast("long"))
+    a, b = bits.zoom_window(F.col("t0"), F.col("t1"), 0.5, (F.col("t0") + F.col("t1")) / 2, F.col("t0"), F.col("t1"))
+    return rows.select("sig", a.alias("a"), b.alias("b"))
+
+
+@query("pin_width", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN concat('[', p_size, ':0]') ELSE concat('[', p_size - 1, ':0]') END AS width FROM part")
+def pin_width(d: Data) -> DataFrame:
+    size = F.col("p_size")
+    kind = F.when(size % 2 == 0, F.concat(F.lit("logic["), size.cast("string"), F.lit(":0][7:0]"))).otherwise("state_e")
+    return d.part.select("p_partkey", schematic.width(kind, F.when(size % 2 == 1, size)).alias("width"))
+
+
+@query("nav_targets", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY parent ORDER BY id) - 1 AS r, greatest(1, count(*) OVER (PARTITION BY parent) // 4) AS step FROM nodes) x WHERE r % step = 0 AND r // step < 4")
+def nav_targets(d: Data) -> DataFrame:
+    """Four strided samples of each scope's children: a sampling operator."""
+    from pyspark.sql import Window
+
+    rows = d.nodes.withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("id")) - 1)
+    rows = rows.withColumn("step", F.greatest(F.lit(1).cast("long"), F.expr("count(*) OVER (PARTITION BY parent) div 4")))
+    return rows.where("r % step = 0 AND r div step < 4").select("id")
