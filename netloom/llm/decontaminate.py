@@ -203,11 +203,17 @@ def _searched(texts: list[str], index: Index) -> list[dict[int, float]]:
         part = some[k : k + 2048]
         at = padded[start[part][:, None] + np.arange(WINDOW)]
         at[np.arange(WINDOW)[None] >= (end - start)[part][:, None]] = -1
-        latent = space[at].sum(axis=1)
-        size = np.sqrt(square[end[part]] - square[start[part]])
-        close = latent @ index.passages >= (COSINE * size)[:, None]
-        for i, p in zip(*np.nonzero(close)):
-            near.add((int(rows[part[i]]), int(index.owner[p]), int(start[part[i]])))
+        latent = space[at[:, 0]]
+        for j in range(1, WINDOW):
+            latent += space[at[:, j]]
+        least = (COSINE * np.sqrt(square[end[part]] - square[start[part]])).astype(np.float32)
+        # passages have length 1: a window whose own projection is too short is near none
+        able = np.flatnonzero(np.einsum("ij,ij->i", latent, latent) >= 0.998 * least * least)
+        if not len(able):
+            continue
+        close = np.flatnonzero(latent[able] @ index.passages >= least[able][:, None])
+        for i, p in zip((part[able[close // index.passages.shape[1]]]).tolist(), (close % index.passages.shape[1]).tolist()):
+            near.add((int(rows[i]), int(index.owner[p]), int(start[i])))
     done: dict[tuple[int, int], int] = {}
     for row, item, at in sorted(near):
         wanted = index.items[item]
