@@ -1,5 +1,5 @@
 import corpus_pipeline
-from conftest import prose
+from samples import prose
 
 from netloom.llm import queries
 

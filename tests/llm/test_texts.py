@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import ODD, WORDS, prose
+from samples import ODD, WORDS, prose
 from netloom.llm import chat, crossentropy, decontaminate, fingerprint, language, packing, personal, pieces, sharding
 
 
