@@ -37,7 +37,7 @@ def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
     """For some rows at a time: (letters in each row, buckets of n-grams, their row)."""
     is_letter = letters()
     with np.errstate(over="ignore"):
-        for _, _, data, at in chunks(column):
+        for _, _, data, at in chunks(column, 1 << 19):
             texts = [t.lower() for t in _split(data, at)]
             codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
             lengths = np.array([len(t) for t in texts], np.int64)

@@ -30,7 +30,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 NONE = np.int32(-1)
 #: Distinct words that a worker keeps with their ids between batches.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 1_000_000
 
 
 class Keys:
@@ -264,7 +264,7 @@ class Encoder:
         """(ids, bounds) of each text of a column; nulls count as empty."""
         flat, counts = [], []
         with np.errstate(over="ignore"):
-            for _, _, data, at in chunks(column, 8 << 20):
+            for _, _, data, at in chunks(column, 4 << 20):
                 ids, bounds = self._texts(data, at)
                 flat.append(ids)
                 counts.append(np.diff(bounds))
