@@ -271,9 +271,18 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, **options: object) -> DataFrame:
-    """``docs`` without the rows of each group but one, columns as they were."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    id_col = str(options.get("id_col", "doc_id"))
-    return docs.join(kept, F.col(f"`{id_col}`") == F.col("__kept_id"), "left_semi")
-
+    """``docs`` without the rows of each group but one, columns as they were.
 
+    A row with a null id is compared under a number from its text, above ordinary ids, so a row with an id stays before it.
+    Of null-id rows with equal texts one stays; those without a word are linked with nothing and all stay.
+    """
+    id_col, text_col = (str(options.pop(name, default)) for name, default in (("id_col", "doc_id"), ("text_col", "text")))
+    given, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    own = F.coalesce(given, F.xxhash64(text).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
+    found = near_duplicates(docs.select(own.alias("doc_id"), text.alias("text")), **options)
+    kept = found.where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    rows = docs.withColumn("__own_id", own).join(kept, F.col("__own_id") == F.col("__kept_id"), "left_semi")
+    # texts are compared too, so that no two texts are taken for one by their number
+    wordy = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = rows.where(given.isNull() & wordy).dropDuplicates(["__own_id", text_col])
+    return rows.where(given.isNotNull() | ~wordy).unionAll(once).select(*[F.col(f"`{c}`") for c in docs.columns])

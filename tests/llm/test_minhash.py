@@ -70,3 +70,10 @@ def test_ids_that_repeat_unite_their_sets(spark):
     rows = [(1, prose(1, 50)), (2, prose(1, 50)), (2, prose(2, 50)), (3, prose(2, 50)), (4, prose(4, 50))]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_rows_without_an_id_stay(spark):
+    rows = [(1, prose(1, 50), "a"), (None, prose(1, 50), "b"), (None, prose(2, 50), "c"), (None, prose(2, 50), "c"), (None, prose(3, 50), "d")]
+    rows += [(None, prose(3, 50) + " end", "d"), (None, "", "e"), (None, None, "f"), (None, " ", "e")]
+    got = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string"), width=5).collect()
+    assert sorted((r.doc_id or 0, r.source) for r in got) == [(0, "c"), (0, "d"), (0, "e"), (0, "e"), (0, "f"), (1, "a")]
