@@ -1,103 +1,139 @@
 """Cross-entropy difference of two n-gram models (operator 2).
 
 The target model counts documents of a target set (label quality 1), the background model counts all documents.
-Both are interpolated bigram models over one hashed vocabulary: a word is a bucket, a bigram is a bucket, and the
-buckets are the same for both, so their per-token losses can be subtracted. The score is the mean difference
-of losses over a document's tokens (nats); lower means closer to the target.
+Both are interpolated bigram models over one vocabulary, so their per-token losses can be subtracted. The score is the mean
+difference of losses over a document's tokens (nats); lower means closer to the target.
 
-Counting emits one row for each bucket that a task saw; the tables are a fixed size (BUCKETS unigrams and BUCKETS bigrams, 16 bytes each)
-and so can be broadcast whatever the corpus.
+Counts are exact: a word is its 64-bit hash, a pair is two of them, and every pair of the corpus is a row of a saved table. Tasks
+emit each pair that they saw once. Losses are worked out once for each distinct pair, and documents are joined to them by pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import small_batches
-from netloom.llm.words import LOWER, chunks, mix, span_hashes, word_spans
+from netloom.llm.common import saved, small_batches
+from netloom.llm.words import LOWER, chunks, span_hashes, word_spans
 
+#: Words that smoothing takes a vocabulary to have; counts aren't limited by it.
 BUCKETS = 1 << 20
+#: Distinct pairs that a task holds before it emits their counts.
+HELD = 1 << 21
 #: Ids of target documents that may be broadcast (8 bytes each).
 BROADCAST_ROWS = 2_000_000
-#: Weight of the bigram estimate, and the count that smoothing adds to every word bucket.
+#: Weight of the bigram estimate, and the count that smoothing adds to every word.
 BIGRAM_WEIGHT, ADDED = 0.7, 0.1
+#: Stands before the first word of a text.
+MARK = 0
 
 
-def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(word bucket, bigram bucket, bucket of the word before, row bounds) for some rows at a time.
+def pair() -> Column:
+    """A number for (before, word), by which documents are joined."""
+    return F.xxhash64("before", "word").alias("pair")
 
-    The word before the first is a mark of its own, bucket BUCKETS.
-    """
+
+def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word, word before, row bounds) for some rows at a time. A text's first word has MARK before it."""
     with np.errstate(over="ignore"):
         for _, _, data, at in chunks(column):
             data = LOWER[data]
             starts, ends, bounds = word_spans(data, at)
-            words = span_hashes(data, starts, ends)
-            before = np.concatenate([np.zeros(1, np.uint64), words[:-1]]) if len(words) else words
-            head = bounds[:-1][np.diff(bounds) > 0]
-            before[head] = 0
-            uni = (words & np.uint64(BUCKETS - 1)).astype(np.int64)
-            bi = (mix(words ^ mix(before, 7), 8) & np.uint64(BUCKETS - 1)).astype(np.int64)
-            last = np.where(before == 0, BUCKETS, (before & np.uint64(BUCKETS - 1)).astype(np.int64))
-            yield uni, bi, last, bounds
+            words = span_hashes(data, starts, ends).view(np.int64)
+            before = np.concatenate([np.full(1, MARK), words[:-1]]) if len(words) else words
+            before[bounds[:-1][np.diff(bounds) > 0]] = MARK
+            yield words, before, bounds
+
+
+def summed(before: np.ndarray, word: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """Distinct (before, word) and the sums of their counts."""
+    order = np.lexsort((word, before))
+    before, word = before[order], word[order]
+    first = np.ones(len(word), bool)
+    first[1:] = (before[1:] != before[:-1]) | (word[1:] != word[:-1])
+    at = np.flatnonzero(first)
+    return [before[at], word[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in counts)]
 
 
+@dataclass
 class Model:
-    """Counts of both corpora: unigrams (the last bucket counts texts) and bigrams."""
+    """Counts of the target (t) and the background (b): saved tables ``pairs`` (before, word, t, b) and ``words`` (word, t, b).
 
-    def __init__(self, uni: np.ndarray, bi: np.ndarray) -> None:
-        self.uni, self.bi = uni, bi  # [2, BUCKETS + 1] and [2, BUCKETS]; 0: target, 1: background
-        self.total = uni[:, :BUCKETS].sum(axis=1, dtype=np.float64)
+    The row of MARK in ``words`` counts texts; ``total`` are the words of both. ``docs`` are the texts that were counted.
+    """
 
-    def losses(self, side: int, uni: np.ndarray, bi: np.ndarray, last: np.ndarray) -> np.ndarray:
-        alone = (self.uni[side][uni] + ADDED) / (self.total[side] + ADDED * BUCKETS)
-        seen = self.uni[side][last]
-        pair = np.minimum(self.bi[side][bi], seen)  # buckets may hold more than one pair
-        given = np.divide(pair, seen, out=np.zeros(len(pair)), where=seen > 0)
-        weight = np.where(seen > 0, BIGRAM_WEIGHT, 0.0)
-        return -np.log(weight * given + (1 - weight) * alone)
+    pairs: DataFrame
+    words: DataFrame
+    total: tuple[int, int]
+    docs: DataFrame
 
+    def losses(self, wanted: DataFrame) -> DataFrame:
+        """(pair, t, b): both losses of each row of ``wanted`` (before, word, t, b)."""
+        words = self.words.select("word", F.col("t").alias("wt"), F.col("b").alias("wb"))
+        heads = self.words.select(F.col("word").alias("before"), F.col("t").alias("st"), F.col("b").alias("sb"))
+
+        def loss(side: str, total: int) -> Column:
+            alone = (F.coalesce(f"w{side}", F.lit(0)) + ADDED) / (total + ADDED * BUCKETS)
+            seen = F.coalesce(f"s{side}", F.lit(0))
+            return -F.log(F.when(seen > 0, BIGRAM_WEIGHT * F.col(side) / seen + (1 - BIGRAM_WEIGHT) * alone).otherwise(alone))
+
+        rows = wanted.join(words, "word", "left").join(heads, "before", "left")
+        return rows.select(pair(), loss("t", self.total[0]).alias("t"), loss("b", self.total[1]).alias("b"))
 
-def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts every text of ``docs`` (background) and those whose id is in ``target`` (doc_id)."""
-    small_batches(docs.sparkSession)
-    chosen = target.select(F.col("doc_id").cast("long").alias("__target")).where("__target IS NOT NULL").distinct()
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("text"))
-    # Ids only are broadcast, and only so many; texts are shuffled beyond that.
-    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    source = source.join(F.broadcast(chosen) if few else chosen, F.col("i") == F.col("__target"), "left").select("text", F.col("__target").isNotNull().alias("t"))
+
+def counted(source: DataFrame) -> DataFrame:
+    """(before, word, t, b): counts of each pair of words in (text, t), t: of the target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 2 * BUCKETS + 1), np.int64)
+        held, rows = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k in range(0, rows, 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 17)]) for x in held[0]], ["before", "word", "t", "b"])
+
         for batch in batches:
             is_target = batch.column(1).to_numpy(zero_copy_only=False)
             at = 0
-            for uni, bi, _, bounds in grams(batch.column(0)):
+            for word, before, bounds in grams(batch.column(0)):
                 n = len(bounds) - 1
-                mine = np.repeat(is_target[at : at + n], np.diff(bounds))
-                texts = np.diff(bounds) > 0
-                for side, pick in ((0, mine), (1, slice(None))):
-                    sums[side, :BUCKETS] += np.bincount(uni[pick], minlength=BUCKETS)
-                    sums[side, BUCKETS + 1 :] += np.bincount(bi[pick], minlength=BUCKETS)
-                sums[0, BUCKETS] += int((texts & is_target[at : at + n]).sum())
-                sums[1, BUCKETS] += int(texts.sum())
+                mine = np.repeat(is_target[at : at + n], np.diff(bounds)).astype(np.int64)
+                held.append(summed(before, word, mine, np.ones(len(word), np.int64)))
                 at += n
-        where = np.flatnonzero(sums[1])
-        for k in range(0, len(where), 1 << 17):
-            some = where[k : k + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[0][some]), pa.array(sums[1][some])], ["bucket", "t", "b"])
+                rows += len(held[-1][0])
+                if rows > HELD:
+                    held = [summed(*(np.concatenate(x) for x in zip(*held)))]
+                    rows = len(held[0][0])
+                    if rows > HELD // 2:
+                        yield from out()
+                        held, rows = [], 0
+        if held:
+            held = [summed(*(np.concatenate(x) for x in zip(*held)))]
+            rows = len(held[0][0])
+            yield from out()
+
+    made = source.mapInArrow(run, "before long, word long, t long, b long")
+    return made.groupBy("before", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
 
-    counts = source.mapInArrow(run, "bucket int, t long, b long").groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    got = counts.select("bucket", F.col("t").cast("float"), F.col("b").cast("float")).toArrow()  # at most 2 * BUCKETS + 1 rows
-    table = np.zeros((2, 2 * BUCKETS + 1), np.float32)
-    where = got["bucket"].to_numpy()
-    table[0, where], table[1, where] = got["t"].to_numpy(), got["b"].to_numpy()
-    return Model(table[:, : BUCKETS + 1], table[:, BUCKETS + 1 :])
+def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Counts every text of ``docs`` (background) and those whose id is in ``target`` (doc_id)."""
+    small_batches(docs.sparkSession)
+    chosen = target.select(F.col("doc_id").cast("long").alias("__target")).where("__target IS NOT NULL").distinct()
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("text"))
+    # Ids only are broadcast, and only so many; texts are shuffled beyond that.
+    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    source = source.join(F.broadcast(chosen) if few else chosen, F.col("i") == F.col("__target"), "left").select("text", F.col("__target").isNotNull().alias("t"))
+    pairs = saved(counted(source), "pairs")
+    sums = [F.sum("t").alias("t"), F.sum("b").alias("b")]
+    heads = pairs.where(F.col("before") == MARK).groupBy(F.lit(MARK).alias("word")).agg(*sums)
+    words = saved(pairs.groupBy("word").agg(*sums).unionAll(heads), "words")
+    total = words.where(F.col("word") != MARK).agg(*sums).first()
+    return Model(pairs, words, (total.t or 0, total.b or 0), docs.select(F.col(f"`{text_col}`").alias("text")))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,24 +143,33 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     document the target model is uniform. An empty table gives no row. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    text = docs.select(F.col(f"`{text_col}`").alias("text"))
+    if text.sameSemantics(model.docs):
+        wanted = model.pairs
+    else:  # pairs that the model never saw have losses too
+        own = counted(text.withColumn("t", F.lit(False))).select("before", "word")
+        wanted = own.join(model.pairs, ["before", "word"], "left").fillna(0, ["t", "b"])
+    losses = saved(model.losses(wanted), "losses")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, sums = [], ([], [])
-            for uni, bi, last, bounds in grams(batch.column(1)):
-                n = np.diff(bounds)
-                tokens.append(n)
-                for side in (0, 1):
-                    total = np.concatenate([[0.0], np.cumsum(shared.value.losses(side, uni, bi, last))])
-                    sums[side].append((total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1))
-            n = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            t, b = (np.concatenate(s) if s else np.zeros(0) for s in sums)
-            none = n == 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(t, mask=none), pa.array(b, mask=none), pa.array(t - b, mask=none)],
-                ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-            )
-
-    return source.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            row, at = batch.column(2).to_numpy(), 0
+            for word, before, bounds in grams(batch.column(1)):
+                n = len(bounds) - 1
+                where = np.repeat(np.arange(at, at + n), np.diff(bounds))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row[where]), pa.array(before), pa.array(word), pa.array(np.ones(len(word), np.int32)), pa.nulls(len(word), pa.int64())],
+                    ["row", "before", "word", "n", "doc_id"],
+                )
+                at += n
+            # a row of its own for each text, which joins no pair and carries the id
+            none = pa.array(np.zeros(len(batch), np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(2), batch.column(2), none, batch.column(0)], ["row", "before", "word", "n", "doc_id"])
+
+    rows = source.mapInArrow(run, "row long, before long, word long, n int, doc_id long").select("row", pair(), "n", "doc_id")
+    sums = rows.join(losses, "pair", "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("n") > 0, F.col("t"))).alias("t"), F.sum(F.when(F.col("n") > 0, F.col("b"))).alias("b")
+    )
+    t, b = F.col("t") / F.col("n_tokens"), F.col("b") / F.col("n_tokens")
+    return sums.select("doc_id", "n_tokens", t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))

@@ -235,6 +235,20 @@ def test_scores_equal_plain_counts(spark, odd, empty):
     assert crossentropy.scored(odd, model).count() == odd.count() and crossentropy.scored(empty, crossentropy.fit(empty, labels)).count() == 0
 
 
+def test_pairs_are_counted_apart_in_a_large_corpus(spark):
+    # as many words before this one and as many pairs as make any bucket of 2^20 hold several
+    filler = [" ".join(f"w{k * 20_000 + j}" for j in range(20_000)) for k in range(160)]
+    docs = spark.createDataFrame([*enumerate(filler), (1000, "a b a b a b a b"), (1001, "w0 w2 w4 w6 w8")], "doc_id long, text string").repartition(4).cache()
+    model = crossentropy.fit(docs, spark.createDataFrame([(1000,)], "doc_id long"))
+    assert model.words.count() == 160 * 20_000 + 3 and model.pairs.count() == 160 * 20_000 + 3 + 4
+    probe = spark.createDataFrame([(1, "w0 w2 w4 w6 w8"), (2, "w1 w7 w3 w9 w5")], "doc_id long, text string")
+    got = {r.doc_id: r for r in crossentropy.scored(probe, model).collect()}
+    n, added = 160 * 20_000 + 13, crossentropy.ADDED
+    once = (1 + added) / (n + added * crossentropy.BUCKETS)
+    assert got[2].background_loss == pytest.approx(-sum(math.log(x) for x in [0.3 * once] * 5) / 5, rel=1e-6)
+    assert got[1].background_loss < got[2].background_loss
+
+
 def test_decontamination(spark, odd, empty):
     items = [prose(500 + k, 14 + 3 * k) for k in range(12)] + [None, ""]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
