@@ -11,7 +11,8 @@ One hash function orders the shingles of every document; its k smallest values a
 3. Lists of at most ``list_limit`` documents give their pairs. Documents that stand in a
    longer list are dealt out again by bands of re-ordered retained values, which separate
    documents that share a core but aren't near duplicates. Buckets of narrow bands, dealt into small parts, give links that join most of a
-   group of near copies, in a few rounds; in the wide bands of the last round every pair is compared whose ends are still in different components.
+   group of near copies, in a few rounds. Then the long lists are joined too, block by block, and every pair is compared whose ends are still in
+   different components: bands lose no link, they only spare pairs.
 4. The k smallest values of the union of two sketches estimate the similarity; pairs far below
    the threshold go.
 5. Exact Jaccard on the full shingle sets of the whole texts confirms every link: first each document's most similar
@@ -35,8 +36,10 @@ from netloom.llm.words import mix, shingle_sets
 
 #: Standard deviations by which a pair's overlap may fall short of its expectation.
 SLACK = 4.5
-#: Retained values that name a bucket of a band, round by round; the last round is the exact one.
+#: Retained values that name a bucket of a band, round by round.
 WIDTHS = (20, 14, 11, 8)
+#: Documents of a block of a long list; two blocks meet in a task.
+BLOCK = 256
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -74,8 +77,8 @@ def _taken(column: str, k: int, threshold: float, shared: int) -> Column:
     return F.element_at(table, F.col(column))
 
 
-def candidates(sets: DataFrame, listed: int, percent: int, shared: int, list_limit: int, bands: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, banded): pairs (a, b) of short lists; bucket keys (node, n, keys) of documents in long ones, a row for each band."""
+def candidates(sets: DataFrame, listed: int, percent: int, shared: int, list_limit: int, bands: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, banded, lists): pairs (a, b) of short lists; bucket keys (node, n, keys) of documents in long ones, a row for each band; these documents' lists."""
     ratio = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     values = sets.select("node", F.explode(F.slice("sketch", 1, listed)).alias("v"))
     seen = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
@@ -101,14 +104,34 @@ def candidates(sets: DataFrame, listed: int, percent: int, shared: int, list_lim
     hot = lists.join(sizes.where(f"size > {list_limit}").select("v"), "v").select("node").distinct()
     hot = saved(sets.join(hot, "node"), "hot")
     banded = hot.mapInArrow(lambda it: _banded(it, bands), "node long, n long, keys array<long>")
-    return pairs, saved(banded, "bands")
+    return pairs, saved(banded, "bands"), lists.join(hot.select("node"), "node", "left_semi")
 
 
-def bucketed(banded: DataFrame, found: DataFrame | None, width: int, percent: int, group: int | None) -> DataFrame:
+def joined(lists: DataFrame, found: DataFrame, percent: int, list_limit: int) -> DataFrame:
+    """Pairs (a, b) with enough values in common, one of a long list at least, whose ends are in different components.
+
+    No pair is left out. A list is dealt out into blocks and any two blocks meet under a key of their own, so no task has a whole list.
+    """
+    rows = lists.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    stats = rows.groupBy("v").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    parts = F.expr(f"(size + {BLOCK - 1}) div {BLOCK}")
+    rows = rows.join(stats.select("v", "size"), "v").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", "v"), "parts"))
+    rows = saved(rows, "open")
+    x = rows.select("v", "size", "node", "n", "least", "c", F.col("part").alias("p"), F.explode(F.expr("sequence(part, parts - 1)")).alias("q"))
+    y = rows.select("v", "node", "n", "least", "c", F.explode(F.expr("sequence(0L, part)")).alias("p"), F.col("part").alias("q"))
+    pairs = x.alias("x").join(y.alias("y"), ["v", "p", "q"]).where("x.c <> y.c AND (p < q OR x.node < y.node)")
+    pairs = pairs.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    pairs = pairs.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(
+        F.count("*").alias("shared"), F.min(F.least("x.least", "y.least")).alias("least"), F.max("size").alias("size")
+    )
+    return pairs.where(f"shared >= least AND size > {list_limit}").select("a", "b")
+
+
+def bucketed(banded: DataFrame, found: DataFrame | None, width: int, percent: int, group: int) -> DataFrame:
     """Pairs (a, b) in a bucket of this width whose ends are in different components.
 
     ``group``: a bucket is dealt out by hash into parts of about so many documents and only pairs
-    within a part are made, so that their number grows with the documents; None: all pairs.
+    within a part are made, so that their number grows with the documents.
     """
     rows = banded.select("node", "n", F.element_at("keys", WIDTHS.index(width) + 1).alias("bucket"))
     if found is None:
@@ -116,7 +139,7 @@ def bucketed(banded: DataFrame, found: DataFrame | None, width: int, percent: in
     else:
         rows = rows.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     stats = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    part = F.lit(0) if group is None else F.pmod(F.xxhash64("node", "bucket"), F.expr(f"(size + {group} - 1) div {group}"))
+    part = F.pmod(F.xxhash64("node", "bucket"), F.expr(f"(size + {group} - 1) div {group}"))
     rows = saved(rows.join(stats.select("bucket", "size"), "bucket").withColumn("part", part), "open")
     pairs = rows.alias("x").join(rows.alias("y"), ["bucket", "part"]).where("x.c < y.c")
     pairs = pairs.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
@@ -238,18 +261,18 @@ def near_duplicates(
     def near(pairs: DataFrame) -> DataFrame:
         return saved(estimated(pairs, sets, k, percent / 100), "pairs")
 
-    pairs, banded = candidates(sets, min(k, listed), percent, shared, list_limit, bands)
+    pairs, banded, lists = candidates(sets, min(k, listed), percent, shared, list_limit, bands)
     some = not banded.isEmpty()
     pairs = near(pairs.unionAll(bucketed(banded, None, WIDTHS[0], percent, list_limit)).distinct() if some else pairs)
     links = check(best(pairs))
     found = components(links)
-    for size in WIDTHS[1:-1] if some else ():
+    for size in WIDTHS[1:] if some else ():
         links = links.unionAll(check(best(near(bucketed(banded, found, size, percent, list_limit)))))
         found = components(links)
     links = links.unionAll(check(apart(pairs, found)))
     found = components(links)
     if some:
-        more = check(near(bucketed(banded, found, WIDTHS[-1], percent, None).join(pairs, ["a", "b"], "left_anti")))
+        more = check(near(joined(lists, found, percent, list_limit).join(pairs, ["a", "b"], "left_anti")))
         if not more.isEmpty():
             links = links.unionAll(more)
             found = components(links)
