@@ -37,7 +37,7 @@ from netloom.llm.words import mix, shingle_sets
 #: Standard deviations by which a pair's overlap may fall short of its expectation.
 SLACK = 4.5
 #: Retained values that name a bucket of a band, round by round.
-WIDTHS = (20, 14, 11, 8)
+WIDTHS = (20, 14, 11, 8, 5)
 #: Documents of a block of a long list; two blocks meet in a task.
 BLOCK = 256
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.

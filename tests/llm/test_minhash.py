@@ -88,3 +88,10 @@ def test_extracts_are_linked_where_bands_part_them(spark):
     # every list is a long one here
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, list_limit=1, bands=2).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_short_texts_in_a_large_group_are_linked(spark):
+    words = prose(1, 9)
+    rows = [(k, f"{words} extra{k}" if k else words) for k in range(61)] + [(100 + k, prose(100 + k, 12)) for k in range(5)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 61 else i for i, _ in rows}
