@@ -70,7 +70,6 @@ class Index:
     answers: list[list[int]]
     keys: Keys | None
     idf: np.ndarray
-    unknown: float  # squared weight of a word that no passage has
     basis: np.ndarray  # features x rank, rows weighted by idf
     passages: np.ndarray  # rank x passages, of length 1
     owner: np.ndarray
@@ -105,7 +104,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int
         raise ValueError(f"the benchmark has {len(features)} words; split it into parts of at most {MOST_WORDS}")
     ids = [r.i for r in rows]
     if not len(features):
-        return Index(ids, items, answers, None, np.zeros(0), 0.0, np.zeros((0, 1)), np.zeros((1, 0)), np.zeros(0, np.int64))
+        return Index(ids, items, answers, None, np.zeros(0), np.zeros((0, 1)), np.zeros((1, 0)), np.zeros(0, np.int64))
     keys = Keys(features, np.arange(len(features), dtype=np.int32))
     shared = spark.sparkContext.broadcast(keys)
 
@@ -123,7 +122,6 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int
     df = np.zeros(len(features) + 1)
     df[counted["f"].to_numpy()] = counted["n"].to_numpy()
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.1
-    unknown = float((np.log(df[-1] + 1) + 0.1) ** 2)
 
     passages, owner = _passages(items)
     at = [np.searchsorted(features, np.array(p, np.uint64)) for p in passages]
@@ -132,7 +130,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int
     weighted = (basis * idf[:, None]).astype(np.float32)
     latent = np.stack([weighted[x].sum(axis=0) for x in at])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Index(ids, items, answers, keys, idf, unknown, weighted, np.ascontiguousarray(latent.T), owner)
+    return Index(ids, items, answers, keys, idf, weighted, np.ascontiguousarray(latent.T), owner)
 
 
 def _singular(matrix: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
@@ -186,7 +184,7 @@ def _searched(texts: list[str], index: Index) -> list[dict[int, float]]:
         return hits
     found = index.keys.get(words)
     known = np.concatenate([[0], np.cumsum(found >= 0)])
-    square = np.concatenate([[0.0], np.cumsum(np.where(found >= 0, index.idf[found] ** 2, index.unknown))])
+    square = np.concatenate([[0.0], np.cumsum(np.where(found >= 0, index.idf[found] ** 2, 0.0))])  # unknown words are the last step's to refuse
     # windows: every TEXT_STEP words, and the last one; a short text is one window
     counts = np.diff(bounds)
     made = np.where(counts > WINDOW, (counts - WINDOW + TEXT_STEP - 1) // TEXT_STEP + 1, np.minimum(counts, 1))

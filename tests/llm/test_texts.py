@@ -264,6 +264,19 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.searched(odd, none).where("contaminated").count() == 0
 
 
+def test_paraphrases_are_found_in_a_large_table(spark):
+    items = [prose(500 + k, 30) for k in range(10)]
+    texts = [prose(10_000 + k, 20) for k in range(4000)]
+    for k, item in enumerate(items):
+        words = item.split()
+        words[2::3] = [f"other{k}x{j}" for j in range(10)]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = decontaminate.fit(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = decontaminate.searched(docs, index).where("contaminated").collect()
+    assert {r.doc_id: r.item_ids for r in got} == {4000 + k: [k] for k in range(10)}
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(50):
