@@ -184,7 +184,6 @@ def _searched(texts: list[str], index: Index) -> list[dict[int, float]]:
         return hits
     found = index.keys.get(words)
     known = np.concatenate([[0], np.cumsum(found >= 0)])
-    square = np.concatenate([[0.0], np.cumsum(np.where(found >= 0, index.idf[found] ** 2, 0.0))])  # unknown words are the last step's to refuse
     # windows: every TEXT_STEP words, and the last one; a short text is one window
     counts = np.diff(bounds)
     made = np.where(counts > WINDOW, (counts - WINDOW + TEXT_STEP - 1) // TEXT_STEP + 1, np.minimum(counts, 1))
@@ -204,12 +203,12 @@ def _searched(texts: list[str], index: Index) -> list[dict[int, float]]:
         latent = space[at[:, 0]]
         for j in range(1, WINDOW):
             latent += space[at[:, j]]
-        least = (COSINE * np.sqrt(square[end[part]] - square[start[part]])).astype(np.float32)
-        # passages have length 1: a window whose own projection is too short is near none
-        able = np.flatnonzero(np.einsum("ij,ij->i", latent, latent) >= 0.998 * least * least)
+        # both lengths are taken in the latent space: what lies outside it (unknown words, dimensions beyond the rank) is the last step's to refuse
+        length = np.sqrt(np.einsum("ij,ij->i", latent, latent))
+        able = np.flatnonzero(length > 1e-6)
         if not len(able):
             continue
-        close = np.flatnonzero(latent[able] @ index.passages >= least[able][:, None])
+        close = np.flatnonzero(latent[able] @ index.passages >= COSINE * length[able][:, None])
         for i, p in zip((part[able[close // index.passages.shape[1]]]).tolist(), (close % index.passages.shape[1]).tolist()):
             near.add((int(rows[i]), int(index.owner[p]), int(start[i])))
     done: dict[tuple[int, int], int] = {}

@@ -277,6 +277,15 @@ def test_paraphrases_are_found_in_a_large_table(spark):
     assert {r.doc_id: r.item_ids for r in got} == {4000 + k: [k] for k in range(10)}
 
 
+def test_copies_are_found_with_many_items(spark):
+    rng = np.random.default_rng(3)
+    items = [" ".join(f"w{w}" for w in rng.integers(0, 6000, 40)) for _ in range(600)]
+    docs = spark.createDataFrame([(k, f"two words {items[k]}") for k in range(0, 600, 10)], "doc_id long, text string")
+    index = decontaminate.fit(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), rank=32)  # for 2,400 passages
+    got = decontaminate.searched(docs, index).where("contaminated").collect()
+    assert {r.doc_id: r.item_ids for r in got} == {k: [k] for k in range(0, 600, 10)}
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(50):
