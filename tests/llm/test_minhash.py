@@ -79,14 +79,14 @@ def test_rows_without_an_id_stay(spark):
     assert sorted((r.doc_id or 0, r.source) for r in got) == [(0, "c"), (0, "d"), (0, "e"), (0, "e"), (0, "f"), (1, "a")]
 
 
-def test_extracts_are_linked_where_bands_part_them(spark):
+def test_extracts_are_linked_in_long_lists(spark):
     rows = []
     for family in range(12):  # 80 of 100 shingles
         whole = [f"f{family}w{k}" for k in range(103)]
         rows += [(2 * family, " ".join(whole)), (2 * family + 1, " ".join(whole[:83]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     # every list is a long one here
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, list_limit=1, bands=2).collect()}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, list_limit=1).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
