@@ -36,8 +36,7 @@ FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
 """
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return crossentropy.scored(docs, crossentropy.fit(docs, table(spark, sf_dir, "labels").where("quality = 1")))
+    return crossentropy.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

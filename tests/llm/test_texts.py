@@ -201,52 +201,51 @@ def test_scores_equal_plain_counts(spark, odd, empty):
     texts = ["a b a c", "a b b", "", None, "c c d a b"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(0,), (1,), (1,)], "doc_id long")
-    model = crossentropy.fit(docs, labels)
-    got = {r.doc_id: r for r in crossentropy.scored(docs, model).collect()}
+    got = {r.doc_id: r for r in crossentropy.scored(docs, labels).collect()}
+    size = len({w for t in texts for w in (t or "").split()})
 
-    def losses(chosen):
-        uni, bi, heads = Counter(), Counter(), 0
+    def losses(chosen, scale=1.0):
+        pairs, heads = Counter(), Counter()
         for t in chosen:
             w = (t or "").split()
-            uni.update(w)
-            bi.update(zip([None, *w], w))
-            heads += bool(w)
-        n, size = sum(uni.values()), crossentropy.BUCKETS
+            pairs.update(zip([None, *w], w))
+            heads.update([None, *w][: len(w)])
 
-        def loss(text):
+        def loss(text, own):
             w = text.split()
+            bi, uni = (Counter(zip([None, *w], w)), Counter([None, *w][: len(w)])) if own else (Counter(), Counter())
             out = []
             for before, word in zip([None, *w], w):
-                seen = heads if before is None else uni[before]
-                alone = (uni[word] + crossentropy.ADDED) / (n + crossentropy.ADDED * size)
-                weight = crossentropy.BIGRAM_WEIGHT if seen else 0
-                out.append(-math.log(weight * (bi[before, word] / seen if seen else 0) + (1 - weight) * alone))
+                seen = scale * (heads[before] - uni[before]) + crossentropy.PRIOR
+                out.append(-math.log((scale * (pairs[before, word] - bi[before, word]) + crossentropy.PRIOR / size) / seen))
             return sum(out) / len(out)
 
         return loss
 
-    target, ground = losses(texts[:2]), losses(texts)
+    words = [len((t or "").split()) for t in texts]
+    target, ground = losses(texts[:2]), losses(texts, sum(words[:2]) / sum(words))
     for i, t in enumerate(texts):
         if t:
-            assert got[i].target_loss == pytest.approx(target(t)) and got[i].background_loss == pytest.approx(ground(t))
-            assert got[i].score == pytest.approx(target(t) - ground(t))
+            assert got[i].target_loss == pytest.approx(target(t, i < 2), rel=1e-6) and got[i].background_loss == pytest.approx(ground(t, True), rel=1e-6)
+            assert got[i].score == pytest.approx(target(t, i < 2) - ground(t, True), abs=1e-5)
         else:
             assert got[i].n_tokens == 0 and got[i].score is None
-    assert crossentropy.scored(odd, model).count() == odd.count() and crossentropy.scored(empty, crossentropy.fit(empty, labels)).count() == 0
-
-
-def test_pairs_are_counted_apart_in_a_large_corpus(spark):
-    # as many words before this one and as many pairs as make any bucket of 2^20 hold several
-    filler = [" ".join(f"w{k * 20_000 + j}" for j in range(20_000)) for k in range(160)]
-    docs = spark.createDataFrame([*enumerate(filler), (1000, "a b a b a b a b"), (1001, "w0 w2 w4 w6 w8")], "doc_id long, text string").repartition(4).cache()
-    model = crossentropy.fit(docs, spark.createDataFrame([(1000,)], "doc_id long"))
-    assert model.words.count() == 160 * 20_000 + 3 and model.pairs.count() == 160 * 20_000 + 3 + 4
-    probe = spark.createDataFrame([(1, "w0 w2 w4 w6 w8"), (2, "w1 w7 w3 w9 w5")], "doc_id long, text string")
-    got = {r.doc_id: r for r in crossentropy.scored(probe, model).collect()}
-    n, added = 160 * 20_000 + 13, crossentropy.ADDED
-    once = (1 + added) / (n + added * crossentropy.BUCKETS)
-    assert got[2].background_loss == pytest.approx(-sum(math.log(x) for x in [0.3 * once] * 5) / 5, rel=1e-6)
-    assert got[1].background_loss < got[2].background_loss
+    assert crossentropy.scored(odd, labels).count() == odd.count() and crossentropy.scored(empty, labels).count() == 0
+
+
+def test_what_is_gathered_grows_and_frequent_events_are_counted_alike(spark, monkeypatch):
+    rows = [(k, f"a b a b w{k} {prose(k, 40)}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k,) for k in range(0, 300, 7)], "doc_id long")
+    few = crossentropy.fit(crossentropy._source(docs.where("doc_id < 100"), labels, "doc_id", "text"))
+    model = crossentropy.fit(crossentropy._source(docs, labels, "doc_id", "text"))
+    assert len(model.events) and model.entries > 2.5 * few.entries and model.vocabulary > few.vocabulary
+    want = {r.doc_id: r.score for r in crossentropy.scored(docs, labels).collect()}
+    # the same without a broadcast event, and in small groups
+    monkeypatch.setattr(crossentropy, "SHARE", 2.0)
+    monkeypatch.setattr(crossentropy, "GROUP", 1000)
+    got = {r.doc_id: r.score for r in crossentropy.scored(docs, labels).collect()}
+    assert got == pytest.approx(want, abs=1e-4)
 
 
 def test_decontamination(spark, odd, empty):
