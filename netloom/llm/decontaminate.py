@@ -3,8 +3,8 @@
 1. Benchmark items are cut into passages; their words are the features. Document frequencies come from all documents.
 2. A randomised SVD of the TF-IDF matrix of passages gives the latent space: the matrix times a random test matrix, twice through
    its transpose, is summed over partitions; only matrices of features times rank meet on the driver.
-3. Every window of every document goes into that space, and cosines with all passages give candidates, block by block. A window
-   without enough of the benchmark's words can't pass the last step and is left out first.
+3. Every window of every document goes into that space, and cosines with all passages give candidates, block by block. Where items are
+   shorter than a window, shorter windows are searched too. A window that holds fewer of the benchmark's words than the shortest item needs is left out.
 4. The longest common subsequence of the item's and the region's words, and of the item's answer (its last sentence), confirm.
 """
 
@@ -23,13 +23,15 @@ from netloom.llm.common import fresh, small_batches, widened
 from netloom.llm.pieces import Keys
 from netloom.llm.words import chunks, span_hashes, word_spans
 
-#: Words of a passage or window, and between the starts of two.
-WINDOW, ITEM_STEP, TEXT_STEP = 16, 8, 4
+#: Words of a passage or window, words between the starts of two passages, windows that start within a window's length, words of the shortest window.
+WINDOW, ITEM_STEP, TEXT_STEPS, SHORTEST = 16, 8, 4, 4
 RANK, OVERSAMPLED, TURNS = 256, 16, 2
 #: Least share of known words in a window, least cosine, least share of an item's words in order, the same for its answer.
 KNOWN, COSINE, COMMON, ANSWER = 0.5, 0.45, 0.6, 0.5
-#: Benchmark words that may be broadcast with their vectors (1 kB each).
-MOST_WORDS = 400_000
+#: Different words of a benchmark, whose vectors meet on the driver and are broadcast (some 5 and 1 kB each), and its bytes; a larger one is refused.
+MOST_WORDS, MOST_BYTES = 60_000, 8_000_000
+#: Windows and passages that are compared at once.
+BLOCK = 2048
 
 # Bytes that belong to no word: ASCII but letters and digits.
 _OTHER = np.zeros(256, bool)
@@ -74,6 +76,17 @@ class Index:
     passages: np.ndarray  # rank x passages, of length 1
     owner: np.ndarray
 
+    def widths(self) -> list[int]:
+        """Words of a window: WINDOW, and halves of it down to the shortest item."""
+        shortest, out = min((len(x) for x in self.items if x), default=WINDOW), [WINDOW]
+        while out[-1] > max(SHORTEST, shortest):
+            out.append(out[-1] // 2)
+        return out
+
+    def least(self) -> float:
+        """Words in common without which no item passes the last step."""
+        return max(1.0, COMMON * min((len(x) for x in self.items if x), default=WINDOW) - 1e-9)
+
 
 def _passages(items: list[list[int]]) -> tuple[list[list[int]], np.ndarray]:
     out, owner = [], []
@@ -90,7 +103,11 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int
     """Statistics over all of ``docs``; the space of the benchmark's passages."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text")).where("text IS NOT NULL").distinct().orderBy("i", "text").collect()
+    wanted = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text")).where("text IS NOT NULL").distinct()
+    held = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if held > MOST_BYTES:
+        raise ValueError(f"the benchmark has {held} bytes; split it into parts of at most {MOST_BYTES}")
+    rows = wanted.orderBy("i", "text").collect()
     texts = [r.text for r in rows]
     flat, bounds = hashed(texts)
     items = [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
@@ -176,49 +193,56 @@ def _features(column: pa.Array, keys: Keys) -> Iterator[tuple[np.ndarray, np.nda
         yield words, found[some].astype(np.int64), rows[some], len(at) - 1
 
 
-def _searched(texts: list[str], index: Index) -> list[dict[int, float]]:
-    """For each text its items with their share of common words."""
-    hits: list[dict[int, float]] = [{} for _ in texts]
-    words, bounds = hashed(texts)
-    if index.keys is None or not len(words):
-        return hits
-    found = index.keys.get(words)
+def _windows(near: set[tuple[int, int, int, int]], index: Index, found: np.ndarray, bounds: np.ndarray, space: np.ndarray, width: int) -> None:
+    """Adds (row, item, first word, width) of windows of ``width`` words close to a passage of the item."""
     known = np.concatenate([[0], np.cumsum(found >= 0)])
-    # windows: every TEXT_STEP words, and the last one; a short text is one window
-    counts = np.diff(bounds)
-    made = np.where(counts > WINDOW, (counts - WINDOW + TEXT_STEP - 1) // TEXT_STEP + 1, np.minimum(counts, 1))
-    rows = np.repeat(np.arange(len(texts)), made)
+    # windows: every few words, and the last one; a short text is one window
+    step, counts = width // TEXT_STEPS, np.diff(bounds)
+    made = np.where(counts > width, (counts - width + step - 1) // step + 1, np.minimum(counts, 1))
+    rows = np.repeat(np.arange(len(counts)), made)
     first = np.cumsum(made) - made
-    start = (np.arange(len(rows)) - first[rows]) * TEXT_STEP
-    start = bounds[:-1][rows] + np.minimum(start, np.maximum(counts[rows] - WINDOW, 0))
-    end = np.minimum(start + WINDOW, bounds[1:][rows])
-    some = np.flatnonzero(known[end] - known[start] >= KNOWN * (end - start))
-    padded = np.concatenate([found, np.full(WINDOW, -1, found.dtype)])
-    space = np.vstack([index.basis, np.zeros((1, index.basis.shape[1]), np.float32)])  # -1: no feature
-    near: set[tuple[int, int, int]] = set()
-    for k in range(0, len(some), 2048):
-        part = some[k : k + 2048]
-        at = padded[start[part][:, None] + np.arange(WINDOW)]
-        at[np.arange(WINDOW)[None] >= (end - start)[part][:, None]] = -1
+    start = (np.arange(len(rows)) - first[rows]) * step
+    start = bounds[:-1][rows] + np.minimum(start, np.maximum(counts[rows] - width, 0))
+    end = np.minimum(start + width, bounds[1:][rows])
+    some = np.flatnonzero(known[end] - known[start] >= np.minimum(KNOWN * (end - start), index.least()))
+    padded = np.concatenate([found, np.full(width, -1, found.dtype)])
+    for k in range(0, len(some), BLOCK):
+        part = some[k : k + BLOCK]
+        at = padded[start[part][:, None] + np.arange(width)]
+        at[np.arange(width)[None] >= (end - start)[part][:, None]] = -1
         latent = space[at[:, 0]]
-        for j in range(1, WINDOW):
+        for j in range(1, width):
             latent += space[at[:, j]]
         # both lengths are taken in the latent space: what lies outside it (unknown words, dimensions beyond the rank) is the last step's to refuse
         length = np.sqrt(np.einsum("ij,ij->i", latent, latent))
         able = np.flatnonzero(length > 1e-6)
         if not len(able):
             continue
-        close = np.flatnonzero(latent[able] @ index.passages >= COSINE * length[able][:, None])
-        for i, p in zip((part[able[close // index.passages.shape[1]]]).tolist(), (close % index.passages.shape[1]).tolist()):
-            near.add((int(rows[i]), int(index.owner[p]), int(start[i])))
+        latent = latent[able] / length[able][:, None]
+        for j in range(0, index.passages.shape[1], BLOCK):
+            i, p = np.nonzero(latent @ index.passages[:, j : j + BLOCK] >= COSINE)
+            near.update(zip(rows[part[able[i]]].tolist(), index.owner[j + p].tolist(), start[part[able[i]]].tolist(), [width] * len(i)))
+
+
+def _searched(texts: list[str], index: Index) -> list[dict[int, float]]:
+    """For each text its items with their share of common words."""
+    hits: list[dict[int, float]] = [{} for _ in texts]
+    words, bounds = hashed(texts)
+    if index.keys is None or not len(words):
+        return hits
+    found = index.keys.get(words)
+    space = np.vstack([index.basis, np.zeros((1, index.basis.shape[1]), np.float32)])  # -1: no feature
+    near: set[tuple[int, int, int, int]] = set()
+    for width in index.widths():
+        _windows(near, index, found, bounds, space, width)
     done: dict[tuple[int, int], int] = {}
-    for row, item, at in sorted(near):
+    for row, item, at, width in sorted(near):
         wanted = index.items[item]
-        margin = len(wanted) + WINDOW
+        margin = len(wanted) + min(WINDOW, len(wanted))
         if done.get((row, item), -1) >= at:
             continue
-        a, b = max(int(bounds[row]), at - margin), min(int(bounds[row + 1]), at + WINDOW + margin)
-        done[row, item] = at + WINDOW // 2
+        a, b = max(int(bounds[row]), at - margin), min(int(bounds[row + 1]), at + width + margin)
+        done[row, item] = at + width // 2
         region = words[a:b].tolist()
         share = common_length(wanted, region) / len(wanted)
         answer = index.answers[item]

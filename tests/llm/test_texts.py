@@ -1,3 +1,4 @@
+import random
 import hashlib
 import math
 import re
@@ -326,3 +327,24 @@ def test_chat_markers_and_odd_rows(spark, empty):
     assert got[0].rendered == f"<|{got[0].role}|>\n{got[0].content}\n<|end|>"
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.parsed(none, chat.fit(none)).count() == 0
+
+
+def test_short_items_and_what_brute_force_finds(spark):
+    rng = random.Random(3)
+    items = [prose(3000 + n, n) for n in range(3, 25)]
+    other = [f"z{k}" for k in range(400)]
+    texts = [f"{' '.join(rng.choices(other, k=60))} {item} {' '.join(rng.choices(other, k=60))}" for item in items] + [" ".join(rng.choices(other, k=200)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: set(r.item_ids) for r in decontaminate.searched(docs, decontaminate.fit(docs, bench)).collect()}
+    # every item against every window twice its length, without the index
+    for i, text in enumerate(texts):
+        words = text.split()
+        for k, item in enumerate(items):
+            wanted = item.split()
+            best = max(decontaminate.common_length(wanted, words[a : a + 2 * len(wanted)]) for a in range(len(words)))
+            if best == len(wanted):
+                assert k in got[i]
+            elif best < decontaminate.COMMON * len(wanted):
+                assert k not in got[i] or decontaminate.common_length(wanted, words) >= decontaminate.COMMON * len(wanted)
+    assert all(not got[i] for i in range(len(items), len(texts)))
