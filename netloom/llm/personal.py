@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +21,8 @@ from netloom.llm.common import saved, small_batches
 
 # The kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# An address starts a run of digits: inside a run no match can start that doesn't start before. So long runs are read once.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -92,17 +94,28 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def _near(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    """Two words before and one behind, in lower case, digits as 0; only the nearest 120 characters count."""
-    left = TOKEN.findall(text[max(0, start - 120) : start])[-2:]
-    right = TOKEN.findall(text[end : end + 120])[:1]
-    plain = lambda w: re.sub(r"[0-9]+", "0", w.lower())
-    return [plain(w) for w in left], [plain(w) for w in right]
+class Words:
+    """The words of a text, found when first asked for."""
 
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.spans: list[tuple[int, int]] | None = None
 
-def contexts(text: str, start: int, end: int) -> list[str]:
+    def near(self, start: int, end: int) -> tuple[list[str], list[str]]:
+        """Two words before and one behind, in lower case, digits as 0; of a word that the span cuts, the rest."""
+        if self.spans is None:
+            self.spans = [m.span() for m in TOKEN.finditer(self.text)]
+        k = bisect_left(self.spans, (start, -1))
+        left = [self.text[a : min(b, start)] for a, b in self.spans[max(0, k - 2) : k]]
+        k = bisect_right(self.spans, end, key=lambda s: s[1])
+        right = [self.text[max(a, end) : b] for a, b in self.spans[k : k + 1]]
+        plain = lambda w: re.sub(r"[0-9]+", "0", w.lower())
+        return [plain(w) for w in left], [plain(w) for w in right]
+
+
+def contexts(words: Words, start: int, end: int) -> list[str]:
     """The lexical patterns that an occurrence supports."""
-    left, right = _near(text, start, end)
+    left, right = words.near(start, end)
     out = []
     if len(left) == 2:
         out.append("2|" + " ".join(left))
@@ -131,7 +144,7 @@ def candidate_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[
         if k < len(taken) and taken[k][0] < end:
             continue
         word = text[start:end]
-        if end - start <= 64 and ("@" in word or sum("0" <= c <= "9" for c in word) >= 4):
+        if start < end and ("@" in word or sum("0" <= c <= "9" for c in word) >= 4):
             out.append((start, end))
     return out
 
@@ -151,8 +164,9 @@ def scanned(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 base.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
                 found = [(a, b, k) for a, b, k in spans] + [(a, b, None) for a, b in candidate_spans(text, spans)]
+                words = Words(text)
                 uses.append(
-                    [{"start": a, "end": b, "kind": k, "instance": code(text[a:b]), "patterns": [code(p) for p in contexts(text, a, b)]} for a, b, k in found]
+                    [{"start": a, "end": b, "kind": k, "instance": code(text[a:b]), "patterns": [code(p) for p in contexts(words, a, b)]} for a, b, k in found]
                 )
             span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
             use = pa.struct([*span, pa.field("instance", pa.int64()), pa.field("patterns", pa.list_(pa.int64()))])
@@ -170,20 +184,23 @@ def scanned(docs: DataFrame) -> DataFrame:
 def trusted(uses: DataFrame, least_seeds: int = LEAST_SEEDS, sure: float = SURE, rounds: int = ROUNDS) -> DataFrame:
     """(pattern): patterns of high confidence, from the graph of (pattern, instance, seed).
 
-    A pattern's confidence is the mean score of its distinct instances, shrunk by one unknown instance; a candidate's score is the
-    best confidence among patterns with enough seeds. Seeds keep a score of 1. Each round is two aggregations.
+    Seeds have a score of 1, other instances 0 at first. In each round a pattern with ``least_seeds`` instances of a score of ``sure`` or more
+    gets a confidence, the mean score of its distinct instances, shrunk by one unknown instance; an instance that is no seed then gets the best confidence
+    among its patterns. So what a round discovers supports further patterns in the next. Each round is two aggregations.
     """
     graph = saved(uses.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
-    # patterns without a seed can't gain any; leave them out of the rounds
-    able = graph.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(f"seeds >= {least_seeds}").select("pattern")
-    graph = saved(graph.join(able, "pattern"), "graph")
-    scores = graph.select("pattern", "instance", "seed", F.col("seed").cast("double").alias("score"))
+
+    def confident(scores: DataFrame | None) -> DataFrame:
+        score = F.col("seed").cast("double")
+        rows = graph.withColumn("score", score) if scores is None else graph.join(scores, "instance", "left").withColumn("score", F.greatest(score, F.coalesce("best", F.lit(0.0))))
+        made = rows.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("score") >= sure).alias("support"))
+        return made.where(f"support >= {least_seeds}").select("pattern", "confidence")
+
+    scores = None
     for _ in range(rounds):
-        sure_of = scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"))
-        best = scores.select("pattern", "instance", "seed").join(sure_of, "pattern").groupBy("instance").agg(F.max("confidence").alias("c"))
-        scores = graph.join(best, "instance").select("pattern", "instance", "seed", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("c")).alias("score"))
+        scores = graph.where("seed = 0").join(confident(scores), "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
         scores = saved(scores, "scores")
-    return scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence")).where(f"confidence >= {sure}").select("pattern")
+    return confident(scores).where(f"confidence >= {sure}").select("pattern")
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,21 +241,21 @@ def digest(spans: DataFrame) -> DataFrame:
 
     counts = [count(k) for k in KINDS]
     spans = spans.withColumn("every", F.concat("base", "extra"))
-    return spans.select("doc_id", *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("every").alias("spans"))
+    return spans.select("doc_id", *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("every").alias("spans"), (F.size("every") > 0).alias("personal"))
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span, base or discovered, replaced by its kind in angle brackets; other columns as they were.
 
     Overlapping spans become one, named by the first. Null texts stay null. Rows that repeat an id with different texts are each
-    masked by their own spans.
+    masked by their own spans. An empty table stays empty; columns may have any name.
     """
     small_batches(docs.sparkSession)
     spans = found(docs, id_col, text_col)
-    extra = spans.where("size(extra) > 0").groupBy("doc_id").agg(F.collect_set("extra").alias("__extra")).withColumnRenamed("doc_id", "__doc")
+    extra = spans.where("size(extra) > 0").groupBy("doc_id").agg(F.collect_set("extra").alias("__spans_found")).withColumnRenamed("doc_id", "__spans_of")
     names = docs.columns
     where = names.index(text_col)
-    both = docs.join(extra, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc")), "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce("__extra", F.array()).alias("__extra"))
+    both = docs.join(extra, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__spans_of")), "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce("__spans_found", F.array()).alias("__spans_found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

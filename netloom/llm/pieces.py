@@ -14,6 +14,7 @@ Characters without a piece become byte pieces. Words with runs of spaces, whose
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,9 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 NONE = np.int32(-1)
 #: Distinct words that a worker keeps with their ids between batches.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
+#: Characters from which a word of a BPE model is merged pair by pair.
+LONG = 2_000
 
 
 class Keys:
@@ -122,24 +125,41 @@ class Encoder:
             self.merges = Keys(_pair_key(a, b), c)
 
     def merged(self, word: str, last: bool = False) -> list[int]:
-        """BPE pair by pair. ``last``: the two parts of the final merge if one piece comes out, else nothing of use."""
+        """BPE pair by pair, the best score first and the leftmost of equal ones. ``last``: the two parts of the final merge if one piece comes out, else nothing of use."""
         parts: list[str] = list(word)
-        before: list[str] = parts
-        ids = self.ids
-        while len(parts) > 1:
-            best, where = None, -1
-            for k in range(len(parts) - 1):
-                i = ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, where = self.scores[i], k
-            if where < 0:
-                break
-            before, parts = parts, [*parts[:where], parts[where] + parts[where + 1], *parts[where + 2 :]]
+        n, ids = len(parts), self.ids
+        after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, str, int]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < n:
+                both = parts[k] + parts[after[k]]
+                i = ids.get(both)
+                if i is not None:
+                    heapq.heappush(heap, (-float(self.scores[i]), k, both, len(parts[k])))
+
+        for k in range(n - 1):
+            offer(k)
+        left, before = n, []
+        while heap:
+            _, k, both, cut = heapq.heappop(heap)
+            if len(parts[k]) != cut or after[k] >= n or parts[k] + parts[after[k]] != both:
+                continue  # one of them has merged meanwhile
+            j = after[k]
+            if left == 2:
+                before = [parts[k], parts[j]]
+            parts[k], parts[j], after[k] = both, "", after[j]
+            if after[k] < n:
+                prior[after[k]] = k
+            left -= 1
+            offer(k)
+            offer(prior[k])
         if last:
-            return [ids.get(p, -1) for p in before] if len(parts) == 1 and len(before) == 2 else []
+            return [ids.get(p, -1) for p in before] if left == 1 else []
         out: list[int] = []
         for p in parts:
-            out += [ids[p]] if p in ids else self._bytes(p)
+            if p:
+                out += [ids[p]] if p in ids else self._bytes(p)
         return out
 
     def _bytes(self, char: str) -> list[int]:
@@ -174,6 +194,8 @@ class Encoder:
         """(ids, bounds) of distinct words."""
         lengths = np.array([len(t) for t in texts], np.int64)
         direct = np.array([self.direct_all or (self.tied_blanks and BLANK * 2 in t) for t in texts], bool)
+        if self.kind == "bpe":  # a word without end would take a round for each character
+            direct |= lengths > LONG
         order = np.argsort(-np.where(direct, 0, lengths), kind="stable")
         many = int((~direct & (lengths > 0)).sum())
         chosen = order[:many]
@@ -264,7 +286,7 @@ class Encoder:
         """(ids, bounds) of each text of a column; nulls count as empty."""
         flat, counts = [], []
         with np.errstate(over="ignore"):
-            for _, _, data, at in chunks(column, 4 << 20):
+            for _, _, data, at in chunks(column):
                 ids, bounds = self._texts(data, at)
                 flat.append(ids)
                 counts.append(np.diff(bounds))

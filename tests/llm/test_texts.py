@@ -348,3 +348,31 @@ def test_short_items_and_what_brute_force_finds(spark):
             elif best < decontaminate.COMMON * len(wanted):
                 assert k not in got[i] or decontaminate.common_length(wanted, words) >= decontaminate.COMMON * len(wanted)
     assert all(not got[i] for i in range(len(items), len(texts)))
+
+
+def test_very_long_texts_take_seconds():
+    from time import time
+
+    import pyarrow as pa
+    import sentencepiece
+
+    codec = pieces.load(pieces.DEFAULT_MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    began = time()
+    for text in ("7" * 1_000_000, "1." * 500_000, "+1 " * 300_000, "a@" * 500_000):
+        assert all(0 <= a < b <= len(text) for a, b, _ in personal.base_spans(text))
+        personal.candidate_spans(text, [])
+    assert time() - began < 20
+    for text in (" " * 20_000 + "end", "ab" * 10_000, "x" * 5_000 + "  y"):
+        ids, _ = codec.encode(pa.array([text]))
+        assert ids.tolist() == library.encode(text)
+    began = time()
+    codec.encode(pa.array([" " * 300_000, "ab" * 150_000]))
+    assert time() - began < 20
+
+
+def test_contexts_reach_over_any_distance():
+    text = "left " + "-" * 400 + " 555 0199 1234 " + " " * 300 + "right"
+    at = text.index("555")
+    assert personal.Words(text).near(at, at + 13) == (["left", "-" * 400], ["right"])
+    assert personal.Words("id:123 x").near(3, 6) == (["id:"], ["x"])
