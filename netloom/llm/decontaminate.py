@@ -28,6 +28,8 @@ WINDOW, ITEM_STEP, TEXT_STEPS, SHORTEST = 16, 8, 4, 4
 RANK, OVERSAMPLED, TURNS = 256, 16, 2
 #: Least share of known words in a window, least cosine, least share of an item's words in order, the same for its answer.
 KNOWN, COSINE, COMMON, ANSWER = 0.5, 0.45, 0.6, 0.5
+#: Least part of a passage's weight that a window has. A cosine alone is high for a window that knows one or two words.
+COVER = 0.25
 #: Different words of a benchmark, whose vectors meet on the driver and are broadcast (some 5 and 1 kB each), and its bytes; a larger one is refused.
 MOST_WORDS, MOST_BYTES = 60_000, 8_000_000
 #: Windows and passages that are compared at once.
@@ -74,12 +76,13 @@ class Index:
     idf: np.ndarray
     basis: np.ndarray  # features x rank, rows weighted by idf
     passages: np.ndarray  # rank x passages, of length 1
+    weights: np.ndarray  # lengths that passages had
     owner: np.ndarray
 
     def widths(self) -> list[int]:
         """Words of a window: WINDOW, and halves of it down to the shortest item."""
         shortest, out = min((len(x) for x in self.items if x), default=WINDOW), [WINDOW]
-        while out[-1] > max(SHORTEST, shortest):
+        while out[-1] > SHORTEST and out[-1] > 1.5 * shortest:
             out.append(out[-1] // 2)
         return out
 
@@ -121,7 +124,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int
         raise ValueError(f"the benchmark has {len(features)} words; split it into parts of at most {MOST_WORDS}")
     ids = [r.i for r in rows]
     if not len(features):
-        return Index(ids, items, answers, None, np.zeros(0), np.zeros((0, 1)), np.zeros((1, 0)), np.zeros(0, np.int64))
+        return Index(ids, items, answers, None, np.zeros(0), np.zeros((0, 1)), np.zeros((1, 0)), np.zeros(0), np.zeros(0, np.int64))
     keys = Keys(features, np.arange(len(features), dtype=np.int32))
     shared = spark.sparkContext.broadcast(keys)
 
@@ -146,8 +149,9 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int
     basis = _singular(matrix, idf, min(rank, len(passages), len(features)))
     weighted = (basis * idf[:, None]).astype(np.float32)
     latent = np.stack([weighted[x].sum(axis=0) for x in at])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Index(ids, items, answers, keys, idf, weighted, np.ascontiguousarray(latent.T), owner)
+    weights = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
+    latent /= weights[:, None]
+    return Index(ids, items, answers, keys, idf, weighted, np.ascontiguousarray(latent.T), weights, owner)
 
 
 def _singular(matrix: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
@@ -218,9 +222,10 @@ def _windows(near: set[tuple[int, int, int, int]], index: Index, found: np.ndarr
         able = np.flatnonzero(length > 1e-6)
         if not len(able):
             continue
-        latent = latent[able] / length[able][:, None]
+        latent, length = latent[able], length[able]
         for j in range(0, index.passages.shape[1], BLOCK):
-            i, p = np.nonzero(latent @ index.passages[:, j : j + BLOCK] >= COSINE)
+            near_by = latent @ index.passages[:, j : j + BLOCK]
+            i, p = np.nonzero(near_by >= np.maximum(COSINE * length[:, None], COVER * index.weights[j : j + BLOCK][None]))
             near.update(zip(rows[part[able[i]]].tolist(), index.owner[j + p].tolist(), start[part[able[i]]].tolist(), [width] * len(i)))
 
 
