@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.operators.lookup import incident
+from netloom.operators.lookup import degrees, incident
+from netloom.operators.store import saved
 
 ORDER = ("port", "endpoint", "dir", "sel")
 
@@ -23,10 +23,17 @@ class Limits:
 
 
 def drives(is_port: Column, direction: Column, forward: bool) -> Column:
-    """Whether a step from this end of an edge follows the wanted direction; a direction is relative to the port."""
-    out = (is_port & (direction == "out")) | (~is_port & (direction == "in"))
-    into = (is_port & (direction == "in")) | (~is_port & (direction == "out"))
-    return (out if forward else into) | (direction == "inout")
+    """Whether a step from this end of an edge follows the wanted direction; a direction is relative to the port.
+
+    Forwards: an output from its port, and from the other end whatever reads, inout included. Backwards: the reverse.
+    """
+    out = direction == "out"
+    return (is_port & out) | (~is_port & ~out) if forward else (is_port & ~out) | (~is_port & out)
+
+
+def box_drives(is_port: Column, direction: Column) -> Column:
+    """Whether the far end of an edge drives the node at this end rather than reading it."""
+    return drives(is_port, direction, False)
 
 
 def signal_groups(nodes: DataFrame) -> DataFrame:
@@ -48,10 +55,30 @@ def signal_join(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("net", F.least("driver", "load").alias("a"), F.greatest("driver", "load").alias("b")).agg(F.count("*").alias("ways")).select("net", "a", "b")
 
 
-def net_ties(edges: DataFrame) -> DataFrame:
-    """(net, driver): nets with exactly one driver, and that without a select."""
-    drivers = edges.where("dir = 'out'").groupBy("endpoint").agg(F.count("*").alias("n"), F.min("port").alias("driver"), F.count("sel").alias("selects"))
-    return drivers.where("n = 1 AND selects = 0").select(F.col("endpoint").alias("net"), "driver")
+def net_ties(nodes: DataFrame, edges: DataFrame, constants: DataFrame) -> DataFrame:
+    """(group, constant): path groups with exactly one driver, that without a select and an Assign or Comb with a constant.
+
+    ``constants`` (id, constant). Edges inside a group are no drivers.
+    """
+    groups = signal_groups(nodes).withColumnRenamed("id", "node")
+    near = incident(edges).join(groups, "node").join(groups.select(F.col("node").alias("other"), F.col("group").alias("og")), "other")
+    near = near.where((F.col("group") != F.col("og")) & box_drives(F.col("is_port"), F.col("dir")))
+    one = near.groupBy("group").agg(F.count("*").alias("n"), F.count("sel").alias("selects"), F.min("other").alias("id")).where("n = 1 AND selects = 0")
+    logic = nodes.where("kind IN ('Assign', 'Comb')").select("id").join(constants.where("constant IS NOT NULL"), "id")
+    return one.join(logic, "id").select("group", "constant")
+
+
+def csr(edges: DataFrame, bits: int = 16) -> DataFrame:
+    """(node, start, n): where each node's incident edges start in an index ordered by node, and how many there are.
+
+    Prefix sums in two steps: over blocks of 2**bits node numbers that have edges, whose totals alone meet in one task, then inside each block.
+    """
+    counts = degrees(edges).withColumn("block", F.shiftright("node", bits))
+    totals = counts.groupBy("block").agg(F.sum("degree").alias("total"))
+    before = totals.select("block", F.coalesce(F.sum("total").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("block").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    rows = counts.withColumn("here", F.coalesce(F.sum("degree").over(inside), F.lit(0))).join(before, "block")
+    return rows.select("node", (F.col("before") + F.col("here")).alias("start"), F.col("degree").alias("n"))
 
 
 def dangling(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("Port", "Net", "Var", "Memory")) -> DataFrame:
@@ -89,7 +116,6 @@ def cone(edges: DataFrame, seeds: DataFrame, limits: Limits = Limits(), forward:
     seed takes new nodes, nearest hop and least id first, until it has ``boxes``. Every hop is written to the shared
     folder, so plans stay short and a lost executor costs one hop. ``forward`` None follows both directions.
     """
-    spark = edges.sparkSession
     near = incident(edges)
     if forward is not None:
         near = near.where(drives(F.col("is_port"), F.col("dir"), forward))
@@ -97,12 +123,9 @@ def cone(edges: DataFrame, seeds: DataFrame, limits: Limits = Limits(), forward:
     steps = near.withColumn("r", F.row_number().over(order))
     over = steps.groupBy("node").agg(F.greatest(F.count("*") - limits.fanout, F.lit(0)).alias("over"))
     steps = steps.where(F.col("r") <= limits.fanout).select("node", "other")
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
 
     def kept(df: DataFrame) -> DataFrame:
-        path = f"{base}/netloom/cone-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return saved(df, "cone")
 
     seen = kept(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop")).distinct())
     cuts = seen.select("seed", F.lit(0).cast("long").alias("more")).limit(0)

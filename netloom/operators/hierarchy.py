@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.lookup import best_kind
+from netloom.operators.store import saved
 
 
 def scope_frames(nodes: DataFrame) -> DataFrame:
@@ -15,36 +16,63 @@ def scope_frames(nodes: DataFrame) -> DataFrame:
     return nodes.select("path").distinct().select("path", F.explode(frames).alias("f")).select("path", "f.depth", "f.frame")
 
 
-def nearest_ancestor(nodes: DataFrame, kind: str = "Instance", proper: bool = False) -> DataFrame:
-    """(id, ancestor): the nearest node of a kind at a prefix of the path, by default the node's own path included."""
-    frames = scope_frames(nodes).join(nodes.where(F.col("kind") == kind).select(F.col("path").alias("frame"), F.col("id").alias("ancestor")), "frame")
-    if proper:
-        frames = frames.where("frame <> path")
-    best = frames.groupBy("path").agg(F.max_by("ancestor", F.struct("depth", -F.col("ancestor"))).alias("ancestor"))
-    return nodes.select("id", "path").join(best, "path", "left").select("id", "ancestor")
+def nearest(nodes: DataFrame, wanted: DataFrame, proper: bool = False) -> DataFrame:
+    """(id, ancestor): for every node the nearest of ``wanted`` (id) on its way to the root over parents; null if there is none.
+
+    The node itself counts unless ``proper``. Pointers jump twice as far each round, so a tree of any depth takes a logarithmic number of joins.
+    """
+    stop = wanted.select(F.col("id").alias("up"), F.lit(True).alias("stop"))
+    step = nodes.select("id", F.col("parent").alias("up")) if proper else nodes.select("id", F.col("id").alias("up"))
+    # (id, up, done): done once up is wanted or there is nothing above
+    links = nodes.select(F.col("id").alias("up"), F.col("parent").alias("next"))
+    base = links.join(stop, "up", "left").select("up", F.when(F.col("stop"), F.col("up")).otherwise(F.col("next")).alias("next"), (F.coalesce("stop", F.lit(False)) | F.col("next").isNull()).alias("done"), F.coalesce("stop", F.lit(False)).alias("hit"))
+    base = saved(base, "links")
+    while base.where("NOT done").limit(1).count():
+        hop = base.select(F.col("up").alias("next"), F.col("next").alias("beyond"), F.col("done").alias("end"), F.col("hit").alias("found"))
+        move = base.where("NOT done").join(hop, "next").select("up", F.col("beyond").alias("next"), F.col("end").alias("done"), F.col("found").alias("hit"))
+        base = saved(base.where("done").unionAll(move), "links")
+    return step.join(base, "up", "left").select("id", F.when(F.col("hit"), F.col("next")).alias("ancestor"))
+
+
+def nearest_ancestor(nodes: DataFrame, kind: str = "Instance") -> DataFrame:
+    """(id, ancestor): the nearest node of a kind, itself included."""
+    return nearest(nodes, nodes.where(F.col("kind") == kind))
+
+
+def containing_instance(nodes: DataFrame) -> DataFrame:
+    """(id, ancestor): the nearest instance above a node; none if that is a top-level instance, which is the design itself."""
+    found = nearest(nodes, nodes.where("kind = 'Instance'"), proper=True)
+    tops = nodes.where("parent IS NULL").select(F.col("id").alias("ancestor"), F.lit(True).alias("is_top"))
+    return found.join(tops, "ancestor", "left").select("id", F.when(F.col("is_top").isNull(), F.col("ancestor")).alias("ancestor"))
+
+
+def cone_root(nodes: DataFrame, navigable: DataFrame) -> DataFrame:
+    """(id, root): path of the nearest navigable scope, itself included; the node's own path if there is none."""
+    found = nearest(nodes, navigable).withColumnRenamed("ancestor", "up")
+    paths = nodes.select(F.col("id").alias("up"), F.col("path").alias("root"))
+    return nodes.select("id", "path").join(found, "id").join(paths, "up", "left").select("id", F.coalesce("root", "path").alias("root"))
 
 
 def tree(nodes: DataFrame, depth: int, root: str = "top") -> DataFrame:
-    """(path, parent_path, level, expandable) of scopes down to a depth; one join for each level."""
-    scopes = nodes.where(F.col("kind").isin("Instance", "GenBlock")).select("id", "path", "parent")
+    """(path, parent_path, level, expandable) of scopes down to a depth; one join for each level, every level written once."""
+    scopes = saved(nodes.where(F.col("kind").isin("Instance", "GenBlock")).select("id", "path", "parent"), "scopes")
     kids = scopes.where("parent IS NOT NULL").groupBy("parent").agg(F.count("*").alias("kids"))
     level = scopes.where(F.col("path") == root).select("id", "path", F.lit(None).cast("string").alias("parent_path"), F.lit(0).alias("level"))
     out = level
     for k in range(1, depth + 1):
-        level = scopes.alias("s").join(level.alias("p"), F.col("s.parent") == F.col("p.id")).select("s.id", "s.path", F.col("p.path").alias("parent_path"), F.lit(k).alias("level"))
+        level = saved(scopes.alias("s").join(level.alias("p"), F.col("s.parent") == F.col("p.id")).select("s.id", "s.path", F.col("p.path").alias("parent_path"), F.lit(k).alias("level")), "level")
         out = out.unionAll(level)
     return out.join(kids, out["id"] == kids["parent"], "left").select("path", "parent_path", "level", (F.coalesce("kids", F.lit(0)) > 0).alias("expandable"))
 
 
-def child_boxes(nodes: DataFrame, nesting: int = 4) -> DataFrame:
-    """(scope, box): children of instances that aren't GenBlocks, GenBlocks dissolved down to ``nesting`` levels."""
-    links = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("p"), F.col("id").alias("c"), "kind")
-    level = links.join(nodes.where("kind = 'Instance'").select(F.col("id").alias("scope")), F.col("p") == F.col("scope")).select("scope", "c", "kind")
-    out = level.where("kind <> 'GenBlock'").select("scope", F.col("c").alias("box"))
-    for _ in range(nesting):
-        level = level.where("kind = 'GenBlock'").select("scope", F.col("c").alias("g")).join(links, F.col("g") == F.col("p")).select("scope", "c", "kind")
-        out = out.unionAll(level.where("kind <> 'GenBlock'").select("scope", F.col("c").alias("box")))
-    return out
+def child_boxes(nodes: DataFrame) -> DataFrame:
+    """(scope, box): children of instances that aren't GenBlocks; GenBlocks dissolve, however deep they nest."""
+    blocks = nodes.where("kind = 'GenBlock'").select("id")
+    boxes = nodes.where("kind <> 'GenBlock' AND parent IS NOT NULL").select(F.col("id").alias("box"), F.col("parent").alias("id"))
+    # the nearest ancestor of a box that is no GenBlock
+    above = nearest(nodes, nodes.join(blocks, "id", "left_anti"))
+    scopes = nodes.where("kind = 'Instance'").select(F.col("id").alias("ancestor"))
+    return boxes.join(above, "id").join(scopes, "ancestor", "left_semi").select(F.col("ancestor").alias("scope"), "box")
 
 
 def scope_signals(nodes: DataFrame) -> DataFrame:

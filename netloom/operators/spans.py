@@ -34,12 +34,12 @@ def stabbed(ranges: DataFrame, probes: DataFrame, cell: int = 4096) -> DataFrame
     """(file, offset, id, width): every range (file, id, lo, hi) over a probe (file, offset).
 
     Ranges are dealt over grid cells of ``cell`` bytes, so the join has equal keys and a residual test; a probe is in one cell, so
-    nothing is found twice. An empty range counts as one byte wide.
+    nothing is found twice. An empty range covers the byte it starts at and has the greatest width, so anything else is narrower.
     """
     end = F.greatest(F.col("hi"), F.col("lo") + 1)
-    cells = ranges.select("file", "id", "lo", end.alias("end"), F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((end - 1) / cell))).alias("cell"))
+    cells = ranges.select("file", "id", "lo", "hi", end.alias("end"), F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((end - 1) / cell))).alias("cell"))
     at = probes.withColumn("cell", F.floor(F.col("offset") / cell))
-    return at.join(cells, ["file", "cell"]).where("lo <= offset AND offset < end").select("file", "offset", "id", (F.col("end") - F.col("lo")).alias("width"))
+    return at.join(cells, ["file", "cell"]).where("lo <= offset AND offset < end").select("file", "offset", "id", F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit((1 << 63) - 1)).alias("width"))
 
 
 def narrowest(hits: DataFrame, ties: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import bits
 from netloom.operators import graph, hierarchy, linkage, lookup, probe, quality, schematic, spans, waves
+from netloom.operators.store import saved
 from netloom.plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,9 @@ class Data:
         self._spark, self._dir = spark, sf_dir
         self._seen: dict[str, DataFrame] = {}
 
+    def sql(self, text: str) -> DataFrame:
+        return self._spark.sql(text)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._seen:
             self._seen[name] = self._spark.table(name)
@@ -63,7 +67,7 @@ _CLASS = _CLASS.replace("{", "{{").replace("}", "}}")
 
 
 def _match(d: Data) -> DataFrame:
-    return linkage.matched(d.vars, d.nodes, OPTS)
+    return linkage.matched(d.vars, saved(d.nodes, "nodes"), OPTS)
 
 
 @query("match_report", f"""WITH {_CLASS} SELECT direct, alias, parameter, unmatched, excluded, mystery, direct + alias + unmatched AS denominator,
@@ -150,7 +154,8 @@ def hot_nets(d: Data) -> DataFrame:
     return lookup.hot_nets(d.edges)
 
 
-@query("derived_path_lookup", "SELECT p.id AS parent_id, c.name AS member, x.id, x.kind FROM nodes c JOIN nodes p ON c.parent = p.id JOIN nodes x ON x.path = concat(p.path, '.', c.name) WHERE c.kind = 'Net'")
+@query("derived_path_lookup", """WITH w AS (SELECT p.id AS parent_id, c.name AS member, concat(p.path, '.', c.name) AS path FROM nodes c JOIN nodes p ON c.parent = p.id WHERE c.kind = 'Net')
+  SELECT parent_id, member, x.id, x.kind FROM w JOIN nodes x USING (path)""")
 def derived_path_lookup(d: Data) -> DataFrame:
     return lookup.derived_path(d.nodes, d.nodes.where("kind = 'Net'").select(F.col("parent").alias("parent_id"), F.col("name").alias("member")))
 
@@ -170,9 +175,22 @@ def nearest_ancestor(d: Data) -> DataFrame:
     return hierarchy.nearest_ancestor(d.nodes)
 
 
-@query("containing_instance", _UP.format("up.kind <> 'Instance' OR  up.id = up.anc", " AND id <> anc").replace("{", "{{"))
+_NAV = """bare AS (SELECT id FROM scopes i WHERE kind = 'Interface' AND EXISTS (SELECT 1 FROM scopes m WHERE m.parent = i.id AND m.kind = 'Modport')),
+  up AS (SELECT s.parent AS id FROM scopes s WHERE s.parent IS NOT NULL AND (s.kind = 'Instance' OR s.id IN (SELECT id FROM bare))
+    UNION SELECT g.parent FROM up JOIN scopes g ON g.id = up.id WHERE g.kind = 'GenBlock' AND g.parent IS NOT NULL),
+  nav AS (SELECT id, parent, name, kind FROM scopes WHERE kind = 'Instance' OR id IN (SELECT id FROM bare) OR (kind = 'GenBlock' AND id IN (SELECT id FROM up)))"""
+
+
+@query("containing_instance", """WITH RECURSIVE up AS (SELECT id, parent AS anc FROM scopes UNION ALL SELECT up.id, n.parent FROM up JOIN scopes n ON n.id = up.anc WHERE n.kind <> 'Instance')
+  SELECT scopes.id, CASE WHEN h.above IS NOT NULL THEN h.anc END AS ancestor FROM scopes LEFT JOIN (SELECT up.id, up.anc, n.parent AS above FROM up JOIN scopes n ON n.id = up.anc WHERE n.kind = 'Instance') h ON h.id = scopes.id""")
 def containing_instance(d: Data) -> DataFrame:
-    return hierarchy.nearest_ancestor(d.nodes, proper=True)
+    return hierarchy.containing_instance(d.scopes)
+
+
+@query("cone_root", f"""WITH RECURSIVE {_NAV}, w AS (SELECT id, id AS anc FROM scopes UNION ALL SELECT w.id, n.parent FROM w JOIN scopes n ON n.id = w.anc WHERE n.parent IS NOT NULL AND w.anc NOT IN (SELECT id FROM nav))
+  SELECT scopes.id, coalesce(r.path, scopes.path) AS root FROM scopes LEFT JOIN (SELECT w.id, n.path FROM w JOIN scopes n ON n.id = w.anc WHERE w.anc IN (SELECT id FROM nav)) r ON r.id = scopes.id""")
+def cone_root(d: Data) -> DataFrame:
+    return hierarchy.cone_root(d.scopes, schematic.navigable(d.scopes))
 
 
 @query("hierarchy_tree", """WITH RECURSIVE t AS (SELECT id, path, CAST(NULL AS VARCHAR) AS parent_path, 0 AS level FROM nodes WHERE path = 'top'
@@ -230,13 +248,26 @@ def signal_join(d: Data) -> DataFrame:
     return graph.signal_join(d.edges)
 
 
-@query("net_ties", "SELECT endpoint AS net, min(port) AS driver FROM edges WHERE dir = 'out' GROUP BY 1 HAVING count(*) = 1 AND count(sel) = 0")
+#: Constants of logic nodes, and edges that drive nets from them: one driver a net for two parts in three.
+_TIES = """c AS (SELECT 20000000000000 + p_partkey AS id, CASE p_partkey % 2 WHEN 0 THEN 'Assign' ELSE 'FF' END AS kind, CASE WHEN p_partkey % 5 > 0 THEN concat(p_size, '') END AS k, p_partkey FROM part),
+  a AS (SELECT id, kind, concat('top.a', p_partkey) AS path, k FROM c UNION ALL SELECT 30000000000000 + p_partkey, 'Net', concat('top.t', p_partkey), NULL FROM c
+    UNION ALL SELECT 31000000000000 + p_partkey, 'Port', concat('top.t', p_partkey), NULL FROM c),
+  e AS (SELECT id AS port, 30000000000000 + p_partkey AS endpoint, 'out' AS dir, CASE WHEN p_partkey % 7 = 0 THEN '[0]' END AS sel FROM c UNION ALL SELECT 31000000000000 + p_partkey, 30000000000000 + p_partkey, 'out', NULL FROM c
+    UNION ALL SELECT id, 31000000000000 + p_partkey + 1, 'out', NULL FROM c WHERE p_partkey % 3 = 0 UNION ALL SELECT id, 30000000000000 + p_partkey, 'in', NULL FROM c WHERE p_partkey % 4 = 0)"""
+
+
+@query("net_ties", f"""WITH {_TIES}, g AS (SELECT path, min(id) AS g FROM a WHERE kind IN ('Net', 'Port') GROUP BY path), m AS (SELECT a.id, coalesce(g.g, a.id) AS g FROM a LEFT JOIN g ON g.path = a.path AND a.kind IN ('Net', 'Port')),
+  n AS (SELECT m.g, e.port AS other, e.sel, o.g AS og FROM e JOIN m ON m.id = e.endpoint JOIN m o ON o.id = e.port WHERE dir = 'out' UNION ALL SELECT m.g, e.endpoint, e.sel, o.g FROM e JOIN m ON m.id = e.port JOIN m o ON o.id = e.endpoint WHERE dir <> 'out'),
+  one AS (SELECT g, min(other) AS other FROM n WHERE g <> og GROUP BY g HAVING count(*) = 1 AND count(sel) = 0)
+  SELECT g AS "group", k AS constant FROM one JOIN a ON a.id = other WHERE kind IN ('Assign', 'Comb') AND k IS NOT NULL""")
 def net_ties(d: Data) -> DataFrame:
-    return graph.net_ties(d.edges)
+    made = {name: d.sql(f"WITH {_TIES} SELECT * FROM {name}") for name in ("a", "e")}
+    edges = made["e"].withColumn("edge", F.concat_ws(">", "port", "endpoint", "dir"))
+    return graph.net_ties(made["a"].select("id", "kind", "path"), edges, made["a"].select("id", F.col("k").alias("constant")))
 
 
-@query("dangling_pins", """SELECT n.id, n.path FROM nodes n WHERE kind IN ('Port', 'Net', 'Var', 'Memory') AND CASE WHEN kind = 'Memory' THEN n.id NOT IN (SELECT endpoint FROM edges)
-  ELSE n.path NOT IN (SELECT path FROM nodes m WHERE m.kind IN ('Port', 'Net', 'Var') AND (m.id IN (SELECT port FROM edges) OR m.id IN (SELECT endpoint FROM edges))) END""")
+@query("dangling_pins", """WITH w AS (SELECT port AS id FROM edges UNION SELECT endpoint FROM edges), p AS (SELECT DISTINCT path FROM nodes JOIN w USING (id) WHERE kind IN ('Port', 'Net', 'Var'))
+  SELECT n.id, n.path FROM nodes n LEFT JOIN p USING (path) LEFT JOIN w ON w.id = n.id WHERE (kind IN ('Port', 'Net', 'Var') AND p.path IS NULL) OR (kind = 'Memory' AND w.id IS NULL)""")
 def dangling_pins(d: Data) -> DataFrame:
     return graph.dangling(d.nodes, d.edges)
 
@@ -261,9 +292,11 @@ def trunk_groups(d: Data) -> DataFrame:
     return graph.trunks(d.edges, d.nodes)
 
 
-@query("edge_direction", """SELECT edge, is_port, CASE WHEN dir = 'inout' THEN true WHEN is_port THEN dir = 'out' ELSE dir = 'in' END AS forward FROM (SELECT edge, true AS is_port, dir FROM edges UNION ALL SELECT edge, false, dir FROM edges WHERE port <> endpoint) x""")
+@query("edge_direction", """SELECT edge, is_port, CASE WHEN is_port THEN dir = 'out' ELSE dir <> 'out' END AS forward, CASE WHEN is_port THEN dir <> 'out' ELSE dir = 'out' END AS backward
+  FROM (SELECT edge, true AS is_port, dir FROM edges UNION ALL SELECT edge, false, dir FROM edges WHERE port <> endpoint) x""")
 def edge_direction(d: Data) -> DataFrame:
-    return lookup.incident(d.edges).select("edge", "is_port", graph.drives(F.col("is_port"), F.col("dir"), True).alias("forward"))
+    is_port, direction = F.col("is_port"), F.col("dir")
+    return lookup.incident(d.edges).select("edge", "is_port", graph.drives(is_port, direction, True).alias("forward"), graph.drives(is_port, direction, False).alias("backward"))
 
 
 _NEAR = "near AS (SELECT port AS node, endpoint AS other, edge FROM edges UNION ALL SELECT endpoint, port, edge FROM edges WHERE port <> endpoint)"
@@ -404,7 +437,7 @@ def _ranges(d: Data) -> DataFrame:
 
 
 _HITS = """r AS (SELECT file, line AS id, start AS lo, start + bytes AS hi FROM o UNION ALL SELECT doc_id, -1, 0, strlen(text) FROM documents),
-  h AS (SELECT q.file, q."offset", r.id, greatest(r.hi, r.lo + 1) - r.lo AS width FROM q JOIN r ON r.file = q.file AND r.lo <= q."offset" AND q."offset" < greatest(r.hi, r.lo + 1))"""
+  h AS (SELECT q.file, q."offset", r.id, CASE WHEN r.hi > r.lo THEN r.hi - r.lo ELSE 9223372036854775807 END AS width FROM q JOIN r ON r.file = q.file AND r.lo <= q."offset" AND q."offset" < greatest(r.hi, r.lo + 1))"""
 
 
 @query("probe_source", f'WITH {_LINES}, {_HITS} SELECT file, "offset", id, width FROM h')
@@ -480,7 +513,7 @@ def canonical_edges(d: Data) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("port").orderBy("endpoint", "dir", "sel")))
 
 
-@query("scope_graph_nodes", "SELECT parent AS scope, id AS box, kind, id IN (SELECT parent FROM nodes WHERE parent IS NOT NULL) AS expandable FROM nodes WHERE parent IS NOT NULL")
+@query("scope_graph_nodes", "SELECT n.parent AS scope, n.id AS box, n.kind, k.parent IS NOT NULL AS expandable FROM nodes n LEFT JOIN (SELECT DISTINCT parent FROM nodes) k ON k.parent = n.id WHERE n.parent IS NOT NULL")
 def scope_graph_nodes(d: Data) -> DataFrame:
     return schematic.boxes(d.nodes)
 
@@ -491,16 +524,16 @@ def structural_wires(d: Data) -> DataFrame:
     return schematic.wires(d.nodes, d.edges)
 
 
-@query("scope_predicates", """SELECT id, kind = 'Instance' OR (kind = 'GenBlock' AND id IN (SELECT parent FROM nodes WHERE parent IS NOT NULL)) AS navigable,
-  kind IN ('FF', 'Comb', 'Latch', 'Assign') AS logic, kind IN ('Port', 'Net', 'Var', 'Memory') AS signal FROM nodes""")
+@query("scope_predicates", f"""WITH RECURSIVE {_NAV} SELECT id, id IN (SELECT id FROM nav) AS navigable, kind IN ('FF', 'Comb', 'Latch', 'Assign', 'Memory') AS logic, kind IN ('Port', 'Net', 'Var', 'Memory') AS signal FROM scopes""")
 def scope_predicates(d: Data) -> DataFrame:
-    return schematic.predicates(d.nodes)
+    return schematic.predicates(d.scopes)
 
 
-@query("tree_hoist", """SELECT c.parent, c.id AS child FROM nodes c JOIN nodes p ON c.parent = p.id WHERE NOT (c.kind = 'GenBlock' AND c.name = '') AND NOT (p.kind = 'GenBlock' AND p.name = '')
-  UNION ALL SELECT g.parent, c.id FROM nodes c JOIN nodes g ON c.parent = g.id WHERE g.kind = 'GenBlock' AND g.name = ''""")
+@query("tree_hoist", f"""WITH RECURSIVE {_NAV}, arr AS (SELECT id, parent FROM scopes a WHERE kind = 'GenBlock' AND name <> '' AND EXISTS (SELECT 1 FROM scopes k WHERE k.parent = a.id AND k.kind = 'GenBlock' AND k.name = ''))
+  SELECT parent, id AS child FROM nav WHERE parent IS NOT NULL AND id NOT IN (SELECT id FROM arr)
+  UNION ALL SELECT arr.parent, nav.id FROM nav JOIN arr ON nav.parent = arr.id WHERE arr.id IN (SELECT id FROM nav)""")
 def tree_hoist(d: Data) -> DataFrame:
-    return schematic.hoisted(d.nodes)
+    return schematic.hoisted(d.scopes)
 
 
 @query("prune_subtree", """SELECT id FROM nodes WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey % 2 = 1 AND (nodes.path = concat('top.r', n_regionkey, '.n', n_nationkey) OR nodes.path LIKE concat('top.r', n_regionkey, '.n', n_nationkey, '.%')))""")

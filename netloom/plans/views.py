@@ -58,8 +58,33 @@ ENUMS = """
   SELECT event_type AS member, row_number() OVER (ORDER BY event_type) - 1 AS value FROM (SELECT DISTINCT event_type FROM events) e
 """
 
-VIEWS = {"nodes": NODES, "edges": EDGES, "changes": CHANGES, "vars": VARS, "enums": ENUMS}
-_NEEDS = {"vars": ("nodes",)}
+#: A smaller design whose generate arrays have names and hold blocks with and without instances, and whose interfaces have views.
+SCOPES = """
+  SELECT CAST(0 AS BIGINT) AS id, 'Instance' AS kind, 'top' AS name, 'top' AS path, CAST(NULL AS BIGINT) AS parent
+  UNION ALL SELECT 1000000000000 + c_custkey, 'Instance', concat('c', c_custkey), concat('top.c', c_custkey), CAST(0 AS BIGINT) FROM customer
+  UNION ALL SELECT DISTINCT 7000000000000 + o_custkey, 'GenBlock', 'lane', concat('top.c', o_custkey, '.lane'), 1000000000000 + o_custkey FROM orders
+  UNION ALL SELECT 3000000000000 + o_orderkey, 'GenBlock', '', concat('top.c', o_custkey, '.lane[', o_orderkey, ']'), 7000000000000 + o_custkey FROM orders
+  UNION ALL SELECT 8000000000000 + o_orderkey, 'GenBlock', 'g', concat('top.c', o_custkey, '.lane[', o_orderkey, '].g'), 3000000000000 + o_orderkey FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT 9000000000000 + o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Net' ELSE 'Instance' END, 'u', concat('top.c', o_custkey, '.lane[', o_orderkey, '].g.u'), 8000000000000 + o_orderkey FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT 10000000000000 + s_suppkey, 'Interface', concat('i', s_suppkey), concat('top.i', s_suppkey), CAST(0 AS BIGINT) FROM supplier
+  UNION ALL SELECT 11000000000000 + s_suppkey, 'Modport', 'm', concat('top.i', s_suppkey, '.m'), 10000000000000 + s_suppkey FROM supplier WHERE s_suppkey % 2 = 0
+"""
+
+#: Gates of orders as blocks: a chain of expressions, whose last gate drives the order's net.
+GATES = """
+  SELECT o_orderkey * 8 + l_linenumber AS id, CASE WHEN l_linenumber % 3 = 2 THEN 'Not' WHEN l_partkey % 2 = 0 THEN 'And' ELSE 'Or' END AS kind, o_orderkey AS parent
+  FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) l
+"""
+
+GATE_EDGES = """
+  SELECT g.id + 1 AS port, g.id AS endpoint, 'in' AS dir FROM gates g JOIN gates h ON h.id = g.id + 1
+  UNION ALL SELECT id, -parent, 'out' FROM (SELECT max(id) AS id, parent FROM gates GROUP BY parent) l
+  UNION ALL SELECT id, -100000000000 - id % 97, 'in' FROM gates WHERE id % 5 > 0
+  UNION ALL SELECT g.id + 2, g.id, 'in' FROM gates g JOIN gates h ON h.id = g.id + 2 WHERE g.kind = 'Not' AND g.parent % 4 = 0
+"""
+
+VIEWS = {"scopes": SCOPES, "gates": GATES, "gate_edges": GATE_EDGES, "nodes": NODES, "edges": EDGES, "changes": CHANGES, "vars": VARS, "enums": ENUMS}
+_NEEDS = {"vars": ("nodes",), "gate_edges": ("gates",)}
 
 
 class _Calls(dict):
@@ -105,7 +130,7 @@ def with_views(sql: str, dialect: dict[str, str] = DUCK) -> str:
     for name in VIEWS:
         if re.search(rf"\b{name}\b", sql):
             want(name)
-    head = ", ".join(f"{n} AS ({text(VIEWS[n], dialect)})" for n in wanted)
+    head = ", ".join(f"{n} AS MATERIALIZED ({text(VIEWS[n], dialect)})" for n in wanted)
     body = text(sql, dialect).strip()
     if body.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {head}, {body[14:]}" if head else body
