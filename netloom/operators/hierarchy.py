@@ -87,3 +87,16 @@ def relative_path(rows: DataFrame, scope: str = "scope", path: str = "path") ->
     """Adds ``rel``: the path inside its scope, else its last segment."""
     inside = F.expr(f"startswith({path}, concat({scope}, '.'))")
     return rows.withColumn("rel", F.when(inside, F.expr(f"substring({path}, length({scope}) + 2)")).otherwise(F.element_at(F.split(path, r"\."), -1)))
+
+
+def within(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(id, box): every box (id) that a node is or lies under. The nearest box of each node, and from box to box upwards."""
+    mine = boxes.select("id")
+    near = saved(nearest(nodes, mine).where("ancestor IS NOT NULL").select("id", F.col("ancestor").alias("box")), "near")
+    above = saved(nearest(nodes, mine, proper=True).join(mine, "id", "left_semi").where("ancestor IS NOT NULL").select(F.col("id").alias("box"), "ancestor"), "above")
+    out, level = near, near
+    while True:
+        level = saved(level.join(above, "box").select("id", F.col("ancestor").alias("box")), "level")
+        if level.isEmpty():
+            return out
+        out = out.unionAll(level)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.lookup import pick_node
@@ -122,3 +122,9 @@ def wave_index(found: DataFrame) -> DataFrame:
     """(node, var_ref): a node's last direct name, else its last alias; order is that of var_ref."""
     rows = found.where("node IS NOT NULL")
     return rows.groupBy("node").agg(F.max_by("var_ref", F.struct(F.col("status") == "direct", "var_ref")).alias("var_ref"))
+
+
+def samples(found: DataFrame, status: str, most: int) -> DataFrame:
+    """(nth, full_name): the first ``most`` names of a status in the order of the trace."""
+    first = found.where(F.col("status") == status).select("var_ref", "full_name").orderBy("var_ref").limit(most)
+    return first.select((F.row_number().over(Window.orderBy("var_ref")) - 1).alias("nth"), "full_name")

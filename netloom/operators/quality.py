@@ -41,13 +41,15 @@ def logic_role(keyword: Column, clocked: Column) -> Column:
 
 
 def parse_int(literal: Column) -> Column:
-    """Value of a sized or plain integer literal, underscores left out; null if a digit is unknown or out of range."""
+    """Value of a sized or plain integer literal, underscores left out; null if a digit is unknown or the value is beyond 63 bits."""
     clean = F.lower(F.regexp_replace(literal, "_", ""))
-    out = F.when(clean.rlike("^[0-9]+$"), F.conv(clean, 10, 10))
-    for letter, base, digits in (("d", 10, "0-9"), ("h", 16, "0-9a-f"), ("b", 2, "01"), ("o", 8, "0-7")):
+    out = F.when(clean.rlike("^[0-9]+$"), clean.try_cast("long"))
+    for letter, base, digits, most in (("d", 10, "0-9", 19), ("h", 16, "0-9a-f", 16), ("b", 2, "01", 63), ("o", 8, "0-7", 21)):
         pattern = rf"^[0-9]*'s?{letter}([{digits}]+)$"
-        out = out.when(clean.rlike(pattern), F.conv(F.regexp_extract(clean, pattern, 1), base, 10))
-    return out.cast("long")
+        number = F.regexp_replace(F.regexp_extract(clean, pattern, 1), "^0+(?=.)", "")
+        # a value of more digits than 63 bits can have isn't converted
+        out = out.when(clean.rlike(pattern), F.when(F.length(number) <= most, F.conv(number, base, 10).try_cast("long")))
+    return out
 
 
 def enum_values(members: DataFrame) -> DataFrame:
@@ -75,3 +77,9 @@ def percentiles(values: DataFrame, key: str, value: str) -> DataFrame:
     rows = values.where(F.col(value).isNotNull()).withColumn("r", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(key)))
     at = lambda p: F.max(F.when(F.col("r") == F.floor((F.col("n") - 1) * p + 0.5), F.col(value)))
     return rows.groupBy(key).agg(F.round(F.avg(value), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("max"))
+
+
+def stamp(seconds: Column) -> Column:
+    """Seconds since 1970 as date and time in UTC, whatever the session's zone."""
+    since = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    return F.date_format(since + F.make_dt_interval(secs=seconds), "yyyy-MM-dd HH:mm:ss")

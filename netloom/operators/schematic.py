@@ -130,3 +130,13 @@ def pruned(nodes: DataFrame, dropped: DataFrame) -> DataFrame:
 def unambiguous_select(edges: DataFrame) -> DataFrame:
     """(port, sel): the select that a port's edges agree on; a port whose edges differ, or have none, is left out."""
     return edges.where("sel IS NOT NULL").groupBy("port").agg(F.countDistinct("sel").alias("n"), F.min("sel").alias("sel")).where("n = 1").select("port", "sel")
+
+
+def side_of(direction: Column) -> Column:
+    """Outputs stand in the east."""
+    return F.when(direction == "out", "east").otherwise("west")
+
+
+def mirrored(side: Column) -> Column:
+    """The side of a pin that faces the design: a scope's own boundary, or a modport's member."""
+    return F.when(side == "east", "west").otherwise("east")

@@ -25,6 +25,12 @@ class Data:
         self._spark, self._dir = spark, sf_dir
         self._seen: dict[str, DataFrame] = {}
 
+    def settled(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes and trace names, the nodes worked out once and written."""
+        nodes = saved(self.nodes, "nodes")
+        nodes.createOrReplaceTempView("nodes")
+        return nodes, self._spark.sql(views.text(views.VARS, views.SPARK))
+
     def sql(self, text: str) -> DataFrame:
         return self._spark.sql(text)
 
@@ -67,7 +73,8 @@ _CLASS = _CLASS.replace("{", "{{").replace("}", "}}")
 
 
 def _match(d: Data) -> DataFrame:
-    return linkage.matched(d.vars, saved(d.nodes, "nodes"), OPTS)
+    nodes, names = d.settled()
+    return linkage.matched(names, nodes, OPTS)
 
 
 @query("match_report", f"""WITH {_CLASS} SELECT direct, alias, parameter, unmatched, excluded, mystery, direct + alias + unmatched AS denominator,
@@ -618,3 +625,6 @@ def nav_targets(d: Data) -> DataFrame:
     rows = d.nodes.withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("id")) - 1)
     rows = rows.withColumn("step", F.greatest(F.lit(1).cast("long"), F.expr("count(*) OVER (PARTITION BY parent) div 4")))
     return rows.where("r % step = 0 AND r div step < 4").select("id")
+
+
+from netloom.plans import more  # noqa: E402, F401  registers further queries
