@@ -241,6 +241,7 @@ def _searched(texts: list[str], index: Index) -> list[dict[int, float]]:
     for width in index.widths():
         _windows(near, index, found, bounds, space, width)
     done: dict[tuple[int, int], int] = {}
+    vocabulary: dict[int, set[int]] = {}
     for row, item, at, width in sorted(near):
         wanted = index.items[item]
         margin = len(wanted) + min(WINDOW, len(wanted))
@@ -248,7 +249,11 @@ def _searched(texts: list[str], index: Index) -> list[dict[int, float]]:
             continue
         a, b = max(int(bounds[row]), at - margin), min(int(bounds[row + 1]), at + width + margin)
         done[row, item] = at + width // 2
-        region = words[a:b].tolist()
+        # words that the item doesn't have add nothing to a common subsequence
+        wordy = vocabulary.setdefault(item, set(wanted))
+        region = [w for w in words[a:b].tolist() if w in wordy]
+        if len(region) < COMMON * len(wanted):
+            continue
         share = common_length(wanted, region) / len(wanted)
         answer = index.answers[item]
         if share >= COMMON and (not answer or share >= 0.8 or common_length(answer, region) >= ANSWER * len(answer)):
