@@ -212,11 +212,17 @@ def _windows(near: set[tuple[int, int, int, int]], index: Index, found: np.ndarr
     padded = np.concatenate([found, np.full(width, -1, found.dtype)])
     for k in range(0, len(some), BLOCK):
         part = some[k : k + BLOCK]
-        at = padded[start[part][:, None] + np.arange(width)]
-        at[np.arange(width)[None] >= (end - start)[part][:, None]] = -1
-        latent = space[at[:, 0]]
-        for j in range(1, width):
-            latent += space[at[:, j]]
+        # windows that start a step apart share steps: each is summed once
+        steps, of = np.unique(start[part][:, None] + step * np.arange(TEXT_STEPS), return_inverse=True)
+        of = of.reshape(len(part), TEXT_STEPS)
+        sums = space[padded[steps]]
+        for j in range(1, step):
+            sums += space[padded[steps + j]]
+        latent = sums[of[:, 0]]
+        for j in range(1, TEXT_STEPS):
+            latent += sums[of[:, j]]
+        for i in np.flatnonzero((end - start)[part] < width):  # a text shorter than a window
+            latent[i] = space[padded[start[part[i]] : end[part[i]]]].sum(axis=0)
         # both lengths are taken in the latent space: what lies outside it (unknown words, dimensions beyond the rank) is the last step's to refuse
         length = np.sqrt(np.einsum("ij,ij->i", latent, latent))
         able = np.flatnonzero(length > 1e-6)
