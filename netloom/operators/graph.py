@@ -81,13 +81,6 @@ def csr(edges: DataFrame, bits: int = 16) -> DataFrame:
     return rows.select("node", (F.col("before") + F.col("here")).alias("start"), F.col("degree").alias("n"))
 
 
-def dangling(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("Port", "Net", "Var", "Memory")) -> DataFrame:
-    """(id, path): signals whose whole group has no edge."""
-    groups = signal_groups(nodes)
-    wired = incident(edges).select(F.col("node").alias("id")).join(groups, "id").select("group").distinct()
-    return groups.join(wired, "group", "left_anti").join(nodes.where(F.col("kind").isin(*kinds)), "id").select("id", "path")
-
-
 def fanout_cap(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): the first ``most`` edges of each endpoint in canonical order, and per endpoint how many were left out."""
     order = Window.partitionBy("endpoint").orderBy("port", "dir", F.coalesce("sel", F.lit("")))
@@ -97,12 +90,6 @@ def fanout_cap(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return kept, dropped
 
 
-def port_sides(edges: DataFrame) -> DataFrame:
-    """(node, outs, ins, side): an endpoint is drawn west if more than half of its edges are outputs of their port."""
-    counts = edges.groupBy(F.col("endpoint").alias("node")).agg(F.count_if(F.col("dir") == "out").alias("outs"), F.count_if(F.col("dir") == "in").alias("ins"), F.count("*").alias("n"))
-    return counts.select("node", "outs", "ins", F.when(F.col("outs") * 2 > F.col("n"), "west").otherwise("east").alias("side"))
-
-
 def trunks(edges: DataFrame, parents: DataFrame) -> DataFrame:
     """(endpoint, box, n, ports): edges from one endpoint to ports of one box, where there is more than one."""
     rows = edges.join(parents.select(F.col("id").alias("port"), F.col("parent").alias("box")), "port")

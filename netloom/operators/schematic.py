@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from netloom.operators.store import saved
 
 
-def boxes(nodes: DataFrame) -> DataFrame:
-    """(scope, box, kind, expandable): what each scope draws; a box with children can be opened."""
-    kids = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("box")).agg(F.count("*").alias("kids"))
-    rows = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("scope"), F.col("id").alias("box"), "kind")
-    return rows.join(kids, "box", "left").select("scope", "box", "kind", (F.coalesce("kids", F.lit(0)) > 0).alias("expandable"))
-
-
 def wires(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(a, b, n): pairs of boxes (the parents of an edge's ends, or the ends themselves under the top) that edges join, unordered."""
     at = nodes.select("id", F.coalesce("parent", "id").alias("box"))

@@ -273,12 +273,6 @@ def net_ties(d: Data) -> DataFrame:
     return graph.net_ties(made["a"].select("id", "kind", "path"), edges, made["a"].select("id", F.col("k").alias("constant")))
 
 
-@query("dangling_pins", """WITH w AS (SELECT port AS id FROM edges UNION SELECT endpoint FROM edges), p AS (SELECT DISTINCT path FROM nodes JOIN w USING (id) WHERE kind IN ('Port', 'Net', 'Var'))
-  SELECT n.id, n.path FROM nodes n LEFT JOIN p USING (path) LEFT JOIN w ON w.id = n.id WHERE (kind IN ('Port', 'Net', 'Var') AND p.path IS NULL) OR (kind = 'Memory' AND w.id IS NULL)""")
-def dangling_pins(d: Data) -> DataFrame:
-    return graph.dangling(d.nodes, d.edges)
-
-
 @query("fanout_cap", "SELECT edge FROM (SELECT edge, row_number() OVER (PARTITION BY endpoint ORDER BY port, dir, coalesce(sel, '')) AS r FROM edges) x WHERE r <= 5")
 def fanout_cap(d: Data) -> DataFrame:
     return graph.fanout_cap(d.edges, 5)[0].select("edge")
@@ -289,11 +283,6 @@ def fanout_dropped(d: Data) -> DataFrame:
     return graph.fanout_cap(d.edges, 5)[1]
 
 
-@query("access_ports", "SELECT endpoint AS node, count(*) FILTER (dir = 'out') AS outs, count(*) FILTER (dir = 'in') AS ins, CASE WHEN count(*) FILTER (dir = 'out') * 2 > count(*) THEN 'west' ELSE 'east' END AS side FROM edges GROUP BY 1")
-def access_ports(d: Data) -> DataFrame:
-    return graph.port_sides(d.edges)
-
-
 @query("trunk_groups", "SELECT endpoint, parent AS box, count(*) AS n, min(port) AS first FROM edges JOIN nodes ON nodes.id = port GROUP BY 1, 2 HAVING count(*) > 1")
 def trunk_groups(d: Data) -> DataFrame:
     return graph.trunks(d.edges, d.nodes)
@@ -520,11 +509,6 @@ def canonical_edges(d: Data) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("port").orderBy("endpoint", "dir", "sel")))
 
 
-@query("scope_graph_nodes", "SELECT n.parent AS scope, n.id AS box, n.kind, k.parent IS NOT NULL AS expandable FROM nodes n LEFT JOIN (SELECT DISTINCT parent FROM nodes) k ON k.parent = n.id WHERE n.parent IS NOT NULL")
-def scope_graph_nodes(d: Data) -> DataFrame:
-    return schematic.boxes(d.nodes)
-
-
 @query("structural_wires", """SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM (
     SELECT coalesce(p.parent, p.id) AS x, coalesce(q.parent, q.id) AS y FROM edges JOIN nodes p ON p.id = port JOIN nodes q ON q.id = endpoint) w WHERE x <> y GROUP BY 1, 2""")
 def structural_wires(d: Data) -> DataFrame:
@@ -627,4 +611,4 @@ def nav_targets(d: Data) -> DataFrame:
     return rows.where("r % step = 0 AND r div step < 4").select("id")
 
 
-from netloom.plans import more  # noqa: E402, F401  registers further queries
+from netloom.plans import more, scopes  # noqa: E402, F401  register further queries

@@ -83,7 +83,45 @@ GATE_EDGES = """
   UNION ALL SELECT g.id + 2, g.id, 'in' FROM gates g JOIN gates h ON h.id = g.id + 2 WHERE g.kind = 'Not' AND g.parent % 4 = 0
 """
 
-VIEWS = {"scopes": SCOPES, "gates": GATES, "gate_edges": GATE_EDGES, "nodes": NODES, "edges": EDGES, "changes": CHANGES, "vars": VARS, "enums": ENUMS}
+#: A design with everything a scope graph draws: ports with backing nets, instances and logic in and out of GenBlocks, memories, literals, interfaces with a view.
+CHIP = """
+  WITH c AS (SELECT c_custkey AS c, 1000000000000 + c_custkey AS id, concat('top.c', c_custkey) AS path, 2000000000000 + c_custkey * 8 AS b FROM customer),
+  u AS (SELECT o_orderkey AS o, c.id AS cust, c.path AS cp, CASE WHEN o_orderkey % 4 = 0 THEN 5000000000000 + o_orderkey ELSE c.id END AS parent, 6000000000000 + o_orderkey * 8 AS id,
+    concat(c.path, CASE WHEN o_orderkey % 4 = 0 THEN concat('.g[', o_orderkey, ']') ELSE '' END, '.u', o_orderkey) AS path FROM orders JOIN c ON c.c = o_custkey),
+  k AS (SELECT * FROM (VALUES (0, 'Port', 'd', 'in'), (1, 'Net', 'd', NULL), (2, 'Port', 'q', 'out'), (3, 'Net', 'n0', NULL), (4, 'Net', 'n1', NULL), (5, 'Net', 'n2', NULL), (6, 'Interface', 'bus', NULL)) AS v(i, kind, name, dir))
+  SELECT CAST(0 AS BIGINT) AS id, 'Instance' AS kind, 'top' AS name, 'top' AS path, CAST(NULL AS BIGINT) AS parent, CAST(NULL AS STRING) AS dir, CAST(NULL AS STRING) AS modport, CAST(NULL AS STRING) AS const
+  UNION ALL SELECT id, 'Instance', concat('c', c), path, CAST(0 AS BIGINT), NULL, NULL, NULL FROM c
+  UNION ALL SELECT b + i, CASE WHEN i = 5 AND c % 4 = 0 THEN 'Memory' ELSE kind END, name, concat(path, '.', name), id, dir, NULL, NULL FROM c CROSS JOIN k
+  UNION ALL SELECT b + 7, 'Net', 'valid', concat(path, '.bus.valid'), b + 6, NULL, NULL, NULL FROM c
+  UNION ALL SELECT 4000000000000 + c, 'Modport', 'm', concat(path, '.bus.m'), b + 6, NULL, NULL, NULL FROM c
+  UNION ALL SELECT DISTINCT 7000000000000 + c % 1000000 - c % 4, 'Net', concat('w', c - c % 4), concat('top.w', c - c % 4), CAST(0 AS BIGINT), NULL, NULL, NULL FROM c
+  UNION ALL SELECT parent, 'GenBlock', '', concat(cp, '.g[', o, ']'), cust, NULL, NULL, NULL FROM u WHERE o % 4 = 0
+  UNION ALL SELECT id, CASE o % 3 WHEN 0 THEN 'Instance' WHEN 1 THEN 'FF' ELSE 'Assign' END, concat('u', o), path, parent, NULL, NULL, CASE WHEN o % 3 = 2 AND o % 7 = 0 THEN concat(o % 10, '') END FROM u
+  UNION ALL SELECT id + 1, 'Port', 'i', concat(path, '.i'), id, 'in', NULL, CASE WHEN o % 5 = 0 THEN '1' END FROM u WHERE o % 3 = 0
+  UNION ALL SELECT id + 2, 'Port', 'o', concat(path, '.o'), id, 'out', NULL, NULL FROM u WHERE o % 3 = 0
+  UNION ALL SELECT id + 3, 'Interface', 'b', concat(path, '.b'), id, NULL, 'm', NULL FROM u WHERE o % 6 = 0
+  UNION ALL SELECT id + 4, 'Port', 'valid', concat(cp, '.bus.valid'), id + 3, 'out', NULL, NULL FROM u WHERE o % 6 = 0
+  UNION ALL SELECT id + 5, 'FF', 'f', concat(path, '.f'), id, NULL, NULL, NULL FROM u WHERE o % 3 = 0
+"""
+
+CHIP_EDGES = """
+  WITH u AS (SELECT o_orderkey AS o, 6000000000000 + o_orderkey * 8 AS id, 2000000000000 + o_custkey * 8 AS b FROM orders),
+  w AS (SELECT 2000000000000 + c_custkey * 8 AS b, 7000000000000 + c_custkey % 1000000 - c_custkey % 4 AS net FROM customer)
+  SELECT concat(port, '>', endpoint, dir, coalesce(sel, '')) AS edge, port, endpoint, dir, sel FROM (
+    SELECT id + 1 AS port, CASE WHEN o % 7 = 3 THEN b ELSE b + 3 + o % 3 END AS endpoint, 'in' AS dir, CASE WHEN o % 4 = 1 THEN '[0]' END AS sel FROM u WHERE o % 3 = 0
+    UNION ALL SELECT id + 2, b + 3 + o % 2, 'out', CASE WHEN o % 5 = 1 THEN '[1]' END FROM u WHERE o % 3 = 0
+    UNION ALL SELECT id, b + 3 + o % 3, 'in', CASE WHEN o % 4 = 2 THEN '[0]' END FROM u WHERE o % 3 > 0
+    UNION ALL SELECT id, b + 1, 'in', NULL FROM u WHERE o % 3 = 1 AND o % 2 = 0
+    UNION ALL SELECT id, b + 7, 'in', NULL FROM u WHERE o % 9 = 1
+    UNION ALL SELECT id, CASE WHEN o % 5 = 2 THEN b + 2 ELSE b + 4 + o % 2 END, 'out', NULL FROM u WHERE o % 3 > 0
+    UNION ALL SELECT id + 4, b + 7, 'out', NULL FROM u WHERE o % 6 = 0
+    UNION ALL SELECT id + 3, b + 6, 'inout', NULL FROM u WHERE o % 6 = 0
+    UNION ALL SELECT id + 5, id + 1, 'in', NULL FROM u WHERE o % 3 = 0
+    UNION ALL SELECT id + 5, CASE WHEN o % 6 = 0 THEN b + 7 ELSE id + 2 END, 'out', NULL FROM u WHERE o % 3 = 0
+    UNION ALL SELECT b, net, 'in', NULL FROM w UNION ALL SELECT b + 2, net, 'out', CASE WHEN b % 32 = 8 THEN '[0]' END FROM w) e
+"""
+
+VIEWS = {"chip": CHIP, "chip_edges": CHIP_EDGES, "scopes": SCOPES, "gates": GATES, "gate_edges": GATE_EDGES, "nodes": NODES, "edges": EDGES, "changes": CHANGES, "vars": VARS, "enums": ENUMS}
 _NEEDS = {"vars": ("nodes",), "gate_edges": ("gates",)}
 
 
