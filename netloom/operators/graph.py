@@ -130,3 +130,42 @@ def cone(edges: DataFrame, seeds: DataFrame, limits: Limits = Limits(), forward:
         seen = kept(seen.unionAll(added))
     cut = seeds.select("seed").distinct().join(cuts.groupBy("seed").agg(F.sum("more").alias("more")), "seed", "left")
     return seen, cut.select("seed", F.coalesce("more", F.lit(0)).alias("more"), (F.coalesce("more", F.lit(0)) > 0).alias("truncated"))
+
+
+def cone_legacy(edges: DataFrame, seeds: DataFrame, owners: DataFrame, direction: str = "inout", depth: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(boxes, wires) of every seed: (seed, box, hop), the instances reached, and (seed, edge, hop), the edges on the way.
+
+    owners (id, ancestor) names the nearest instance of a node. A direction is compared with the edge's alone, whichever end it is met from.
+    A box is walked on from the first node that reaches it: nodes in the order found, then edges by name. For all seeds at once, a hop a round.
+    """
+    near = incident(edges)
+    if direction != "inout":
+        near = near.where(F.col("dir") == direction)
+    near = near.select("node", "edge", "other")
+    homes = owners.where("ancestor IS NOT NULL").select(F.col("id").alias("other"), F.col("ancestor").alias("box"))
+    front = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("rank")).distinct()
+    wires = saved(front.join(near, "node").select("seed", "edge", F.lit(0).alias("hop")).limit(0), "wires")
+    boxes = saved(front.join(homes, F.col("node") == F.col("other")).select("seed", "box", F.lit(0).alias("hop")).limit(0), "boxes")
+    for hop in range(1, max(depth, 1) + 1):
+        met = front.join(near, "node").groupBy("seed", "edge").agg(F.min(F.struct("rank", "other")).alias("m")).join(wires, ["seed", "edge"], "left_anti")
+        met = saved(met.select("seed", "edge", "m.rank", "m.other"), "met")
+        if met.isEmpty():
+            break
+        wires = wires.unionAll(met.select("seed", "edge", F.lit(hop).alias("hop")))
+        first = met.join(homes, "other").groupBy("seed", "box").agg(F.min(F.struct("rank", "edge", "other")).alias("m")).join(boxes, ["seed", "box"], "left_anti")
+        order = Window.partitionBy("seed").orderBy("m.rank", "m.edge")
+        first = saved(first.select("seed", "box", F.col("m.other").alias("node"), F.row_number().over(order).alias("rank")), "front")
+        boxes = boxes.unionAll(first.select("seed", "box", F.lit(hop).alias("hop")))
+        front = first.select("seed", "node", "rank")
+    return boxes, wires
+
+
+def seed_signals(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, kinds: tuple[str, ...], forward: bool | None = None) -> DataFrame:
+    """(seed, node): where a walk from a seed starts: a box of one of ``kinds`` at its neighbours on the wanted side, others at every node of their path."""
+    at = seeds.select(F.col("seed").alias("id")).distinct().join(nodes.select("id", "kind", "path"), "id")
+    near = incident(edges)
+    if forward is not None:
+        near = near.where(drives(F.col("is_port"), F.col("dir"), forward))
+    boxed = at.where(F.col("kind").isin(*kinds)).join(near, F.col("id") == F.col("node")).select(F.col("id").alias("seed"), F.col("other").alias("node"))
+    plain = at.where(~F.col("kind").isin(*kinds)).select(F.col("id").alias("seed"), "path").join(nodes.select("path", F.col("id").alias("node")), "path").select("seed", "node")
+    return boxed.distinct().unionAll(plain)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators import spans
 from netloom.operators.lookup import best_kind
+from netloom.operators.store import saved
 
 
 def candidates(hits: DataFrame, nodes: DataFrame, key: tuple[str, ...], context: str | None = None) -> DataFrame:
@@ -46,3 +48,35 @@ def responses(anchors: DataFrame, nodes: DataFrame, index: DataFrame) -> DataFra
 def references_in_order(refs: DataFrame) -> DataFrame:
     """Adds ``pos``: the number of each reference in its file, by offset."""
     return refs.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("offset", "rel")) - 1)
+
+
+def from_source(probes: DataFrame, nodes: DataFrame, ranges: DataFrame, maps: DataFrame, refs: DataFrame) -> DataFrame:
+    """(file, offset, via, anchor, others, nodes): what a source position (file, offset) means; positions that mean nothing are left out.
+
+    Where provenance maps (file, lo, hi, gen_file, gen_lo, gen_hi) cover it, the narrowest one's generated range takes its place, without a
+    further fallback. Else the narrowest nodes over it, ranges (file, id, lo, hi, body), if their anchor is a declared signal; else what
+    the narrowest reference (file, offset, len, rel) over it names in each instance whose body covers it; else those nodes after all.
+    """
+    probes = saved(probes.select("file", "offset").distinct(), "probes")
+    entries = maps.select("file", "lo", "hi", F.struct("gen_lo", "gen_hi", "gen_file").alias("id"))
+    mapped = spans.narrowest(spans.stabbed(entries, probes), ties=False).select("file", "offset", "id.gen_file", "id.gen_lo", "id.gen_hi")
+    at = probes.join(mapped, ["file", "offset"], "left")
+    at = saved(at.select("file", "offset", F.col("gen_file").isNotNull().alias("mapped"), F.coalesce("gen_file", "file").alias("f"), F.coalesce("gen_lo", "offset").alias("lo"), F.coalesce("gen_hi", F.col("offset") + 1).alias("hi")), "places")
+    over = spans.overlapping(ranges, at.select(F.col("f").alias("file"), "lo", "hi")).withColumnRenamed("file", "f")
+    least = over.groupBy("f", "lo", "hi").agg(F.min("width").alias("width"))
+    inner = over.join(least, ["f", "lo", "hi", "width"]).select("f", "lo", "hi", "id")
+    key = ("file", "offset")
+    by_span = saved(candidates(at.join(inner, ["f", "lo", "hi"]).select(*key, "id"), nodes, key), "span")
+    found = by_span.join(at.select(*key, "mapped"), list(key)).join(nodes.select(F.col("id").alias("anchor"), "kind"), "anchor")
+    settled = F.col("mapped") | F.col("kind").isin("Var", "Net", "Port")
+    # references count where neither a map nor a declaration has settled the position
+    open_ = at.where("NOT mapped").select(*key).join(found.where(settled).select(*key), list(key), "left_anti")
+    words = refs.select("file", F.col("rel").alias("id"), F.col("offset").alias("lo"), (F.col("offset") + F.col("len")).alias("hi"))
+    named = spans.narrowest(spans.stabbed(words, open_), ties=False).select(F.struct(*key).alias("ref"), F.col("id").alias("rel"))
+    bodies = ranges.where("body").join(nodes.where("kind IN ('Instance', 'Interface')").select("id", F.col("path").alias("scope")), "id")
+    scopes = spans.stabbed(bodies, open_).join(bodies.select("id", "scope").distinct(), "id").select(F.struct(*key).alias("ref"), "scope").distinct()
+    hits = references(named, scopes, nodes).select("ref.file", "ref.offset", "id").distinct()
+    by_name = saved(candidates(hits, nodes, key), "name")
+    rest = by_span.join(by_name.select(*key), list(key), "left_anti").join(at.select(*key, "mapped"), list(key))
+    rest = rest.select(*key, F.when(F.col("mapped"), "map").otherwise("span").alias("via"), "anchor", "others", "nodes")
+    return rest.unionAll(by_name.select(*key, F.lit("name").alias("via"), "anchor", "others", "nodes"))

@@ -207,3 +207,29 @@ class Scopes:
         outs = outs.select("scope", "box", "signal", F.concat(F.col("box").cast("string"), F.lit("/"), F.col("signal").cast("string")).alias("pin"))
         wired = wires.select("scope", F.col("source").alias("pin")).unionAll(wires.select("scope", F.col("target").alias("pin"))).distinct()
         return outs.join(wired, ["scope", "pin"], "left_anti").select("scope", "box", "signal")
+
+
+def box_ports(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(box, pin, name, side, bundle, dangling): pins of instances and interfaces, logic boxes aside.
+
+    A port by its own direction, else its first edge's, mirrored on a bundle, west if there is none; it dangles without an edge of its own and a
+    literal. An interface shows its access ports (members as in ``access_ports``), a box also the bundles under it that are connected,
+    east if more of their pins are outputs than not.
+    """
+    text = lambda c: F.col(c).cast("string")
+    boxes = nodes.where("kind IN ('Instance', 'Interface')").select(F.col("id").alias("box"), ((F.col("kind") == "Interface") & F.col("modport").isNotNull()).alias("bundled"))
+    used = edges.groupBy(F.col("port").alias("id")).agg(F.min_by("dir", "edge").alias("first"))
+    kids = nodes.withColumnRenamed("parent", "box").join(used, "id", "left")
+    way = F.coalesce("dir", "first")
+    side = F.when(way.isNull() | ((way == "out") == F.col("bundled")), "west").otherwise("east")
+    ports = kids.where("kind = 'Port'").join(boxes, "box").select("box", text("id").alias("pin"), "name", side.alias("side"), F.lit(False).alias("bundle"), (F.col("first").isNull() & F.col("const").isNull()).alias("dangling"))
+    found = access_ports(nodes, edges, members)
+    views = nodes.where("kind = 'Modport'").select(F.col("parent").alias("box"), F.col("name").alias("view"), text("id").alias("pin"))
+    views = found.join(views, ["box", "view"]).select("box", "pin", F.col("view").alias("name"), "side", F.lit(True).alias("bundle"), F.lit(False).alias("dangling"))
+    names = nodes.select(F.col("id").alias("box"), "name")
+    raw = found.where("view IS NULL").join(names, "box").select("box", F.concat(F.lit("raw/"), text("box")).alias("pin"), "name", "side", F.lit(True).alias("bundle"), F.lit(False).alias("dangling"))
+    pins = nodes.where("kind = 'Port'").groupBy(F.col("parent").alias("id")).agg((F.count_if(F.col("dir") == "out") * 2 > F.count("dir")).alias("outs"))
+    bundles = kids.where("kind = 'Interface' AND modport IS NOT NULL AND first IS NOT NULL").join(boxes.select("box"), "box", "left_semi").join(pins, "id", "left")
+    label = F.concat("name", F.lit(" ("), "modport", F.lit(")"))
+    bundles = bundles.select("box", text("id").alias("pin"), label.alias("name"), F.when(F.col("outs"), "east").otherwise("west").alias("side"), F.lit(True).alias("bundle"), F.lit(False).alias("dangling"))
+    return ports.unionAll(views).unionAll(raw).unionAll(bundles)

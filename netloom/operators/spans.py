@@ -42,6 +42,19 @@ def stabbed(ranges: DataFrame, probes: DataFrame, cell: int = 4096) -> DataFrame
     return at.join(cells, ["file", "cell"]).where("lo <= offset AND offset < end").select("file", "offset", "id", F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit((1 << 63) - 1)).alias("width"))
 
 
+def overlapping(ranges: DataFrame, probes: DataFrame, cell: int = 4096) -> DataFrame:
+    """(file, lo, hi, id, width): every node (id) with a range (file, id, lo, hi) that meets a probe (file, lo, hi), and the least width of those.
+
+    Both sides are dealt over grid cells; an empty range is one byte that comes last, as in ``stabbed``.
+    """
+    end = F.greatest(F.col("hi"), F.col("lo") + 1)
+    dealt = F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((end - 1) / cell)))
+    wide = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit((1 << 63) - 1))
+    a = ranges.select("file", "id", F.col("lo").alias("a"), end.alias("b"), wide.alias("width"), dealt.alias("cell"))
+    p = probes.select("file", "lo", "hi").distinct().select("file", "lo", "hi", dealt.alias("cell"))
+    return p.join(a, ["file", "cell"]).where("a < greatest(hi, lo + 1) AND lo < b").groupBy("file", "lo", "hi", "id").agg(F.min("width").alias("width"))
+
+
 def narrowest(hits: DataFrame, ties: bool = True) -> DataFrame:
     """The narrowest range over each probe: all of equal width, or with ``ties`` off the one of least id."""
     if ties:

@@ -83,3 +83,15 @@ def visible(segments_: DataFrame, start: Column, end: Column) -> DataFrame:
 def time_to_x(t: Column, start: Column, end: Column, width: float) -> Column:
     """Where a time lies in a window of ``width`` pixels; an empty window is one tick wide."""
     return (t - start) * F.lit(width) / F.greatest(end - start, F.lit(1))
+
+
+def visible_lanes(groups: DataFrame, lanes: DataFrame) -> DataFrame:
+    """(pane, lane, slot): lanes (pane, group, pos, lane) of groups (pane, group, collapsed) that aren't collapsed, numbered from 0 in order."""
+    shown = lanes.join(groups.where("NOT collapsed").select("pane", "group"), ["pane", "group"], "left_semi")
+    return shown.select("pane", "lane", (F.row_number().over(Window.partitionBy("pane").orderBy("group", "pos", "lane")) - 1).alias("slot"))
+
+
+def working_group(groups: DataFrame, lanes: DataFrame) -> DataFrame:
+    """(pane, group): where a new lane goes: the last group that has a lane, else the last group."""
+    used = lanes.select("pane", "group").distinct().withColumn("used", F.lit(True))
+    return groups.join(used, ["pane", "group"], "left").groupBy("pane").agg(F.coalesce(F.max(F.when(F.col("used"), F.col("group"))), F.max("group")).alias("group"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.operators import scopegraph
+from netloom.operators import graph, hierarchy, scopegraph
 from netloom.operators.store import saved
 from netloom.plans.queries import Data, query
 
@@ -63,6 +63,12 @@ def _scopes(d: Data) -> scopegraph.Scopes:
     return scopegraph.Scopes(saved(d.chip, "chip"), saved(d.chip_edges, "chip_edges"))
 
 
+def _view_members(nodes: DataFrame) -> DataFrame:
+    """Two members a view: both outputs for every third."""
+    views = nodes.where("kind = 'Modport'").select(F.col("id").alias("modport_id"))
+    return views.select("modport_id", F.lit("out").alias("dir")).unionAll(views.select("modport_id", F.when(F.col("modport_id") % 3 == 0, "out").otherwise("in")))
+
+
 @query("scope_graph_nodes", f"WITH {_BOXES} SELECT scope, box, kind FROM bx")
 def scope_graph_nodes(d: Data) -> DataFrame:
     nodes = saved(d.chip, "chip")
@@ -110,3 +116,41 @@ def const_ties(d: Data) -> DataFrame:
 def dangling_pins(d: Data) -> DataFrame:
     made = _scopes(d)
     return made.dangling(made.wires())
+
+
+@query("box_ports", f"""WITH {_ACCESS}, fe AS (SELECT port, arg_min(dir, edge) AS dir FROM chip_edges GROUP BY port)
+  SELECT b.id AS box, concat(p.id, '') AS pin, p.name, CASE WHEN coalesce(p.dir, fe.dir) IS NULL THEN 'west' WHEN b.modport IS NULL AND coalesce(p.dir, fe.dir) = 'out' THEN 'east' WHEN b.modport IS NOT NULL AND coalesce(p.dir, fe.dir) <> 'out' THEN 'east' ELSE 'west' END AS side,
+    false AS bundle, fe.port IS NULL AND p.const IS NULL AS dangling FROM chip b JOIN chip p ON p.parent = b.id AND p.kind = 'Port' LEFT JOIN fe ON fe.port = p.id WHERE b.kind IN ('Instance', 'Interface')
+  UNION ALL SELECT v.parent, concat(v.id, ''), v.name, CASE WHEN v.id % 3 = 0 THEN 'west' ELSE 'east' END, true, false FROM chip v WHERE v.kind = 'Modport' AND (v.parent, v.name) IN (SELECT box, view FROM tap)
+  UNION ALL SELECT raw.box, concat('raw/', raw.box), n.name, side, true, false FROM raw JOIN chip n ON n.id = raw.box
+  UNION ALL SELECT n.parent, concat(n.id, ''), concat(n.name, ' (', n.modport, ')'), 'east', true, false FROM chip n WHERE n.kind = 'Interface' AND n.modport IS NOT NULL AND n.id IN (SELECT port FROM chip_edges)""")
+def box_ports(d: Data) -> DataFrame:
+    nodes = saved(d.chip, "chip")
+    return scopegraph.box_ports(nodes, saved(d.chip_edges, "chip_edges"), _view_members(nodes))
+
+
+@query("seed_signals", f"""SELECT n.id AS seed, CASE WHEN e.port = n.id THEN e.endpoint ELSE e.port END AS node FROM chip n JOIN chip_edges e ON (e.port = n.id AND e.dir = 'out') OR (e.endpoint = n.id AND e.dir <> 'out') WHERE n.kind IN {_LOGIC} GROUP BY 1, 2
+  UNION ALL SELECT n.id, m.id FROM chip n JOIN chip m ON m.path = n.path WHERE n.kind NOT IN {_LOGIC}""".replace("ON (e.port = n.id AND e.dir = 'out') OR (e.endpoint = n.id AND e.dir <> 'out')", "ON e.near = n.id").replace("JOIN chip_edges e", "JOIN (SELECT port AS near, * FROM chip_edges WHERE dir = 'out' UNION ALL SELECT endpoint, * FROM chip_edges WHERE dir <> 'out') e"))
+def seed_signals(d: Data) -> DataFrame:
+    """Forwards from every node."""
+    nodes = saved(d.chip, "chip")
+    return graph.seed_signals(nodes, saved(d.chip_edges, "chip_edges"), nodes.select(F.col("id").alias("seed")), scopegraph.LOGIC, True)
+
+
+_LEGACY = """inst AS (SELECT up.id, up.anc AS box FROM (WITH RECURSIVE up AS (SELECT id, id AS anc, kind, parent FROM nodes UNION ALL SELECT up.id, n.id, n.kind, n.parent FROM up JOIN nodes n ON n.id = up.parent WHERE up.kind <> 'Instance') SELECT * FROM up) up WHERE kind = 'Instance'),
+  near AS (SELECT port AS node, endpoint AS other, edge FROM edges WHERE dir = 'out' UNION ALL SELECT endpoint, port, edge FROM edges WHERE dir = 'out' AND port <> endpoint),
+  e1 AS (SELECT n.id AS seed, near.other, edge FROM nodes n JOIN near ON near.node = n.id WHERE n.kind = 'Param'),
+  f1 AS (SELECT seed, box, arg_min(other, edge) AS node, min(edge) AS k FROM e1 JOIN inst ON inst.id = other GROUP BY 1, 2),
+  r1 AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY k) AS rank FROM f1),
+  e2 AS (SELECT r1.seed, edge, min(rank) AS rank, arg_min(near.other, rank) AS other FROM r1 JOIN near ON near.node = r1.node WHERE (r1.seed, edge) NOT IN (SELECT seed, edge FROM e1) GROUP BY 1, 2),
+  f2 AS (SELECT DISTINCT seed, box FROM e2 JOIN inst ON inst.id = e2.other WHERE (seed, box) NOT IN (SELECT seed, box FROM f1))"""
+
+
+@query("cone_legacy", f"WITH {_LEGACY} SELECT seed, concat('box ', box) AS item, 1 AS hop FROM f1 UNION ALL SELECT seed, concat('box ', box), 2 FROM f2 UNION ALL SELECT DISTINCT seed, concat('edge ', edge), 1 FROM e1 UNION ALL SELECT seed, concat('edge ', edge), 2 FROM e2")
+def cone_legacy(d: Data) -> DataFrame:
+    """Two hops along outputs from every parameter."""
+    nodes, edges = saved(d.nodes, "nodes"), saved(d.edges, "edges")
+    seeds = nodes.where("kind = 'Param'").select(F.col("id").alias("seed"))
+    boxes, wires = graph.cone_legacy(edges, seeds, hierarchy.nearest_ancestor(nodes), "out", 2)
+    boxes = boxes.select("seed", F.concat(F.lit("box "), F.col("box").cast("string")).alias("item"), "hop")
+    return boxes.unionAll(wires.select("seed", F.concat(F.lit("edge "), "edge").alias("item"), "hop"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.operators import lowering, tokens
+from netloom.operators import lowering, probe, tokens, waves
 from netloom.plans.queries import Data, query
 
 # What the three lexical rules make of one made text, piece by piece: s SystemVerilog, c C++, p any other language.
@@ -85,3 +85,42 @@ def resolve_ref(d: Data) -> DataFrame:
       UNION ALL SELECT concat('a/k', p_partkey, '.cpp') FROM part WHERE p_partkey % 5 = 2""")
     declared = d.sql("SELECT concat('decl/k', p_partkey, '.cpp') AS source FROM part WHERE p_partkey % 5 > 2 UNION ALL SELECT concat('more/k', p_partkey, '.cpp') FROM part WHERE p_partkey % 5 = 4")
     return lowering.resolved_sources(refs, [{"pos": 0, "root": "a"}, {"pos": 1, "root": "b"}], declared, have)
+
+
+# Sources of customers: one body for one or two instances, blocks and declarations of its orders, references inside the blocks, and maps from C files.
+_BODY = """od AS (SELECT o_orderkey AS o, o_custkey AS c, CAST((o_orderkey % 100) * 100 AS BIGINT) AS a FROM orders),
+  sn AS (SELECT c_custkey AS id, 'Instance' AS kind, concat('top.c', c_custkey) AS path FROM customer UNION ALL SELECT 1000000000 + c_custkey, 'Instance', concat('top.x', c_custkey) FROM customer WHERE c_custkey % 2 = 1
+    UNION ALL SELECT 2000000000000 + o, 'Comb', concat('top.c', c, '.p', o) FROM od UNION ALL SELECT 3000000000000 + o, 'Net', concat('top.c', c, '.n', o) FROM od UNION ALL SELECT 4000000000000 + o, 'Net', concat('top.x', c, '.n', o) FROM od WHERE c % 2 = 1),
+  rg AS (SELECT c_custkey AS file, c_custkey AS id, CAST(0 AS BIGINT) AS lo, CAST(9950 AS BIGINT) AS hi, true AS body FROM customer UNION ALL SELECT c_custkey, 1000000000 + c_custkey, CAST(0 AS BIGINT), CAST(9950 AS BIGINT), true FROM customer WHERE c_custkey % 2 = 1
+    UNION ALL SELECT c, 2000000000000 + o, a, a + 50, true FROM od UNION ALL SELECT c, 3000000000000 + o, a + 60, a + 60 + o % 3, true FROM od),
+  rf AS (SELECT c AS file, a + 10 AS spot, 4 AS len, CASE WHEN o % 5 = 0 THEN concat('/top.c', c, '.n', o) WHEN o % 5 = 1 THEN concat('gone', o) ELSE concat('n', o) END AS rel FROM od),
+  mp AS (SELECT -c AS file, CAST((o % 50) * 10 AS BIGINT) AS lo, CAST((o % 50) * 10 + 10 + o % 3 AS BIGINT) AS hi, c AS gen_file, a AS gen_lo, a + 50 AS gen_hi FROM od WHERE o % 4 > 0),
+  pr AS (SELECT c AS file, a + 12 AS spot FROM od UNION SELECT c, a + 60 FROM od UNION SELECT c, a + 30 FROM od UNION SELECT c, a + 90 FROM od UNION SELECT -c, CAST((o % 50) * 10 + 3 AS BIGINT) FROM od)"""
+
+
+@query("probe_cascade", f"""WITH {_BODY}, mb AS (SELECT pr.file, pr.spot, mp.gen_file, mp.gen_lo, mp.gen_hi FROM pr JOIN mp ON mp.file = pr.file AND mp.lo <= pr.spot AND pr.spot < mp.hi QUALIFY row_number() OVER (PARTITION BY pr.file, pr.spot ORDER BY mp.hi - mp.lo, gen_lo, gen_hi) = 1),
+  pl AS (SELECT pr.file, pr.spot, mb.gen_file IS NOT NULL AS mapped, coalesce(mb.gen_file, pr.file) AS f, coalesce(gen_lo, pr.spot) AS lo, coalesce(gen_hi, pr.spot + 1) AS hi FROM pr LEFT JOIN mb ON mb.file = pr.file AND mb.spot = pr.spot),
+  hw AS (SELECT pl.file, pl.spot, pl.mapped, rg.id, CASE WHEN rg.hi > rg.lo THEN rg.hi - rg.lo ELSE 1000000000 END AS w FROM pl JOIN rg ON rg.file = pl.f AND rg.lo < pl.hi AND pl.lo < greatest(rg.hi, rg.lo + 1)),
+  sp AS (SELECT file, spot, mapped, id FROM hw QUALIFY w = min(w) OVER (PARTITION BY file, spot)),
+  leaf AS (SELECT file, spot FROM (SELECT file, spot, mapped, arg_min(kind, path) AS kind FROM sp JOIN sn USING (id) GROUP BY 1, 2, 3) x WHERE mapped OR kind = 'Net'),
+  nr AS (SELECT pr.file, pr.spot, min(rel) AS rel FROM pr JOIN rf ON rf.file = pr.file AND rf.spot <= pr.spot AND pr.spot < rf.spot + rf.len WHERE (pr.file, pr.spot) NOT IN (SELECT file, spot FROM leaf) GROUP BY 1, 2),
+  nh AS (SELECT file, nr.spot, sn.id FROM nr JOIN sn ON starts_with(rel, '/') AND sn.path = substr(rel, 2) UNION SELECT nr.file, nr.spot, sn.id FROM nr JOIN rg ON rg.file = nr.file AND rg.lo <= nr.spot AND nr.spot < rg.hi JOIN sn i ON i.id = rg.id AND i.kind = 'Instance' JOIN sn ON sn.path = concat(i.path, '.', rel)),
+  fin AS (SELECT file, spot, 'name' AS via, id FROM nh UNION ALL SELECT file, spot, CASE WHEN mapped THEN 'map' ELSE 'span' END, id FROM sp WHERE (file, spot) NOT IN (SELECT file, spot FROM nh))
+  SELECT file, spot AS "offset", via, arg_min(id, path) AS anchor, count(*) - 1 AS others, CAST(count(*) AS BIGINT) AS nodes FROM fin JOIN sn USING (id) GROUP BY 1, 2, 3""")
+def probe_cascade(d: Data) -> DataFrame:
+    made = {name: d.sql(f"WITH {_BODY} SELECT * FROM {name}") for name in ("sn", "rg", "rf", "mp", "pr")}
+    return probe.from_source(made["pr"].withColumnRenamed("spot", "offset"), made["sn"], made["rg"], made["mp"], made["rf"].withColumnRenamed("spot", "offset"))
+
+
+_PANES = "gr AS (SELECT DISTINCT o_custkey AS pane, o_orderkey % 7 AS g FROM orders), la AS (SELECT o_custkey AS pane, o_orderkey % 7 AS g, o_orderkey AS lane FROM orders WHERE o_orderkey % 7 < 5)"
+
+
+@query("visible_lanes", f"WITH {_PANES} SELECT pane, lane, row_number() OVER (PARTITION BY pane ORDER BY g, lane) - 1 AS slot FROM la WHERE (g + pane) % 3 > 0")
+def visible_lanes(d: Data) -> DataFrame:
+    groups = d.sql(f"WITH {_PANES} SELECT pane, g AS `group`, (g + pane) % 3 = 0 AS collapsed FROM gr")
+    return waves.visible_lanes(groups, d.sql(f"WITH {_PANES} SELECT pane, g AS `group`, lane AS pos, lane FROM la"))
+
+
+@query("working_group", f"""WITH {_PANES}, h AS (SELECT pane, max(g) AS g FROM la GROUP BY pane) SELECT gr.pane, coalesce(min(h.g), max(gr.g)) AS "group" FROM gr LEFT JOIN h ON h.pane = gr.pane GROUP BY gr.pane""")
+def working_group(d: Data) -> DataFrame:
+    return waves.working_group(d.sql(f"WITH {_PANES} SELECT pane, g AS `group` FROM gr"), d.sql(f"WITH {_PANES} SELECT pane, g AS `group`, lane FROM la"))
