@@ -44,16 +44,18 @@ _WIRES = f"""up AS (SELECT id, id AS a FROM chip UNION ALL SELECT up.id, n.paren
     FROM en JOIN up ON up.id = en.node JOIN bx ON bx.scope = en.scope AND bx.box = up.a JOIN chip n ON n.id = en.node LEFT JOIN chip q ON q.id = n.parent),
   an AS (SELECT en.scope, en.node, CASE WHEN o.pin IS NOT NULL THEN o.pin WHEN one.pin IS NOT NULL THEN one.box ELSE und.box END AS box, CASE WHEN o.pin IS NOT NULL THEN concat(o.pin, '') WHEN one.pin IS NOT NULL THEN concat(one.pin, '') ELSE und.pin END AS pin
     FROM en LEFT JOIN own o ON o.scope = en.scope AND o.node = en.node LEFT JOIN one ON one.scope = en.scope AND one.node = en.node LEFT JOIN und ON und.scope = en.scope AND und.node = en.node),
-  s1 AS (SELECT st.scope, st.edge, st.endpoint AS key, st.sel, coalesce(CAST(v.id AS VARCHAR), a.pin) AS src, coalesce(CAST(x.id AS VARCHAR), b.pin) AS tgt
+  fi AS MATERIALIZED (SELECT CAST(id AS VARCHAR) AS pin, modport FROM chip WHERE kind = 'Interface' AND modport IS NOT NULL), md AS MATERIALIZED (SELECT id, parent, name FROM chip WHERE kind = 'Modport'),
+  s1 AS MATERIALIZED (SELECT st.scope, st.edge, st.endpoint AS key, st.sel, coalesce(CAST(v.id AS VARCHAR), a.pin) AS src, coalesce(CAST(x.id AS VARCHAR), b.pin) AS tgt
     FROM st JOIN an a ON a.scope = st.scope AND a.node = st.port JOIN an b ON b.scope = st.scope AND b.node = st.endpoint
-    LEFT JOIN chip fb ON concat(fb.id, '') = b.pin AND fb.kind = 'Interface' LEFT JOIN chip v ON v.parent = a.box AND v.kind = 'Modport' AND v.name = fb.modport
-    LEFT JOIN chip fa ON concat(fa.id, '') = a.pin AND fa.kind = 'Interface' LEFT JOIN chip x ON x.parent = b.box AND x.kind = 'Modport' AND x.name = fa.modport WHERE a.box <> b.box),
+    LEFT JOIN fi fb ON fb.pin = b.pin LEFT JOIN md v ON v.parent = a.box AND v.name = fb.modport
+    LEFT JOIN fi fa ON fa.pin = a.pin LEFT JOIN md x ON x.parent = b.box AND x.name = fa.modport WHERE a.box <> b.box),
   al AS (SELECT scope, src, tgt, key, sel, 0 AS pass, CAST(0 AS BIGINT) AS k, 0 AS f1, edge AS e1, 0 AS f2, '' AS e2 FROM s1
     UNION ALL SELECT d.scope, d.pin, l.pin, d.key, coalesce(d.sel, l.sel), 1, d.key, d.fold, d.edge, l.fold, l.edge FROM p2 d JOIN p2 l ON l.scope = d.scope AND l.key = d.key AND d.way <> 'in' AND l.way <> 'out' WHERE d.pin <> l.pin AND (d.sel IS NULL OR l.sel IS NULL OR d.sel = l.sel)),
   bst AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY scope, least(src, tgt), greatest(src, tgt) ORDER BY pass, k, f1, e1, f2, e2) = 1),
-  grp AS (SELECT id, CASE WHEN kind IN ('Port', 'Net', 'Var') THEN min(CASE WHEN kind IN ('Port', 'Net', 'Var') THEN id END) OVER (PARTITION BY path) ELSE id END AS g FROM chip),
-  drv AS (SELECT a.g, e.port AS other, e.sel, b.g AS og FROM chip_edges e JOIN grp a ON a.id = e.endpoint JOIN grp b ON b.id = e.port WHERE e.dir = 'out' UNION ALL SELECT a.g, e.endpoint, e.sel, b.g FROM chip_edges e JOIN grp a ON a.id = e.port JOIN grp b ON b.id = e.endpoint WHERE e.dir <> 'out' AND e.port <> e.endpoint),
-  tie AS (SELECT grp.id, t.const FROM (SELECT g, min(other) AS other FROM drv WHERE g <> og GROUP BY g HAVING count(*) = 1 AND count(sel) = 0) o JOIN chip t ON t.id = other AND t.kind IN ('Assign', 'Comb') AND t.const IS NOT NULL JOIN grp USING (g)),
+  grp AS MATERIALIZED (SELECT id, coalesce(m.g, id) AS g FROM chip LEFT JOIN (SELECT path AS p, min(id) AS g FROM chip WHERE kind IN ('Port', 'Net', 'Var') GROUP BY path) m ON m.p = chip.path AND chip.kind IN ('Port', 'Net', 'Var')),
+  drv AS MATERIALIZED (SELECT a.g, e.port AS other, e.sel, b.g AS og FROM chip_edges e JOIN grp a ON a.id = e.endpoint JOIN grp b ON b.id = e.port WHERE e.dir = 'out' UNION ALL SELECT a.g, e.endpoint, e.sel, b.g FROM chip_edges e JOIN grp a ON a.id = e.port JOIN grp b ON b.id = e.endpoint WHERE e.dir <> 'out' AND e.port <> e.endpoint),
+  ct AS MATERIALIZED (SELECT id, const FROM chip WHERE kind IN ('Assign', 'Comb') AND const IS NOT NULL), od AS MATERIALIZED (SELECT g, min(other) AS other FROM drv WHERE g <> og GROUP BY g HAVING count(*) = 1 AND count(sel) = 0),
+  tie AS MATERIALIZED (SELECT grp.id, ct.const FROM od JOIN ct ON ct.id = od.other JOIN grp USING (g)),
   wire AS (SELECT bst.scope, src AS source, tgt AS target, concat(CASE WHEN starts_with(n.path, concat(scp.root, '.')) THEN substr(n.path, length(scp.root) + 2) ELSE split_part(n.path, '.', -1) END, coalesce(sel, '')) AS net, CASE WHEN sel IS NULL THEN tie.const END AS constant
     FROM bst JOIN chip n ON n.id = bst.key JOIN scp ON scp.scope = bst.scope LEFT JOIN tie ON tie.id = bst.key
     UNION ALL SELECT scope, concat('const/', id), concat(id, ''), NULL, NULL FROM bx JOIN chip ON parent = box AND chip.kind = 'Port' AND const IS NOT NULL)"""
