@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import chat, crossentropy, decontaminate, fingerprint, language, minhash, packing, personal, pieces, sharding
+from netloom.llm import changes, chat, crossentropy, decontaminate, fingerprint, language, minhash, packing, personal, pieces, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,63 @@ WITH t AS (
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
 """
 
+def op12_change_applier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.shop_applied(spark, sf_dir)
+
+
+def _op12_sql() -> str:
+    """Unrolled over the batches: a client's next number after each start's jumps (j) and after the batch (k).
+
+    ``e``: where a run of arrived numbers ends, as of each batch. A first arrival not below the jumps of its own batch is applied in the first batch
+    whose next number is beyond it.
+    """
+    steps = ["k0 AS (SELECT client_id, CAST(0 AS BIGINT) AS k FROM (SELECT DISTINCT client_id FROM u))"]
+    for b in range(1, 10):
+        late = "TRUE" if b == 9 else f"day + 5 <= (SELECT max(day) FROM d WHERE batch < {b})"
+        steps.append(
+            f"x{b} AS (SELECT p.client_id, p.k, max(u.n) AS x FROM k{b - 1} p LEFT JOIN u ON u.client_id = p.client_id AND u.batch < {b} AND u.n > p.k AND {late} GROUP BY ALL), "
+            f"j{b} AS (SELECT x.client_id, coalesce(e.upto, x.k) AS k FROM x{b} x LEFT JOIN e ON e.b = {b - 1} AND e.client_id = x.client_id AND e.n = x.x), "
+            f"k{b} AS (SELECT j.client_id, coalesce(e.upto, j.k) AS k FROM j{b} j LEFT JOIN e ON e.b = {min(b, 8)} AND e.client_id = j.client_id AND e.n = j.k + 1)"
+        )
+    marks = " UNION ALL ".join(f"SELECT client_id, {b} AS batch, (SELECT k FROM j{b} j WHERE j.client_id = k{b}.client_id) AS j, k FROM k{b}" for b in range(1, 10))
+    return rf"""
+WITH t AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))
+), h AS (
+  SELECT change_id, xor(list_reduce(list_transform(range(1, len(CAST(change_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(change_id AS VARCHAR)[i]) AS BIGINT)),
+    lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) AS h FROM (SELECT DISTINCT change_id FROM client_changes), t
+), r AS (
+  SELECT *, dense_rank() OVER (PARTITION BY client_id ORDER BY seq NULLS FIRST) AS n FROM (SELECT DISTINCT * FROM client_changes)
+), d AS (
+  SELECT *, CAST(least(8, 1 + floor((day - 19723) * 8 / 160)) AS INTEGER) AS batch
+  FROM (SELECT r.*, date_diff('day', DATE '1970-01-01', CAST(valid_at AS DATE)) + 2 * (h % 4) AS day FROM r JOIN h USING (change_id) WHERE valid_at IS NOT NULL AND h % 11 <> 0)
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY client_id, n ORDER BY day, change_id) AS arrival FROM d
+), u AS MATERIALIZED (SELECT * FROM f WHERE arrival = 1
+), e AS MATERIALIZED (
+  SELECT b, client_id, n, max(n) OVER (PARTITION BY b, client_id, n - place) AS upto
+  FROM (SELECT b, client_id, n, row_number() OVER (PARTITION BY b, client_id ORDER BY n) AS place FROM u, range(0, 9) g(b) WHERE u.batch <= b)
+), {", ".join(x.replace(" AS (", " AS MATERIALIZED (") for x in steps)}
+, m AS MATERIALIZED ({marks}
+), o AS (
+  SELECT u.*, (SELECT min(m.batch) FROM m WHERE m.client_id = u.client_id AND m.batch >= u.batch AND m.k >= u.n) AS since, own.j AS passed
+  FROM u JOIN m own ON own.client_id = u.client_id AND own.batch = u.batch
+), a AS (
+  SELECT *, count(CASE WHEN op IN ('I', 'D') THEN 1 END) OVER w AS part, n - 1 - coalesce(lag(n) OVER w, 0) AS gap, lead(n) OVER w IS NULL AS final
+  FROM o WHERE n > passed WINDOW w AS (PARTITION BY client_id ORDER BY n)
+), v AS (
+  SELECT *, last_value(CASE WHEN op <> 'D' THEN city END IGNORE NULLS) OVER p AS c, last_value(CASE WHEN op <> 'D' THEN balance END IGNORE NULLS) OVER p AS m
+  FROM a WINDOW p AS (PARTITION BY client_id, part ORDER BY n ROWS UNBOUNDED PRECEDING)
+)
+SELECT change_id, client_id, 'applied' AS status, CAST(since AS INTEGER) AS batch, CAST(gap AS BIGINT) AS missed, c AS city, CAST(floor(100 * m + 0.5) AS BIGINT) AS cents, final AND op <> 'D' AS current FROM v
+UNION ALL
+SELECT change_id, client_id, 'rejected', batch, 0, NULL, NULL, FALSE FROM f WHERE arrival > 1
+UNION ALL
+SELECT change_id, client_id, 'rejected', batch, 0, NULL, NULL, FALSE FROM o WHERE n <= passed
+"""
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -104,5 +161,6 @@ QUERIES = {
     "op8_byte_shards": op8_byte_shards,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
+    "op12_change_applier": op12_change_applier,
 }
-ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op8_byte_shards": OP8_SQL}
+ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op8_byte_shards": OP8_SQL, "op12_change_applier": _op12_sql()}
