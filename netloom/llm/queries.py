@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import changes, chat, crossentropy, decontaminate, fingerprint, language, minhash, packing, personal, pieces, sharding
+from netloom.llm import changes, chat, crossentropy, decontaminate, fingerprint, language, minhash, packing, personal, pieces, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,10 @@ WITH t AS (
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
 """
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_change_applier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.shop_applied(spark, sf_dir)
 
@@ -161,6 +165,7 @@ QUERIES = {
     "op8_byte_shards": op8_byte_shards,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
     "op12_change_applier": op12_change_applier,
 }
 ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op8_byte_shards": OP8_SQL, "op12_change_applier": _op12_sql()}
