@@ -34,12 +34,16 @@ LANES = 1024
 CHUNK = 10_000
 #: Waiting rows of a client that its own state holds.
 FEW = 50
-#: Stores on disk, whose memory is bounded a process, and whose commits write what changed.
+#: Stores on disk, whose memory is bounded a process and whose commits write what changed. A start reads its stores once, so a task closes its own
+#: at its end, and no room is taken in advance.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
