@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import changes, chat, crossentropy, decontaminate, fingerprint, language, minhash, packing, personal, pieces, sharding, simhash
+from netloom.llm import changes, chat, crossentropy, decontaminate, fingerprint, language, minhash, negatives, packing, personal, pieces, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -154,6 +154,27 @@ SELECT change_id, client_id, 'rejected', batch, 0, NULL, NULL, FALSE FROM o WHER
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.table_negatives(spark, sf_dir)
+
+
+OP13_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT a, b AS p, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+), n AS (
+  SELECT p.a, p.p, p.ps, s.b, s.score, row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.score DESC, s.b) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.ps <= 100 * s.score AND 100 * s.score <= 90 * p.ps
+)
+SELECT a AS anchor_id, p AS positive_id, CAST(rank AS INTEGER) AS rank, b AS negative_id, ps AS positive_score, score AS negative_score FROM n WHERE rank <= 10
+"""
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -167,5 +188,6 @@ QUERIES = {
     "op10_personal_data": op10_personal_data,
     "op11_simhash_near_dedup": op11_simhash_near_dedup,
     "op12_change_applier": op12_change_applier,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op8_byte_shards": OP8_SQL, "op12_change_applier": _op12_sql()}
+ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op8_byte_shards": OP8_SQL, "op12_change_applier": _op12_sql(), "op13_hard_negatives": OP13_SQL}
