@@ -70,7 +70,7 @@ def test_search_prunes_nothing_that_counts(spread):
         query, ids, scores = negatives.search(tree, points[order], order, labels[order], asks, 7, same)
         for k in range(40):
             s = points @ asks["point"][k]
-            fits = ((labels == asks["label"][k]) == same) & (s >= asks["lo"][k]) & (s <= asks["hi"][k]) & (~same | (np.arange(3000) != some[k]))
+            fits = ((labels == asks["label"][k]) == same) & (s >= asks["lo"][k]) & (s <= asks["hi"][k]) & (not same or np.arange(3000) != some[k])
             want = sorted((-int(s[i]), int(i)) for i in np.flatnonzero(fits))[:7]
             assert [(-int(x), int(i)) for i, x in zip(ids[query == k], scores[query == k])] == want
 
