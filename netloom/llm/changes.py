@@ -6,7 +6,7 @@ one checkpoint, as a job by the clock would be.
 1. Key (client, n): the first arrival of a number goes on, repeats are rejected. Many keys a client, so that a hot client is spread.
 2. Key client: unique rows are held until their number is next. A row whose number was passed is rejected. Where a client waits for a number longer
    than ``patience`` days of all clients' time, its earliest held number becomes next. A timer a waiting client wakes it in every batch, also in one
-   that has no row of it. Rejected repeats pass beside, dealt to ``LANES`` lanes a client, so that they don't meet in the client's task.
+   that has no row of it. Rejected repeats pass beside in ``LANES`` lanes of all clients, so that they don't meet in a hot client's task.
 
 A task holds ``CHUNK`` rows of a client and 8 bytes for each number that a jump passes; what waits is in the state store, on disk: up to ``FEW`` rows
 beside the client's own state, which is read in any case, and the others in a map by number.
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from netloom.llm.common import saved, shared_dir
 
-#: Groups to which a client's rejected repeats are dealt.
+#: Groups to which rejected repeats are dealt.
 LANES = 1024
 #: Rows of a client that a task sorts at a time.
 CHUNK = 10_000
@@ -74,7 +74,7 @@ def _place(row: Row) -> tuple:
 
 
 def _dealt(row: Row, lane: int) -> Row:
-    return Row(*row.__fields__, "lane")(*row, lane)
+    return Row(*row.__fields__, "lane", "owner")(*row, lane, None if lane else row.client_id)
 
 
 class Sequence(StatefulProcessor):
@@ -252,8 +252,8 @@ def applied(changes: DataFrame, batches: int, values: tuple[str, ...], patience:
                 raise OSError(f"batch {batch} can't be fed")
             latest = max((d for b, d in days.items() if b < batch), default=None)
             fed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1 << 30).parquet(f"{home}/fed/*").where("n IS NOT NULL")
-            firsts = fed.groupBy("client_id", "n").transformWithState(FirstArrivals(), StructType([*schema.fields, StructField("lane", LongType())]), "append", "none")
-            done = firsts.groupBy("client_id", "lane").transformWithState(Sequence(kept, batch, latest, patience, batch > batches), out, "append", "processingTime")
+            firsts = fed.groupBy("client_id", "n").transformWithState(FirstArrivals(), StructType([*schema.fields, StructField("lane", LongType()), StructField("owner", LongType())]), "append", "none")
+            done = firsts.groupBy("owner", "lane").transformWithState(Sequence(kept, batch, latest, patience, batch > batches), out, "append", "processingTime")
             done.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():
