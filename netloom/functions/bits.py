@@ -20,29 +20,53 @@ def trim_bus(value: Column) -> Column:
     return F.when(value == "", "").when(cut == "", "0").otherwise(cut)
 
 
+def _parts(value: Column, size: int) -> Column:
+    """The value in pieces of ``size`` characters, the first one filled up with zeros."""
+    count = F.greatest(F.ceil(F.length(value) / size), F.lit(1)).cast("int")
+    padded = F.lpad(value, count * size, "0")
+    return F.transform(F.sequence(F.lit(1), count), lambda k: F.substring(padded, (k - 1) * size + 1, F.lit(size)))
+
+
 def grouped(value: Column, bits: int) -> Column:
-    """Hexadecimal or octal digits; a digit with a bit that is neither 0 nor 1 is x. Any width: digit by digit."""
-    count = F.floor((F.length(value) + bits - 1) / bits).cast("int")
-    padded = F.concat(F.expr(f"repeat('0', {bits} - 1)"), value)
-    padded = F.substring(padded, F.length(padded) - count * bits + 1, count * bits)
+    """Hexadecimal or octal digits of any width; a digit with a bit that is neither 0 nor 1 is x.
+
+    A value without such a bit is converted 60 bits at a time, others digit by digit.
+    """
+    base, wide = 1 << bits, 60 // bits
+    known = F.array_join(F.transform(_parts(value, 60), lambda part: F.lpad(F.lower(F.conv(part, 2, base)), wide, "0")), "")
+    digit = lambda part: F.when(is_known(part), F.lower(F.conv(part, 2, 16))).otherwise("x")
+    digits = F.array_join(F.transform(_parts(value, bits), digit), "")
+    return F.when(value == "", "").otherwise(trim_bus(F.when(is_known(value), known).otherwise(digits)))
+
+
+#: Limbs of long numbers: nine decimal digits each, least first.
+_LIMB = 1_000_000_000
+
+
+def _carried(limbs: Column, factor: int, plus: Column) -> Column:
+    """limbs * factor + plus, for a factor and a summand below 2^30."""
+    step = lambda s, d: F.struct(F.call_function("div", d * factor + s["carry"], F.lit(_LIMB).cast("long")).alias("carry"), F.concat(s["out"], F.array(F.pmod(d * factor + s["carry"], F.lit(_LIMB).cast("long")))).alias("out"))
+    start = F.struct(plus.cast("long").alias("carry"), F.array().cast("array<long>").alias("out"))
+    return F.aggregate(limbs, start, step, lambda s: F.when(s["carry"] > 0, F.concat(s["out"], F.array(s["carry"]))).otherwise(s["out"]))
 
-    def digit(k: Column) -> Column:
-        part = F.substring(padded, (k - 1) * bits + 1, F.lit(bits))
-        return F.when(part.rlike("^[01]+$"), F.lower(F.conv(part, 2, 16))).otherwise("x")
 
-    digits = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), digit)
-    return F.when(value == "", "").otherwise(trim_bus(F.array_join(digits, "")))
+def _digits(limbs: Column) -> Column:
+    return trim_bus(F.array_join(F.transform(F.reverse(limbs), lambda d: F.lpad(d.cast("string"), 9, "0")), ""))
 
 
 def decimal(value: Column) -> Column:
-    """Unsigned decimal of up to 126 bits; x if any bit is unknown, null if it is wider."""
-    low, high = F.substring(value, F.length(value) - 62, F.lit(63)), F.substring(value, F.lit(1), F.greatest(F.length(value) - 63, F.lit(0)))
-    narrow = F.conv(value, 2, 10)
-    wide = (F.conv(high, 2, 10).cast("decimal(38,0)") * F.lit(str(1 << 63)).cast("decimal(38,0)") + F.conv(low, 2, 10).cast("decimal(38,0)")).cast("string")
-    return (
-        F.when(value == "", "").when(~is_known(value), "x").when(F.length(value) <= 63, narrow)
-        .when(F.length(F.regexp_replace(value, "^0+", "")) <= 126, wide)
-    )
+    """Unsigned decimal of any width; x if any bit is unknown. Beyond 63 bits, 28 bits at a time are folded into limbs of nine digits."""
+    cut = F.regexp_replace(value, "^0+(?=.)", "")
+    parts = F.transform(_parts(cut, 28), lambda part: F.conv(part, 2, 10).cast("long"))
+    wide = _digits(F.aggregate(parts, F.array().cast("array<long>"), lambda limbs, part: _carried(limbs, 1 << 28, part)))
+    return F.when(value == "", "").when(~is_known(value), "x").when(F.length(cut) <= 63, F.conv(cut, 2, 10)).otherwise(wide)
+
+
+def plus(number: Column, more: Column) -> Column:
+    """A decimal number of any length, as a string, plus a number below 2^30."""
+    limbs = F.reverse(F.transform(_parts(number, 9), lambda part: part.cast("long")))
+    small = (number.try_cast("long") + more).cast("string")
+    return F.when(number.isNull(), F.lit(None)).when(F.length(number) <= 17, small).otherwise(_digits(_carried(limbs, 1, more)))
 
 
 def format_value(value: Column, radix: str) -> Column:

@@ -12,14 +12,14 @@ LANGUAGES = {"c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp":
 EXCLUDED = ("TOP", "tb", "soc_pkg")
 
 
-def by_name(files: DataFrame, names: DataFrame) -> DataFrame:
+def by_name(files: DataFrame, names: DataFrame, order: str = "id") -> DataFrame:
     """(name, id): the first file (id, path) whose path is a name, ends in it after a slash, or has it as its last part.
 
-    Every tail of a path is a key, so this is a join of equal keys.
+    ``order``: the column that gives the files' order in the model. Every tail of a path is a key, so this is a join of equal keys.
     """
     parts = F.split("path", "/")
-    tails = files.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("name"))
-    return names.select("name").distinct().join(tails, "name").groupBy("name").agg(F.min("id").alias("id"))
+    tails = files.select("id", F.col(order).alias("place"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("name"))
+    return names.select("name").distinct().join(tails, "name").groupBy("name").agg(F.min_by("id", F.struct("place", "id")).alias("id"))
 
 
 def offset_of(starts: DataFrame, places: DataFrame) -> DataFrame:
@@ -29,9 +29,19 @@ def offset_of(starts: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def parse_offset(spec: Column) -> tuple[Column, Column]:
-    """(file, offset) of FILE:OFFSET, split at the last colon; null if the offset is no number."""
-    offset = F.regexp_extract(spec, r"^.*:([0-9]+)$", 1)
-    return F.when(offset != "", F.regexp_extract(spec, r"^(.*):[0-9]+$", 1)), F.when(offset != "", F.expr("1") * offset.cast("long"))
+    """(file, offset) of FILE:OFFSET, split at the last colon; null if the offset is no number of up to 63 bits."""
+    offset = F.regexp_extract(spec, r"^(?s:.*):([0-9]+)$", 1).try_cast("long")
+    return F.when(offset.isNotNull(), F.regexp_extract(spec, r"^((?s:.*)):[0-9]+$", 1)), offset
+
+
+def resolved_offsets(files: DataFrame, specs: DataFrame, order: str = "id") -> DataFrame:
+    """(spec, file, offset) of specs FILE:OFFSET: FILE is a file's number, else a name as in :func:`by_name`; specs of neither kind, or without an offset, are left out."""
+    name, offset = parse_offset(F.col("spec"))
+    rows = specs.select("spec").distinct().select("spec", name.alias("name"), offset.alias("offset")).where("offset IS NOT NULL")
+    number = F.when(F.col("name").rlike("^[0-9]+$"), F.col("name").try_cast("int")).cast("long")
+    rows = rows.withColumn("number", number)
+    named = by_name(files, rows.where("number IS NULL"), order).withColumnRenamed("id", "file")
+    return rows.where("number IS NOT NULL").select("spec", F.col("number").alias("file"), "offset").unionByName(rows.where("number IS NULL").join(named, "name").select("spec", F.col("file").cast("long").alias("file"), "offset"))
 
 
 def language_of(path: Column) -> Column:
@@ -48,8 +58,8 @@ def module_of(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def excluded_lines(text: Column) -> Column:
-    """Scope names of a file's text: what stands before # and // on its lines, without blank ones."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "#.*$", ""), "//.*$", ""))), lambda x: x != "")
+    """Scope names of a file's text: what stands before # and // on its lines, white space cut off at both ends, without blank ones."""
+    return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"(?s)(#|//).*$", ""), r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def coerce_excluded(text: Column) -> Column:
@@ -67,10 +77,10 @@ def with_select(name: Column, select: Column) -> Column:
     return F.concat(name, F.coalesce(select, F.lit("")))
 
 
-def provenance_ranges(texts: DataFrame) -> DataFrame:
+def provenance_ranges(texts: DataFrame, pattern: str = spans.PROVENANCE) -> DataFrame:
     """(file, lo, hi, source, source_line): byte ranges of generated lines whose comment names a source line; the first one of a line counts."""
     rows = spans.lines(texts)
-    named = spans.provenance(rows)
+    named = spans.provenance(rows, pattern)
     return rows.join(named, ["file", "line"]).select("file", F.col("start").alias("lo"), (F.col("start") + F.col("bytes")).alias("hi"), "source", "source_line")
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from netloom.operators.lookup import best_kind
 from netloom.operators.store import saved
 
+#: Levels after which a walk upwards looks for pairs that it has met before.
+DEEP = 32
+
 
 def scope_frames(nodes: DataFrame) -> DataFrame:
     """(path, depth, frame): the cumulative prefixes of every distinct path."""
@@ -19,7 +22,8 @@ def scope_frames(nodes: DataFrame) -> DataFrame:
 def nearest(nodes: DataFrame, wanted: DataFrame, proper: bool = False) -> DataFrame:
     """(id, ancestor): for every node the nearest of ``wanted`` (id) on its way to the root over parents; null if there is none.
 
-    The node itself counts unless ``proper``. Pointers jump twice as far each round, so a tree of any depth takes a logarithmic number of joins.
+    The node itself counts unless ``proper``. Pointers jump twice as far each round, so a tree of any depth takes a logarithmic number of joins. Nodes
+    whose way ends in a cycle of parents without a wanted node have none: their pointers still move when every path must have ended.
     """
     stop = wanted.select(F.col("id").alias("up"), F.lit(True).alias("stop"))
     step = nodes.select("id", F.col("parent").alias("up")) if proper else nodes.select("id", F.col("id").alias("up"))
@@ -27,7 +31,9 @@ def nearest(nodes: DataFrame, wanted: DataFrame, proper: bool = False) -> DataFr
     links = nodes.select(F.col("id").alias("up"), F.col("parent").alias("next"))
     base = links.join(stop, "up", "left").select("up", F.when(F.col("stop"), F.col("up")).otherwise(F.col("next")).alias("next"), (F.coalesce("stop", F.lit(False)) | F.col("next").isNull()).alias("done"), F.coalesce("stop", F.lit(False)).alias("hit"))
     base = saved(base, "links")
-    while base.where("NOT done").limit(1).count():
+    for _ in range(base.count().bit_length() + 1):
+        if base.where("NOT done").isEmpty():
+            break
         hop = base.select(F.col("up").alias("next"), F.col("next").alias("beyond"), F.col("done").alias("end"), F.col("hit").alias("found"))
         move = base.where("NOT done").join(hop, "next").select("up", F.col("beyond").alias("next"), F.col("end").alias("done"), F.col("found").alias("hit"))
         base = saved(base.where("done").unionAll(move), "links")
@@ -90,13 +96,19 @@ def relative_path(rows: DataFrame, scope: str = "scope", path: str = "path") ->
 
 
 def within(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(id, box): every box (id) that a node is or lies under. The nearest box of each node, and from box to box upwards."""
-    mine = boxes.select("id")
+    """(id, box): every box (id) that a node is or lies under. The nearest box of each node, and from box to box upwards.
+
+    On a cycle of parents a node lies under each box of it once.
+    """
+    mine = boxes.select("id").distinct()
     near = saved(nearest(nodes, mine).where("ancestor IS NOT NULL").select("id", F.col("ancestor").alias("box")), "near")
     above = saved(nearest(nodes, mine, proper=True).join(mine, "id", "left_semi").where("ancestor IS NOT NULL").select(F.col("id").alias("box"), "ancestor"), "above")
-    out, level = near, near
+    out, level, rounds = near, near, 0
     while True:
-        level = saved(level.join(above, "box").select("id", F.col("ancestor").alias("box")), "level")
+        level = level.join(above, "box").select("id", F.col("ancestor").alias("box"))
+        # a tree never meets a pair twice; a cycle does, at the latest by then
+        rounds += 1
+        level = saved(level.distinct().join(out, ["id", "box"], "left_anti") if rounds % DEEP == 0 else level, "level")
         if level.isEmpty():
-            return out
+            return out if rounds < DEEP else out.distinct()
         out = out.unionAll(level)

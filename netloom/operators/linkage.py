@@ -45,21 +45,25 @@ def classified(names: DataFrame, anchor: tuple[str, ...], opts: Options) -> Data
 
 
 def anchor_scores(names: DataFrame, nodes: DataFrame, opts: Options) -> DataFrame:
-    """(prefix, depth, score): signals whose rebased name is a path; here any bracketed segment goes and genblk ones stay."""
+    """(prefix, depth, score, first): signals whose rebased name is a path; here any bracketed segment goes and genblk ones stay.
+
+    ``first``: the least var_ref of all names, parameters too, that have the prefix.
+    """
     segs = F.split("full_name", r"\.")
     cut = F.expr(f"explode(sequence(0, least(size(split(full_name, '\\\\.')) - 1, {opts.deepest})))")
-    tries = names.where("NOT is_parameter").select("var_ref", segs.alias("segs"), cut.alias("depth"))
+    tries = names.select("var_ref", "is_parameter", segs.alias("segs"), cut.alias("depth"))
     rest = F.filter(F.slice("segs", F.col("depth") + 1, F.size("segs")), lambda s: ~s.rlike(ANY_INDEX))
     tries = tries.select(
-        F.array_join(F.slice("segs", F.lit(1), F.col("depth")), ".").alias("prefix"), "depth", F.array_join(F.concat(F.array(F.lit(opts.top)), rest), ".").alias("path")
+        "var_ref", "is_parameter", F.array_join(F.slice("segs", F.lit(1), F.col("depth")), ".").alias("prefix"), "depth", F.array_join(F.concat(F.array(F.lit(opts.top)), rest), ".").alias("path")
     )
-    hits = tries.join(nodes.select("path").distinct(), "path", "left_semi")
-    return hits.groupBy("prefix", "depth").agg(F.count("*").alias("score"))
+    hits = tries.join(nodes.select("path").distinct().withColumn("there", F.lit(True)), "path", "left")
+    scores = hits.groupBy("prefix", "depth").agg(F.count_if(F.col("there") & ~F.col("is_parameter")).alias("score"), F.min("var_ref").alias("first"))
+    return scores.where("score > 0")
 
 
 def detected_anchor(names: DataFrame, nodes: DataFrame, opts: Options) -> tuple[str, ...]:
-    """Best score, then the longer prefix, then the first by name; none if nothing matches."""
-    best = anchor_scores(names, nodes, opts).orderBy(F.desc("score"), F.desc("depth"), "prefix").first()
+    """Best score, then the longer prefix, then the one that the trace names first; none if nothing matches."""
+    best = anchor_scores(names, nodes, opts).orderBy(F.desc("score"), F.desc("depth"), "first", "prefix").first()
     return tuple(best.prefix.split(".")) if best and best.prefix else ()
 
 

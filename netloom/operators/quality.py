@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions import bits
+
 SIGNALS = ("Port", "Net", "Var")
 
 
@@ -41,26 +43,28 @@ def logic_role(keyword: Column, clocked: Column) -> Column:
 
 
 def parse_int(literal: Column) -> Column:
-    """Value of a sized or plain integer literal, underscores left out; null if a digit is unknown or the value is beyond 63 bits."""
+    """Value of a sized or plain integer literal of any width, as decimal digits, underscores left out; null if a digit is unknown."""
     clean = F.lower(F.regexp_replace(literal, "_", ""))
-    out = F.when(clean.rlike("^[0-9]+$"), clean.try_cast("long"))
-    for letter, base, digits, most in (("d", 10, "0-9", 19), ("h", 16, "0-9a-f", 16), ("b", 2, "01", 63), ("o", 8, "0-7", 21)):
-        pattern = rf"^[0-9]*'s?{letter}([{digits}]+)$"
-        number = F.regexp_replace(F.regexp_extract(clean, pattern, 1), "^0+(?=.)", "")
-        # a value of more digits than 63 bits can have isn't converted
-        out = out.when(clean.rlike(pattern), F.when(F.length(number) <= most, F.conv(number, base, 10).try_cast("long")))
-    return out
+    short = lambda number: F.regexp_replace(number, "^0+(?=.)", "")
+    number = lambda letter, digits: F.regexp_extract(clean, rf"^[0-9]*'s?{letter}([{digits}]+)$", 1)
+    # each digit of a power-of-two base as its bits
+    spelt = lambda text, base, size: F.array_join(F.transform(F.split(text, ""), lambda d: F.lpad(F.conv(d, base, 2), size, "0")), "")
+    plain, dec, hex_, bin_, oct_ = F.regexp_extract(clean, "^([0-9]+)$", 1), number("d", "0-9"), number("h", "0-9a-f"), number("b", "01"), number("o", "0-7")
+    return (
+        F.when(plain != "", short(plain)).when(dec != "", short(dec)).when(hex_ != "", bits.decimal(spelt(hex_, 16, 4)))
+        .when(bin_ != "", bits.decimal(bin_)).when(oct_ != "", bits.decimal(spelt(oct_, 8, 3)))
+    )
 
 
 def enum_values(members: DataFrame) -> DataFrame:
-    """members (type, pos, name, literal): values, a missing literal being one more than the member before; an
+    """members (type, pos, name, literal): values as decimal digits, a missing literal being one more than the member before; an
     unreadable literal drops its whole type."""
     given = F.when(F.col("literal").isNotNull(), parse_int(F.col("literal")))
     rows = members.withColumn("given", given).withColumn("bad", F.col("literal").isNotNull() & F.col("given").isNull())
     by = Window.partitionBy("type").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("base", F.last(F.when(F.col("given").isNotNull(), F.struct("given", "pos")), ignorenulls=True).over(by))
     rows = rows.withColumn("drop", F.max("bad").over(Window.partitionBy("type")))
-    value = F.coalesce(F.col("base.given") + F.col("pos") - F.col("base.pos"), F.col("pos").cast("long"))
+    value = F.coalesce(bits.plus(F.col("base.given"), F.col("pos") - F.col("base.pos")), F.col("pos").cast("string"))
     return rows.where("NOT drop").select("type", "name", value.alias("value"))
 
 

@@ -100,16 +100,19 @@ def gate_children(gates: DataFrame, edges: DataFrame) -> DataFrame:
 def associative_roots(gates: DataFrame, links: DataFrame) -> DataFrame:
     """gates (id, op), links (child, parent): for every gate the topmost gate it reaches through parents of its own operator.
 
-    Pointers jump twice as far each round, until none moves: chains of any length take a logarithmic number of joins.
+    Pointers jump twice as far each round, until none moves: chains of any length take a logarithmic number of joins. Gates on a ring of one operator, and
+    those that lead into one, reach no topmost gate and stay their own root.
     """
     same = links.join(gates.select(F.col("id").alias("child"), F.col("op").alias("co")), "child").join(gates.select(F.col("id").alias("parent"), F.col("op").alias("po")), "parent")
     step = saved(gates.select("id").join(same.where("co = po").select(F.col("child").alias("id"), F.col("parent").alias("up")), "id", "left").select("id", F.coalesce("up", "id").alias("up")), "step")
-    while True:
+    last = step.count().bit_length() + 1
+    for k in range(last + 1):
         hop = step.select(F.col("id").alias("up"), F.col("up").alias("next"))
         step = saved(step.join(hop, "up").select("id", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "step")
-        if step.where("moved").isEmpty():
-            return step.select("id", F.col("up").alias("root"))
+        if k == last or step.where("moved").isEmpty():
+            break
         step = step.select("id", "up")
+    return step.select("id", F.when(F.col("moved"), F.col("id")).otherwise(F.col("up")).alias("root"))
 
 
 def pruned(nodes: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -24,13 +24,15 @@ def scopes_of(nodes: DataFrame) -> DataFrame:
 
 
 def scope_boxes(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
-    """(scope, box, kind): what each navigable scope draws. Boxes under GenBlocks show in every scope up to the first that is none."""
+    """(scope, box, kind): what each navigable scope draws. Boxes under GenBlocks show in every scope up to the first that is none, once on a cycle of them."""
     level = saved(nodes.where(F.col("kind").isin(*BOXES) & F.col("parent").isNotNull()).select(F.col("parent").alias("scope"), F.col("id").alias("box"), "kind"), "boxes")
     blocks = saved(nodes.where("kind = 'GenBlock' AND parent IS NOT NULL").select(F.col("id").alias("scope"), F.col("parent").alias("up")), "blocks")
-    out = level
+    out, rounds = level, 0
     while not level.isEmpty():
-        level = saved(level.join(blocks, "scope").select(F.col("up").alias("scope"), "box", "kind"), "boxes")
+        level, rounds = level.join(blocks, "scope").select(F.col("up").alias("scope"), "box", "kind"), rounds + 1
+        level = saved(level.distinct().join(out, ["scope", "box"], "left_anti") if rounds % hierarchy.DEEP == 0 else level, "boxes")
         out = out.unionAll(level)
+    out = out if rounds < hierarchy.DEEP else out.distinct()
     return saved(out.join(scopes, "scope", "left_semi"), "boxes")
 
 

@@ -69,11 +69,14 @@ def identifiers(rows: DataFrame) -> DataFrame:
     return rows.select("file", "line", F.explode(words).alias("word")).groupBy("file", "line", "word").agg(F.count("*").alias("n"))
 
 
-def provenance(rows: DataFrame) -> DataFrame:
-    """(file, line, source, source_line): comments of the form ``// name:number`` in lines (file, line, text), the first of each."""
-    pattern = r"//.*?([A-Za-z0-9_./-]+\.[A-Za-z]+):([0-9]+)"
+#: Fixed value: a C or C++ file and a line somewhere after two slashes. A tool of another form has a pattern of its own, with the same two groups.
+PROVENANCE = r"//.*?([\w./\\-]+\.(?:c|cc|cpp|cxx|h|hpp)):(\d+)"
+
+
+def provenance(rows: DataFrame, pattern: str = PROVENANCE) -> DataFrame:
+    """(file, line, source, source_line): comments that name a source line in lines (file, line, text), the first of each; a line number beyond 63 bits is null."""
     found = rows.where(F.col("text").rlike(pattern))
-    return found.select("file", "line", F.regexp_extract("text", pattern, 1).alias("source"), F.regexp_extract("text", pattern, 2).cast("long").alias("source_line"))
+    return found.select("file", "line", F.regexp_extract("text", pattern, 1).alias("source"), F.regexp_extract("text", pattern, 2).try_cast("long").alias("source_line"))
 
 
 def best_references(refs: DataFrame) -> DataFrame:

@@ -14,10 +14,21 @@ _PATHS = "f AS (SELECT s_suppkey AS id, concat('src/n', s_nationkey, '/', CASE s
 
 
 @query("file_lookup", f"""WITH {_PATHS}, q AS (SELECT DISTINCT name FROM (SELECT path AS name FROM f UNION ALL SELECT split_part(path, '/', 3) FROM f UNION ALL SELECT substr(path, 5) FROM f UNION ALL SELECT 'none.sv') n)
-  SELECT name, min(id) AS id FROM q JOIN f ON path = name OR ends_with(path, concat('/', name)) OR split_part(path, '/', -1) = name GROUP BY name""")
+  SELECT name, arg_min(id, (s % 7) * 10000000 + s) AS id FROM q JOIN (SELECT *, id AS s FROM f) f ON path = name OR ends_with(path, concat('/', name)) OR split_part(path, '/', -1) = name GROUP BY name""")
 def file_lookup(d: Data) -> DataFrame:
     names = d.sql(f"WITH {_PATHS} SELECT path AS name FROM f UNION ALL SELECT split_part(path, '/', 3) FROM f UNION ALL SELECT substr(path, 5) FROM f UNION ALL SELECT 'none.sv'")
-    return files.by_name(d.sql(f"WITH {_PATHS} SELECT * FROM f"), names)
+    return files.by_name(d.sql(f"WITH {_PATHS} SELECT *, id % 7 AS place FROM f"), names, "place")
+
+
+@query("resolved_offsets", f"""WITH {_PATHS}, q AS (SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN concat(s_suppkey, '') WHEN 1 THEN concat('u', s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '.c' WHEN 1 THEN '.hpp' WHEN 2 THEN '.sv' ELSE '' END) ELSE 'none' END AS name FROM supplier),
+  n AS (SELECT k, min(f.id) AS id FROM q JOIN f ON split_part(path, '/', -1) = name GROUP BY k)
+  SELECT concat(name, ':', k) AS spec, CAST(CASE WHEN k % 3 = 0 THEN k ELSE n.id END AS BIGINT) AS file, CAST(k AS BIGINT) AS "offset" FROM q LEFT JOIN n USING (k) WHERE k % 3 = 0 OR n.id IS NOT NULL""")
+def resolved_offsets(d: Data) -> DataFrame:
+    """FILE:OFFSET where FILE is a number, a name, or unknown, and once more with an offset that is no number."""
+    found = d.sql(f"WITH {_PATHS} SELECT id, path FROM f")
+    name = F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).when(F.col("id") % 3 == 1, F.element_at(F.split("path", "/"), -1)).otherwise("none")
+    specs = found.select(F.concat(name, F.lit(":"), "id").alias("spec")).unionAll(found.select(F.concat(name, F.lit(":x"), "id")))
+    return files.resolved_offsets(found, specs)
 
 
 @query("source_languages", f"WITH {_PATHS} SELECT id, CASE WHEN ends_with(path, '.c') THEN 'c' ELSE 'cpp' END AS language FROM f")
@@ -41,7 +52,7 @@ def line_col_to_offset(d: Data) -> DataFrame:
 @query("parse_offset", "SELECT o_orderkey, concat('a:', o_custkey) AS file, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey END AS \"offset\" FROM orders WHERE o_orderkey % 5 > 0 UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 5 = 0")
 def parse_offset(d: Data) -> DataFrame:
     file, offset = files.parse_offset(F.col("spec"))
-    rows = d.sql("SELECT o_orderkey, concat('a:', o_custkey, ':', CASE WHEN o_orderkey % 5 > 0 THEN concat(o_orderkey, '') ELSE 'x' END) AS spec FROM orders")
+    rows = d.sql("SELECT o_orderkey, concat('a:', o_custkey, ':', CASE WHEN o_orderkey % 5 > 0 THEN concat(o_orderkey, '') WHEN o_orderkey % 2 = 0 THEN concat('9', o_orderkey, '00000000000000000000') ELSE 'x' END) AS spec FROM orders")
     return rows.select("o_orderkey", file.alias("file"), offset.alias("offset"))
 
 
@@ -65,7 +76,7 @@ def token_offsets(d: Data) -> DataFrame:
 
 
 # Generated text: a line for each lineitem of an order, some with a comment that names a source line.
-_MADE = """l_line AS (SELECT l_orderkey, l_linenumber, concat('x = ', min(l_partkey), CASE WHEN l_linenumber % 3 = 0 THEN '; // plain' ELSE concat('; // [src/k', l_linenumber % 2, '.cpp:', min(l_suppkey), '] t') END) AS t FROM lineitem GROUP BY 1, 2)"""
+_MADE = """l_line AS (SELECT l_orderkey, l_linenumber, concat('x = ', min(l_partkey), CASE WHEN l_linenumber % 6 = 0 THEN '; // see top.v:12, host.com:80' WHEN l_linenumber % 3 = 0 THEN '; // plain' ELSE concat('; // [src/k', l_linenumber % 2, '.cpp:', min(l_suppkey), '] t') END) AS t FROM lineitem GROUP BY 1, 2)"""
 _MADE_SQL = _MADE + """, g AS (SELECT l_orderkey AS file, l_linenumber, t, coalesce(sum(strlen(t) + 1) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM l_line),
   r AS (SELECT file, CAST(lo AS BIGINT) AS lo, CAST(lo + strlen(t) AS BIGINT) AS hi, regexp_extract(t, '(src/k[01].cpp):', 1) AS source, CAST(regexp_extract(t, 'cpp:([0-9]+)', 1) AS BIGINT) AS source_line FROM g WHERE contains(t, 'cpp:'))"""
 
@@ -88,7 +99,7 @@ def provenance_lookup(d: Data) -> DataFrame:
 
 @query("read_excluded", "SELECT p_partkey, concat('a', p_size, CASE WHEN p_partkey % 2 = 0 THEN concat(',b', p_partkey) ELSE '' END) AS names FROM part")
 def read_excluded(d: Data) -> DataFrame:
-    text = F.concat(F.lit("# head\n  a"), "p_size", F.lit(" // note # more\n\n"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("b"), "p_partkey", F.lit("#x"))).otherwise("//none"))
+    text = F.concat(F.lit("# head\r\n \t a"), "p_size", F.lit("\t// note # more\r\n\t\r\n"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("\tb"), "p_partkey", F.lit(" \t#x"))).otherwise("//none"))
     return d.part.select("p_partkey", F.array_join(files.excluded_lines(text), ",").alias("names"))
 
 
@@ -172,7 +183,7 @@ def time_to_x(d: Data) -> DataFrame:
 @query("enum_values", """WITH m AS (SELECT p_brand AS type, p_partkey AS pos, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k, p_size FROM part),
   g AS (SELECT type, pos, k, CASE WHEN p_size % 3 = 0 THEN p_size END AS given, p_size = 50 AS bad FROM m),
   b AS (SELECT *, max(CASE WHEN given IS NOT NULL THEN k END) OVER (PARTITION BY type ORDER BY k) AS at, bool_or(bad) OVER (PARTITION BY type) AS gone FROM g)
-  SELECT b.type, concat('M', b.pos) AS name, CAST(coalesce(h.given + b.k - h.k, b.k) AS BIGINT) AS value FROM b LEFT JOIN b h ON h.type = b.type AND h.k = b.at WHERE NOT b.gone""")
+  SELECT b.type, concat('M', b.pos) AS name, CAST(coalesce(h.given + b.k - h.k, b.k) AS VARCHAR) AS value FROM b LEFT JOIN b h ON h.type = b.type AND h.k = b.at WHERE NOT b.gone""")
 def enum_values(d: Data) -> DataFrame:
     rows = d.sql("SELECT p_brand AS type, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos, concat('M', p_partkey) AS name, CASE WHEN p_size = 50 THEN 'W+1' WHEN p_size % 3 = 0 THEN concat(\"32'd\", p_size) END AS literal FROM part")
     return quality.enum_values(rows)

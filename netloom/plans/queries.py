@@ -115,10 +115,10 @@ def normalize_names(d: Data) -> DataFrame:
     return linkage.classified(d.vars, ("TOP", "tb", "dut"), OPTS).select("var_ref", "class", "target")
 
 
-@query("detect_anchor", """WITH seg AS (SELECT var_ref, string_split(full_name, '.') AS s FROM vars WHERE NOT is_parameter),
-  cut AS (SELECT s, unnest(range(0, least(len(s) - 1, 6) + 1)) AS k FROM seg),
-  try AS (SELECT array_to_string(s[:k], '.') AS prefix, k, array_to_string(list_prepend('top', list_filter(s[k + 1:], lambda x: NOT regexp_matches(x, '^\\[.*\\]$'))), '.') AS path FROM cut)
-  SELECT prefix, CAST(k AS INTEGER) AS depth, count(*) AS score FROM try WHERE path IN (SELECT path FROM nodes) GROUP BY 1, 2""")
+@query("detect_anchor", """WITH seg AS (SELECT var_ref, is_parameter, string_split(full_name, '.') AS s FROM vars),
+  cut AS (SELECT var_ref, is_parameter, s, unnest(range(0, least(len(s) - 1, 6) + 1)) AS k FROM seg),
+  try AS (SELECT var_ref, is_parameter, array_to_string(s[:k], '.') AS prefix, k, array_to_string(list_prepend('top', list_filter(s[k + 1:], lambda x: NOT regexp_matches(x, '^\\[.*\\]$'))), '.') AS path FROM cut)
+  SELECT prefix, CAST(k AS INTEGER) AS depth, count(*) FILTER (NOT is_parameter AND n.path IS NOT NULL) AS score, min(var_ref) AS first FROM try LEFT JOIN (SELECT DISTINCT path FROM nodes) n USING (path) GROUP BY 1, 2 HAVING count(*) FILTER (NOT is_parameter AND n.path IS NOT NULL) > 0""")
 def detect_anchor(d: Data) -> DataFrame:
     return linkage.anchor_scores(d.vars, d.nodes, OPTS)
 
@@ -161,8 +161,9 @@ def hot_nets(d: Data) -> DataFrame:
     return lookup.hot_nets(d.edges)
 
 
-@query("derived_path_lookup", """WITH w AS (SELECT p.id AS parent_id, c.name AS member, concat(p.path, '.', c.name) AS path FROM nodes c JOIN nodes p ON c.parent = p.id WHERE c.kind = 'Net')
-  SELECT parent_id, member, x.id, x.kind FROM w JOIN nodes x USING (path)""")
+@query("derived_path_lookup", """WITH p AS MATERIALIZED (SELECT id AS parent_id, path AS base FROM nodes WHERE kind = 'GenBlock'), c AS MATERIALIZED (SELECT parent AS parent_id, name AS member FROM nodes WHERE kind = 'Net'),
+  w AS MATERIALIZED (SELECT parent_id, member, concat(base, '.', member) AS path FROM c JOIN p USING (parent_id)), x AS MATERIALIZED (SELECT path, id, kind FROM nodes WHERE kind IN ('Net', 'Port', 'Instance', 'GenBlock'))
+  SELECT parent_id, member, id, kind FROM w JOIN x USING (path)""")
 def derived_path_lookup(d: Data) -> DataFrame:
     return lookup.derived_path(d.nodes, d.nodes.where("kind = 'Net'").select(F.col("parent").alias("parent_id"), F.col("name").alias("member")))
 
@@ -220,7 +221,8 @@ def scope_signals(d: Data) -> DataFrame:
     return hierarchy.scope_signals(d.nodes)
 
 
-@query("relative_path", "SELECT s.id, CASE WHEN starts_with(s.path, concat(p.path, '.')) THEN substr(s.path, strlen(p.path) + 2) ELSE split_part(s.path, '.', -1) END AS rel FROM nodes s JOIN nodes p ON p.id = s.parent")
+@query("relative_path", """WITH p AS MATERIALIZED (SELECT id AS parent, path AS base FROM nodes WHERE kind IN ('Instance', 'GenBlock')), s AS MATERIALIZED (SELECT id, parent, path FROM nodes WHERE parent IS NOT NULL)
+  SELECT id, CASE WHEN starts_with(path, concat(base, '.')) THEN substr(path, strlen(base) + 2) ELSE split_part(path, '.', -1) END AS rel FROM s JOIN p USING (parent)""")
 def relative_path(d: Data) -> DataFrame:
     rows = d.nodes.alias("s").join(d.nodes.alias("p"), F.col("s.parent") == F.col("p.id")).select("s.id", "s.path", F.col("p.path").alias("scope"))
     return hierarchy.relative_path(rows).select("id", "rel")
@@ -368,6 +370,13 @@ def format_value(d: Data) -> DataFrame:
     return d.changes.select("sig", "t", *[bits.format_value(F.col("v"), r).alias(r) for r in ("hex", "dec", "bin")])
 
 
+@query("format_wide", f"""WITH z AS (SELECT sig, t, e, CAST(b AS HUGEINT) * 1267650600228229401496703205376 AS b FROM {_BITS})
+  SELECT sig, t, CASE WHEN e = 'error' THEN 'x' ELSE CAST(b AS VARCHAR) END AS dec FROM z""")
+def format_wide(d: Data) -> DataFrame:
+    """Values of 120 bits."""
+    return d.changes.select("sig", "t", bits.format_value(F.concat("v", F.lit("0" * 100)), "dec").alias("dec"))
+
+
 @query("slice_bits", "SELECT sig, t, substr(v, 14, 5) AS part, substr(v, 17, 4) AS low, '' AS none FROM changes")
 def slice_bits(d: Data) -> DataFrame:
     v = F.col("v")
@@ -572,12 +581,12 @@ def probe_name_ref(d: Data) -> DataFrame:
     return probe.references(refs, scopes, d.nodes)
 
 
-@query("parse_sv_int", "SELECT p_partkey, CAST(p_size AS BIGINT) AS hex, CAST(p_size AS BIGINT) AS dec, CAST(NULL AS BIGINT) AS bad FROM part")
+@query("parse_sv_int", "SELECT p_partkey, concat(p_size, '') AS hex, concat(p_size, '') AS dec, CAST(NULL AS VARCHAR) AS bad, CAST(CAST(p_size AS HUGEINT) * 79228162514264337593543950336 AS VARCHAR) AS wide, concat('1', p_partkey, repeat('7', 1200)) AS long FROM part")
 def parse_sv_int(d: Data) -> DataFrame:
     size = F.col("p_size")
     literal = F.concat(F.lit("32'h0_"), F.hex(size))
     bad = F.concat(F.lit("8'b1x"), size.cast("string"))
-    return d.part.select("p_partkey", quality.parse_int(literal).alias("hex"), quality.parse_int(F.concat(F.lit("32'd"), size.cast("string"))).alias("dec"), quality.parse_int(bad).alias("bad"))
+    return d.part.select("p_partkey", quality.parse_int(literal).alias("hex"), quality.parse_int(F.concat(F.lit("32'd"), size.cast("string"))).alias("dec"), quality.parse_int(bad).alias("bad"), quality.parse_int(F.concat(F.lit("128'sh"), F.hex(size), F.lit("_0" * 24))).alias("wide"), quality.parse_int(F.concat(F.lit("4096'd01"), F.col("p_partkey").cast("string"), F.lit("7" * 1200))).alias("long"))
 
 
 @query("logic_role", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN CASE WHEN l_linestatus = 'F' THEN 'ff' ELSE 'comb' END WHEN 'R' THEN 'latch' ELSE 'assign' END AS role FROM lineitem")

@@ -1,12 +1,13 @@
 """Expected values on small inputs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions import bits
-from netloom.operators import graph, linkage, lookup, quality, spans, waves
+from netloom.operators import files, graph, hierarchy, linkage, lookup, quality, schematic, scopegraph, spans, waves
 from netloom.sources import model, synthetic, vcd
 from netloom.streaming import last_value
 
@@ -114,16 +115,51 @@ def test_spans(spark):
     hits = spans.stabbed(ranges, probes, cell=4)
     assert sorted((r.offset, r.id) for r in hits.collect()) == [(5, 1), (5, 2), (9, 1), (20, 3)]
     assert sorted((r.offset, r.id) for r in spans.narrowest(hits).collect()) == [(5, 2), (9, 1), (20, 3)]
-    notes = spark.createDataFrame([("f", 1, "assign x = y; // foo.cpp:12"), ("f", 2, "nothing")], "file string, line int, text string")
-    assert [(r.source, r.source_line) for r in spans.provenance(notes).collect()] == [("foo.cpp", 12)]
+    notes = spark.createDataFrame([("f", k, t) for k, t in enumerate(("assign x = y; // foo.cpp:12", "nothing", "// see top.v:12", "// host.com:80", r"// src\k.hpp:7 a.c:1", "// a.c:123456789012345678901"))], "file string, line int, text string")
+    assert [(r.line, r.source, r.source_line) for r in spans.provenance(notes).orderBy("line").collect()] == [(0, "foo.cpp", 12), (4, r"src\k.hpp", 7), (5, "a.c", None)]
+    assert [(r.line, r.source) for r in spans.provenance(notes, r"// see (\w+\.v):(\d+)").collect()] == [(2, "top.v")]
+
+
+def test_files(spark):
+    table = spark.createDataFrame([(1, "b/x.sv", 9), (2, "a/x.sv", 3), (3, "x.sv/y", 1)], "id long, path string, place int")
+    names = spark.createDataFrame([("x.sv",), ("b/x.sv",), ("y",), ("z",)], "name string")
+    assert {(r.name, r.id) for r in files.by_name(table, names, "place").collect()} == {("x.sv", 2), ("b/x.sv", 1), ("y", 3)}
+    specs = spark.createDataFrame([(s,) for s in ("x.sv:5", "7:12", "a/x.sv:0", "z:1", "y:99999999999999999999", "y:-1", "y", "1:2:3")], "spec string")
+    assert {tuple(r) for r in files.resolved_offsets(table, specs).collect()} == {("x.sv:5", 1, 5), ("7:12", 7, 12), ("a/x.sv:0", 2, 0)}
+    text = "# all\r\n\tb\t# x\r\na\r\n  c d //e\n\n\t\r\n"
+    assert one(spark, F.array_join(files.excluded_lines(F.col("v")), "|"), v=text) == "b|a|c d"
+
+
+def test_cycles(spark):
+    """Parents in a ring, and a tree under it: walks upwards end."""
+    rows = [(1, "Instance", 2), (2, "Net", 3), (3, "Net", 1), (4, "Net", 1), (5, "GenBlock", 6), (6, "GenBlock", 5), (7, "FF", 5), (8, "Instance", None), (9, "Net", 8)]
+    nodes = spark.createDataFrame([(i, k, f"n{i}", f"p{i}", p) for i, k, p in rows], "id long, kind string, name string, path string, parent long")
+    found = {r.id: r.ancestor for r in hierarchy.nearest_ancestor(nodes).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: None, 6: None, 7: None, 8: 8, 9: 8}
+    assert {r.id: r.ancestor for r in hierarchy.containing_instance(nodes).collect()}[1] == 1
+    inside = hierarchy.within(nodes, nodes.where("kind IN ('Instance', 'GenBlock')").select("id"))
+    assert sorted((r.id, r.box) for r in inside.collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (5, 6), (6, 5), (6, 6), (7, 5), (7, 6), (8, 8), (9, 8)]
+    boxes = scopegraph.scope_boxes(nodes, nodes.select(F.col("id").alias("scope")))
+    assert sorted((r.scope, r.box) for r in boxes.collect()) == [(2, 1), (5, 7), (6, 7)]
+    gates = spark.createDataFrame([(1, "+"), (2, "+"), (3, "+"), (4, "+"), (5, "*"), (6, "*"), (7, "+")], "id long, op string")
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (7, 6)], "child long, parent long")
+    assert {r.id: r.root for r in schematic.associative_roots(gates, links).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 6, 6: 6, 7: 7}
 
 
 def test_literals_and_enums(spark):
-    for text, value in (("2'd2", 2), ("4'hA", 10), ("3'b001", 1), ("8'b1010_1010", 170), ("12", 12), ("4'b1x", None)):
-        assert one(spark, quality.parse_int(F.col("v")), v=text) == value
-    rows = [("a", 0, "A", None), ("a", 1, "B", "3'd5"), ("a", 2, "C", None), ("b", 0, "X", "1'bx"), ("b", 1, "Y", None)]
+    rng = random.Random(1)
+    wide = [rng.getrandbits(n) | 1 << (n - 1) for n in (63, 64, 65, 127, 128, 4096)]
+    cases = [("2'd2", 2), ("4'hA", 10), ("3'b001", 1), ("8'b1010_1010", 170), ("12", 12), ("8'so17", 15), ("4'd0", 0), ("4'b1x", None), ("W+1", None), ("8'h", None)]
+    cases += [(f"{base}{n:{form}}", n) for n in wide for base, form in (("4096'h", "x"), ("'o", "o"), ("4096'sb", "b"), ("4096'd", "d"), ("", "d"))]
+    rows = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(cases)], "k int, v string").select("k", quality.parse_int(F.col("v")).alias("n")).collect()
+    assert {r.k: r.n for r in rows} == {k: None if n is None else str(n) for k, (_, n) in enumerate(cases)}
+    for n in (*wide, 0, 1, 999_999_999, 10**18 - 1):
+        assert one(spark, bits.plus(F.col("v"), F.lit(7)), v=str(n)) == str(n + 7)
+        assert one(spark, bits.format_value(F.col("v"), "dec"), v=f"000{n:b}") == str(n)
+        assert one(spark, bits.format_value(F.col("v"), "hex"), v=f"000{n:b}") == f"{n:x}" and one(spark, bits.format_value(F.col("v"), "oct"), v=f"{n:b}") == f"{n:o}"
+    rows = [("a", 0, "A", None), ("a", 1, "B", "3'd5"), ("a", 2, "C", None), ("b", 0, "X", "1'bx"), ("b", 1, "Y", None), ("c", 0, "P", f"'h{2**70:x}"), ("c", 1, "Q", None), ("c", 2, "R", None)]
     got = quality.enum_values(spark.createDataFrame(rows, "type string, pos int, name string, literal string"))
-    assert {r.name: r.value for r in got.collect()} == {"A": 0, "B": 5, "C": 6}
+    assert {r.name: r.value for r in got.collect()} == {"A": "0", "B": "5", "C": "6", "P": str(2**70), "Q": str(2**70 + 1), "R": str(2**70 + 2)}
 
 
 def test_vcd(spark, tmp_path):
