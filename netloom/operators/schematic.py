@@ -18,7 +18,7 @@ def wires(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 #: Kinds of logic boxes and of gates.
 LOGIC = ("FF", "Comb", "Latch", "Assign", "Memory")
-GATES = ("And", "Or", "Xor", "Xnor", "Nand", "Nor", "Not", "Buf", "Mux")
+GATES = ("And", "Or", "Xor", "Xnor", "Nand", "Nor", "Not", "Buf", "Add", "Sub", "Mul", "Cmp", "Shift", "Mux", "Concat")
 
 
 def bare_interfaces(nodes: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""The process-level graph of every scope at once: boxes, anchors, wires between them, constants and dangling pins.
+"""The graph of every scope at once, at the level of processes or of gates: boxes, anchors, wires between them, constants and dangling pins.
 
 Nodes are (id, kind, name, path, parent, dir, modport, const), edges (edge, port, endpoint, dir, sel). Each row of a result names its
 scope, so one plan of equal-key joins draws the whole design. A pin is a string: a node's id, ``box/signal`` for a pin made for a logic
-box, ``raw/box`` for what reaches an interface without a view, ``const/port`` for a literal's source.
+box or a gate (a gate's result is ``gate/gate``), ``raw/box`` for what reaches an interface without a view, ``const/port`` for a literal's source.
 Null rules: a node without a parent is in no scope; an edge whose ends aren't nodes draws nothing. Empty tables give empty results.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators import graph, hierarchy
-from netloom.operators.schematic import GATES, LOGIC, bare_interfaces, navigable
+from netloom.operators.schematic import GATES, LOGIC, bare_interfaces, fold_inverters, gate_children, navigable
 from netloom.operators.store import saved
 
 BOXES = ("Instance", "Interface", *LOGIC)
@@ -36,6 +36,37 @@ def scope_boxes(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
     return saved(out.join(scopes, "scope", "left_semi"), "boxes")
 
 
+def dissolved(nodes: DataFrame, edges: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``boxes`` at the gate level: combinational blocks give way to their gates, folded inverters left out; a block without gates stays, as do registers."""
+    inner = gate_children(nodes.select("id", "kind", "parent"), edges).join(nodes.select(F.col("id").alias("gate"), F.col("kind").alias("gate_kind")), "gate").withColumnRenamed("block", "box")
+    rows = boxes.join(inner, (boxes["box"] == inner["box"]) & boxes["kind"].isin("Comb", "Latch", "Assign"), "left")
+    return rows.select("scope", F.coalesce("gate", boxes["box"]).alias("box"), F.coalesce("gate_kind", boxes["kind"]).alias("kind"))
+
+
+def operands(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(edge, gate, endpoint, inverted): what a gate's inputs read, through inverters that are drawn as a bubble on the pin."""
+    folds = fold_inverters(nodes.select("id", "kind"), edges).select(F.col("inverter").alias("endpoint"), "operand")
+    reads = edges.where("dir <> 'out'").join(nodes.where(F.col("kind").isin(*GATES)).select(F.col("id").alias("port")), "port", "left_semi")
+    rows = reads.select("edge", F.col("port").alias("gate"), "endpoint").join(folds, "endpoint", "left")
+    return rows.select("edge", "gate", F.coalesce("operand", "endpoint").alias("endpoint"), F.col("operand").isNotNull().alias("inverted"))
+
+
+def gate_pins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(gate, pin, name, side, role, constant): a pin for each operand of a gate, and one for its result, which has no name.
+
+    ``role`` is inv on a bubble; a literal or a parameter as operand shows its value on the pin. Operands that several edges read are one pin.
+    """
+    text = lambda c: F.col(c).cast("string")
+    at = nodes.select(F.col("id").alias("endpoint"), "name", "kind", F.col("const").alias("value"))
+    reads = operands(nodes, edges).groupBy("gate", "endpoint").agg(F.bool_or("inverted").alias("inverted")).join(at, "endpoint")
+    reads = reads.select("gate", F.concat(text("gate"), F.lit("/"), text("endpoint")).alias("pin"), "name", F.lit("west").alias("side"), F.when(F.col("inverted"), "inv").alias("role"), F.when(F.col("kind").isin("Const", "Param"), F.col("value")).alias("constant"))
+    folded = fold_inverters(nodes.select("id", "kind"), edges).select(F.col("inverter").alias("gate"))
+    gates = nodes.where(F.col("kind").isin(*GATES)).select(F.col("id").alias("gate"))
+    none = F.lit(None).cast("string")
+    results = gates.select("gate", F.concat(text("gate"), F.lit("/"), text("gate")).alias("pin"), F.lit("").alias("name"), F.lit("east").alias("side"), none.alias("role"), none.alias("constant"))
+    return reads.unionAll(results).join(folded, "gate", "left_anti")
+
+
 def own_pins(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
     """(scope, node, pin): a scope's ports, and nodes of the scope at a port's path, which draw on the port (the last of several)."""
     inside = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("scope"), F.col("id").alias("node"), "kind", "path").join(scopes, "scope", "left_semi")
@@ -73,12 +104,15 @@ def access_ports(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> Data
 
 
 class Scopes:
-    """Anchors of a design, worked out once; each result is a DataFrame over all scopes."""
+    """Anchors of a design, worked out once; each result is a DataFrame over all scopes. With ``gates`` combinational blocks are drawn as their gates."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame) -> None:
-        self.nodes, self.edges = nodes, edges
+    def __init__(self, nodes: DataFrame, edges: DataFrame, gates: bool = False) -> None:
+        self.nodes, self.edges, self.gates = nodes, edges, gates
         scopes = scopes_of(nodes)
         self.boxes = scope_boxes(nodes, scopes)
+        if gates:
+            self.boxes = saved(dissolved(nodes, edges, self.boxes), "boxes")
+            self.operands = saved(operands(nodes, edges), "operands")
         self.own = saved(own_pins(nodes, scopes), "own")
         self.members = saved(member_pins(nodes, edges, self.boxes), "members")
         bare = nodes.where("kind = 'Interface' AND modport IS NULL").select(F.col("id").alias("owner"))
@@ -140,7 +174,7 @@ class Scopes:
     def net_pins(self, cand: DataFrame) -> DataFrame:
         """(scope, key, pin, sel, drives, ord): pins on each signal of a scope, and whether a pin drives it or reads it; an inout does both.
 
-        Logic boxes by their edges, ports of instances by theirs, the scope's own ports and bundles' pins by their direction from
+        Logic boxes by their edges, gates by their operands and their result (which other gates read under the gate's own id), ports of instances by theirs, the scope's own ports and bundles' pins by their direction from
         inside, raw ports both ways, and a memory drives its own array where that is read.
         """
         text = lambda c: F.col(c).cast("string")
@@ -165,14 +199,30 @@ class Scopes:
         raw = F.concat(F.lit("raw/"), text("box"))
         inner = inner.select("scope", F.col("node").alias("key"), raw.alias("pin"), F.lit(None).cast("string").alias("sel"), F.lit("inout").alias("way"), F.lit(4).alias("fold"), raw.alias("edge"))
         pins = logic.unionAll(inst).unionAll(mine).unionAll(bundles).unionAll(inner)
+        if self.gates:
+            pins = pins.unionAll(self.gate_rows(rows))
         loads = pins.where("way <> 'out'").select("scope", F.col("key").alias("box")).distinct()
         array = F.concat(text("box"), F.lit("/"), text("box"))
         memory = self.boxes.where("kind = 'Memory'").join(loads, ["scope", "box"], "left_semi")
-        memory = memory.select("scope", F.col("box").alias("key"), array.alias("pin"), F.lit(None).cast("string").alias("sel"), F.lit("out").alias("way"), F.lit(5).alias("fold"), array.alias("edge"))
+        memory = memory.select("scope", F.col("box").alias("key"), array.alias("pin"), F.lit(None).cast("string").alias("sel"), F.lit("out").alias("way"), F.lit(6).alias("fold"), array.alias("edge"))
         pins = pins.unionAll(memory)
         both = pins.withColumn("drives", F.explode(F.when(F.col("way") == "out", F.array(F.lit(True))).when(F.col("way") == "in", F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))))
         return both.select("scope", "key", "pin", "sel", "drives", F.struct("fold", "edge").alias("ord"))
 
+    def gate_rows(self, rows: DataFrame) -> DataFrame:
+        """Rows of ``net_pins`` for gates; rows (scope, edge, port, dir, sel, key)."""
+        text = lambda c: F.col(c).cast("string")
+        gates = self.boxes.where(F.col("kind").isin(*GATES))
+        mine = rows.join(gates.select("scope", F.col("box").alias("port")), ["scope", "port"])
+        result = F.concat(text("port"), F.lit("/"), text("port"))
+        none = F.lit(None).cast("string").alias("sel")
+        outs = mine.where("dir = 'out'").select("scope", "key", result.alias("pin"), none, F.lit("out").alias("way"), F.lit(1).alias("fold"), "edge")
+        reads = mine.where("dir <> 'out'").select("scope", "edge", "port", "sel").join(self.operands.select("edge", F.col("endpoint").alias("node")), "edge").join(self.own, ["scope", "node"], "left")
+        ins = reads.select("scope", F.coalesce(F.col("pin"), F.col("node")).alias("key"), F.concat(text("port"), F.lit("/"), text("node")).alias("at"), "sel", F.lit("in").alias("way"), F.lit(1).alias("fold"), "edge")
+        own = F.concat(text("box"), F.lit("/"), text("box"))
+        selves = gates.select("scope", F.col("box").alias("key"), own.alias("pin"), none, F.lit("out").alias("way"), F.lit(5).alias("fold"), own.alias("edge"))
+        return outs.unionAll(ins).unionAll(selves)
+
     def wires(self) -> DataFrame:
         """(scope, source, target, net, constant): every wire of every scope once for its two pins.
 
@@ -204,11 +254,16 @@ class Scopes:
         return self.boxes.select("scope", "box").join(tied, "box").select("scope", F.concat(F.lit("const/"), "target").alias("source"), "target", "literal")
 
     def dangling(self, wires: DataFrame) -> DataFrame:
-        """(scope, box, signal): outputs of logic boxes that no wire of the scope meets."""
+        """(scope, box, signal): outputs of logic boxes and gates that no wire of the scope meets; a gate's by the net it drives, null if it drives none."""
         outs = self.boxes.where(F.col("kind").isin(*LOGIC)).join(self.edges.where("dir = 'out'").select(F.col("port").alias("box"), F.col("endpoint").alias("signal")).distinct(), "box")
         outs = outs.select("scope", "box", "signal", F.concat(F.col("box").cast("string"), F.lit("/"), F.col("signal").cast("string")).alias("pin"))
         wired = wires.select("scope", F.col("source").alias("pin")).unionAll(wires.select("scope", F.col("target").alias("pin"))).distinct()
-        return outs.join(wired, ["scope", "pin"], "left_anti").select("scope", "box", "signal")
+        found = outs.join(wired, ["scope", "pin"], "left_anti").select("scope", "box", "signal")
+        if not self.gates:
+            return found
+        results = self.boxes.where(F.col("kind").isin(*GATES)).select("scope", "box", F.concat(F.col("box").cast("string"), F.lit("/"), F.col("box").cast("string")).alias("pin"))
+        nets = self.edges.where("dir = 'out'").groupBy(F.col("port").alias("box")).agg(F.min_by("endpoint", "edge").alias("signal"))
+        return found.unionAll(results.join(wired, ["scope", "pin"], "left_anti").join(nets, "box", "left").select("scope", "box", "signal"))
 
 
 def box_ports(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:

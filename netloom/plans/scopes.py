@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +141,50 @@ def seed_signals(d: Data) -> DataFrame:
     return graph.seed_signals(nodes, saved(d.chip_edges, "chip_edges"), nodes.select(F.col("id").alias("seed")), scopegraph.LOGIC, True)
 
 
+# At the gate level: blocks give way to their gates, folded inverters to their operands.
+_GATES = "('And', 'Or', 'Xor', 'Xnor', 'Nand', 'Nor', 'Not', 'Buf', 'Add', 'Sub', 'Mul', 'Cmp', 'Shift', 'Mux', 'Concat')"
+_INV = f"""gat AS (SELECT id, kind, parent FROM chip WHERE kind IN {_GATES}),
+  inv AS (SELECT n.id AS inverter, r.reader, o.operand FROM gat n JOIN (SELECT endpoint, min(port) AS reader FROM chip_edges WHERE dir = 'in' GROUP BY endpoint HAVING count(*) = 1) r ON r.endpoint = n.id
+    JOIN gat q ON q.id = r.reader JOIN (SELECT port, min(endpoint) AS operand FROM chip_edges WHERE dir <> 'out' GROUP BY port) o ON o.port = n.id WHERE n.kind = 'Not' AND n.id NOT IN (SELECT port FROM chip_edges WHERE dir = 'out')),
+  opd AS (SELECT e.edge, e.port AS gate, coalesce(inv.operand, e.endpoint) AS endpoint, inv.operand IS NOT NULL AS inverted FROM chip_edges e JOIN gat ON gat.id = e.port LEFT JOIN inv ON inv.inverter = e.endpoint WHERE e.dir <> 'out')"""
+_GATED = _WIRES.replace("bx AS (", f"{_INV}, bx0 AS (", 1).replace(", bare AS (", f""", bx AS (SELECT scope, coalesce(g.id, box) AS box, coalesce(g.kind, b.kind) AS kind FROM bx0 b LEFT JOIN (SELECT * FROM gat WHERE id NOT IN (SELECT inverter FROM inv)) g ON g.parent = b.box AND b.kind IN ('Comb', 'Latch', 'Assign')), bare AS (""", 1)
+_GATED = _GATED.replace(f"WHERE n.kind NOT IN {_LOGIC}),\n  en AS", f"WHERE n.kind NOT IN {_LOGIC} AND n.kind NOT IN {_GATES}),\n  en AS").replace("n.kind <> 'Port'),\n  p2 AS", f"""n.kind <> 'Port'
+    UNION ALL SELECT ky.scope, key, concat(port, '/', port), NULL, 'out', 1, edge FROM ky JOIN bx ON bx.scope = ky.scope AND bx.box = port WHERE bx.kind IN {_GATES} AND ky.dir = 'out'
+    UNION ALL SELECT ky.scope, coalesce(o.pin, q.endpoint), concat(port, '/', q.endpoint), sel, 'in', 1, ky.edge FROM ky JOIN bx ON bx.scope = ky.scope AND bx.box = port JOIN opd q ON q.edge = ky.edge LEFT JOIN own o ON o.scope = ky.scope AND o.node = q.endpoint WHERE bx.kind IN {_GATES} AND ky.dir <> 'out'
+    UNION ALL SELECT scope, box, concat(box, '/', box), NULL, 'out', 5, concat(box, '/', box) FROM bx WHERE kind IN {_GATES}),
+  p2 AS""").replace("NULL, 'out', 5, concat(box, '/', box) FROM bx WHERE kind = 'Memory'", "NULL, 'out', 6, concat(box, '/', box) FROM bx WHERE kind = 'Memory'")
+_ON_GATES = lambda sql: re.sub(r"\bchip\b", "gated", sql.replace("chip_edges", "gated_edges"))
+
+
+def _gated(d: Data) -> tuple[DataFrame, DataFrame]:
+    return saved(d.gated, "gated"), saved(d.gated_edges, "gated_edges")
+
+
+@query("scope_graph_gates", _ON_GATES(f"WITH RECURSIVE {_GATED} SELECT scope, box, kind FROM bx"))
+def scope_graph_gates(d: Data) -> DataFrame:
+    return scopegraph.Scopes(*_gated(d), gates=True).boxes
+
+
+@query("gate_pins", _ON_GATES(f"""WITH {_INV} SELECT gate, concat(gate, '/', q.endpoint) AS pin, n.name, 'west' AS side, CASE WHEN bool_or(inverted) THEN 'inv' END AS role, CASE WHEN n.kind IN ('Const', 'Param') THEN n.const END AS constant
+    FROM opd q JOIN chip n ON n.id = q.endpoint WHERE gate NOT IN (SELECT inverter FROM inv) GROUP BY gate, q.endpoint, n.name, n.kind, n.const
+  UNION ALL SELECT id, concat(id, '/', id), '', 'east', NULL, NULL FROM gat WHERE id NOT IN (SELECT inverter FROM inv)"""))
+def gate_pins(d: Data) -> DataFrame:
+    return scopegraph.gate_pins(*_gated(d))
+
+
+@query("gate_graph_edges", _ON_GATES(f"WITH RECURSIVE {_GATED} SELECT scope, source, target, net, constant FROM wire"))
+def gate_graph_edges(d: Data) -> DataFrame:
+    return scopegraph.Scopes(*_gated(d), gates=True).wires()
+
+
+@query("gate_dangling", _ON_GATES(f"""WITH RECURSIVE {_GATED}, wd AS (SELECT scope, source AS pin FROM wire UNION SELECT scope, target FROM wire)
+  SELECT DISTINCT bx.scope, bx.box, e.endpoint AS signal FROM bx JOIN chip_edges e ON e.port = bx.box AND e.dir = 'out' WHERE bx.kind IN {_LOGIC} AND (bx.scope, concat(bx.box, '/', e.endpoint)) NOT IN (SELECT scope, pin FROM wd)
+  UNION ALL SELECT bx.scope, bx.box, e.endpoint FROM bx LEFT JOIN (SELECT port, arg_min(endpoint, edge) AS endpoint FROM chip_edges WHERE dir = 'out' GROUP BY port) e ON e.port = bx.box WHERE bx.kind IN {_GATES} AND (bx.scope, concat(bx.box, '/', bx.box)) NOT IN (SELECT scope, pin FROM wd)"""))
+def gate_dangling(d: Data) -> DataFrame:
+    made = scopegraph.Scopes(*_gated(d), gates=True)
+    return made.dangling(made.wires())
+
+
 _LEGACY = """inst AS (SELECT up.id, up.anc AS box FROM (WITH RECURSIVE up AS (SELECT id, id AS anc, kind, parent FROM nodes UNION ALL SELECT up.id, n.id, n.kind, n.parent FROM up JOIN nodes n ON n.id = up.parent WHERE up.kind <> 'Instance') SELECT * FROM up) up WHERE kind = 'Instance'),
   near AS (SELECT port AS node, endpoint AS other, edge FROM edges WHERE dir = 'out' UNION ALL SELECT endpoint, port, edge FROM edges WHERE dir = 'out' AND port <> endpoint),
   e1 AS (SELECT n.id AS seed, near.other, edge FROM nodes n JOIN near ON near.node = n.id WHERE n.kind = 'Param'),

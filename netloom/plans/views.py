@@ -121,8 +121,27 @@ CHIP_EDGES = """
     UNION ALL SELECT b, net, 'in', NULL FROM w UNION ALL SELECT b + 2, net, 'out', CASE WHEN b % 32 = 8 THEN '[0]' END FROM w) e
 """
 
-VIEWS = {"chip": CHIP, "chip_edges": CHIP_EDGES, "scopes": SCOPES, "gates": GATES, "gate_edges": GATE_EDGES, "nodes": NODES, "edges": EDGES, "changes": CHANGES, "vars": VARS, "enums": ENUMS}
-_NEEDS = {"vars": ("nodes",), "gate_edges": ("gates",)}
+#: The same design with gates in its assignments: a chain of expressions that read nets and literals, with an inverter in it.
+GATED = """
+  WITH g AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS l FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 3 = 2)
+  SELECT id, kind, name, path, parent, dir, modport, const FROM chip
+  UNION ALL SELECT 8000000000000 + o * 64 + l * 8, CASE l % 4 WHEN 0 THEN 'Not' WHEN 1 THEN 'And' WHEN 2 THEN 'Mux' ELSE 'Cmp' END, concat('$g', l), concat(chip.path, '.$g', l), chip.id, NULL, NULL, NULL FROM g JOIN chip ON chip.id = 6000000000000 + o * 8
+  UNION ALL SELECT 8000000000000 + o * 64 + l * 8 + 1, 'Const', '', concat(chip.path, '.$k', l), chip.id, NULL, NULL, concat(l, '') FROM g JOIN chip ON chip.id = 6000000000000 + o * 8 WHERE l % 3 = 0
+"""
+
+GATED_EDGES = """
+  WITH g AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS l, 2000000000000 + o_custkey * 8 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 3 = 2),
+  t AS (SELECT o, b, max(l) AS l FROM g GROUP BY 1, 2)
+  SELECT edge, port, endpoint, dir, sel FROM chip_edges
+  UNION ALL SELECT concat(port, '>', endpoint, dir, coalesce(sel, '')), port, endpoint, dir, sel FROM (
+    SELECT 8000000000000 + g.o * 64 + g.l * 8 AS port, 8000000000000 + h.o * 64 + h.l * 8 AS endpoint, 'in' AS dir, CAST(NULL AS STRING) AS sel FROM g JOIN g h ON h.o = g.o AND h.l = g.l - 1
+    UNION ALL SELECT 8000000000000 + o * 64 + l * 8, b + 3 + l % 3, 'in', CASE WHEN o % 2 = 0 THEN '[1]' END FROM g WHERE l % 4 > 0
+    UNION ALL SELECT 8000000000000 + o * 64 + l * 8, 8000000000000 + o * 64 + l * 8 + 1, 'in', NULL FROM g WHERE l % 3 = 0
+    UNION ALL SELECT 8000000000000 + o * 64 + l * 8, CASE WHEN o % 5 = 2 THEN b + 2 ELSE b + 4 + o % 2 END, 'out', NULL FROM t) e
+"""
+
+VIEWS = {"chip": CHIP, "chip_edges": CHIP_EDGES, "gated": GATED, "gated_edges": GATED_EDGES, "scopes": SCOPES, "gates": GATES, "gate_edges": GATE_EDGES, "nodes": NODES, "edges": EDGES, "changes": CHANGES, "vars": VARS, "enums": ENUMS}
+_NEEDS = {"vars": ("nodes",), "gated": ("chip",), "gated_edges": ("chip_edges",), "gate_edges": ("gates",)}
 
 
 class _Calls(dict):
