@@ -290,3 +290,45 @@ def box_ports(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFra
     label = F.concat("name", F.lit(" ("), "modport", F.lit(")"))
     bundles = bundles.select("box", text("id").alias("pin"), label.alias("name"), F.when(F.col("outs"), "east").otherwise("west").alias("side"), F.lit(True).alias("bundle"), F.lit(False).alias("dangling"))
     return ports.unionAll(views).unionAll(raw).unionAll(bundles)
+
+
+def interface_interiors(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pins, wires) inside every interface that has views: pins (iface, box, pin, name, side, bundle), wires (iface, source, target, net, constant).
+
+    members (modport_id, pos, member, dir). A view is a box with a pin ``view/signal`` a member, whose signal is the first node at the interface's path and the
+    member's name; a member without one is left out. The interface's own ports stand on its frame, as does a pin ``frame/view`` a view. What one pin drives and
+    another reads of a signal is wired once, inouts both ways; the frame of a view leads to its pins, except for signals that an own port carries.
+    Constants are those that tie a signal. A view's frame pin stands east if more than half of its members are outputs. No views, no rows.
+    """
+    text = lambda c: F.col(c).cast("string")
+    first = nodes.groupBy("path").agg(F.min("id").alias("key"))
+    ifaces = nodes.join(bare_interfaces(nodes), "id", "left_semi").select(F.col("id").alias("iface"), F.col("path").alias("root"))
+    views = nodes.where("kind = 'Modport'").select(F.col("id").alias("modport_id"), F.col("parent").alias("iface"), F.col("name").alias("view")).join(ifaces, "iface")
+    listed = views.join(members, "modport_id").withColumn("path", F.concat("root", F.lit("."), "member")).join(first, "path")
+    listed = listed.select("iface", F.col("modport_id").alias("box"), F.concat(text("modport_id"), F.lit("/"), text("key")).alias("pin"), F.col("member").alias("name"), "dir", "key", "pos", "root", "path")
+    own = nodes.where("kind = 'Port'").select(F.col("id").alias("box"), F.col("parent").alias("iface"), "name", "dir", "path").join(ifaces, "iface").join(first, "path")
+    side = lambda c: F.when(c == "out", "east").otherwise("west")
+    inner = F.when(F.col("dir") == "out", "west").otherwise("east")
+    # more than half of all listed members, found or not
+    frames = views.join(members.groupBy("modport_id").agg((F.count_if(F.col("dir") == "out") * 2 > F.count("*")).alias("outs")), "modport_id", "left")
+    frame = F.concat(F.lit("frame/"), text("modport_id"))
+    pins = (
+        listed.select("iface", "box", "pin", "name", side(F.col("dir")).alias("side"), F.lit(False).alias("bundle")).distinct()
+        .unionAll(own.select("iface", "box", text("box").alias("pin"), "name", inner.alias("side"), F.lit(False)))
+        .unionAll(frames.select("iface", F.col("modport_id").alias("box"), frame.alias("pin"), F.col("view").alias("name"), F.when(F.col("outs"), "east").otherwise("west").alias("side"), F.lit(True)))
+    )
+    # a port of the frame is seen from inside: an input drives
+    way = F.when(F.col("dir").isin("in", "out"), F.col("dir")).otherwise("inout")
+    turned = F.when(F.col("dir") == "in", "out").when(F.col("dir") == "out", "in").otherwise("inout")
+    ends = listed.select("iface", "key", "pin", way.alias("way"), F.struct(F.lit(0).alias("kind"), "box", "pos").alias("at"))
+    ends = ends.unionAll(own.select("iface", "key", text("box").alias("pin"), turned.alias("way"), F.struct(F.lit(1).alias("kind"), "box", F.lit(0).alias("pos")).alias("at")))
+    d = ends.where("way <> 'in'").select("iface", "key", F.col("pin").alias("source"), F.col("at").alias("da"))
+    r = ends.where("way <> 'out'").select("iface", "key", F.col("pin").alias("target"), F.col("at").alias("la"))
+    met = d.join(r, ["iface", "key"]).where("source <> target")
+    met = met.groupBy("iface", "key", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.min_by(F.struct("source", "target"), F.struct("da", "la")).alias("w")).select("iface", "key", "w.source", "w.target")
+    fans = listed.join(own.select("iface", "key"), ["iface", "key"], "left_anti").select("iface", "key", F.concat(F.lit("frame/"), text("box")).alias("source"), F.col("pin").alias("target"))
+    groups = graph.signal_groups(nodes)
+    ties = groups.join(graph.net_ties(nodes, edges, nodes.select("id", F.col("const").alias("constant"))), "group").select(F.col("id").alias("key"), "constant")
+    wires = met.unionAll(fans).join(nodes.select(F.col("id").alias("key"), "path"), "key").join(ifaces, "iface").join(ties, "key", "left")
+    wires = hierarchy.relative_path(wires, "root", "path").select("iface", "source", "target", F.col("rel").alias("net"), "constant")
+    return pins, wires

@@ -185,6 +185,34 @@ def gate_dangling(d: Data) -> DataFrame:
     return made.dangling(made.wires())
 
 
+_INSIDE = """vw AS (SELECT m.id AS mp, i.id AS iface, m.name AS view, i.path AS root FROM buses m JOIN buses i ON i.id = m.parent AND i.kind = 'Interface' WHERE m.kind = 'Modport'),
+  fst AS (SELECT path, min(id) AS key FROM buses GROUP BY path),
+  lst AS (SELECT iface, mp AS box, concat(mp, '/', key) AS pin, member AS name, dir, key, pos FROM vw JOIN bus_members ON modport_id = mp JOIN fst ON fst.path = concat(root, '.', member)),
+  own AS (SELECT p.id AS box, p.parent AS iface, p.name, p.dir, key FROM buses p JOIN fst USING (path) WHERE p.kind = 'Port' AND p.parent IN (SELECT iface FROM vw)),
+  en AS (SELECT iface, key, pin, dir AS way, 0 AS k, box, pos FROM lst UNION ALL SELECT iface, key, concat(box, ''), CASE dir WHEN 'in' THEN 'out' WHEN 'out' THEN 'in' ELSE 'inout' END, 1, box, 0 FROM own),
+  met AS (SELECT d.iface, d.key, d.pin AS source, r.pin AS target FROM en d JOIN en r ON r.iface = d.iface AND r.key = d.key AND d.way <> 'in' AND r.way <> 'out' AND d.pin <> r.pin
+    QUALIFY row_number() OVER (PARTITION BY d.iface, d.key, least(d.pin, r.pin), greatest(d.pin, r.pin) ORDER BY d.k, d.box, d.pos, r.k, r.box, r.pos) = 1),
+  fan AS (SELECT iface, key, concat('frame/', box) AS source, pin AS target FROM lst WHERE (iface, key) NOT IN (SELECT iface, key FROM own))"""
+
+
+def _interiors(d: Data) -> tuple[DataFrame, DataFrame]:
+    return scopegraph.interface_interiors(saved(d.buses, "buses"), saved(d.bus_edges, "bus_edges"), saved(d.bus_members, "bus_members"))
+
+
+@query("interface_pins", f"""WITH {_INSIDE} SELECT DISTINCT iface, box, pin, name, CASE dir WHEN 'out' THEN 'east' ELSE 'west' END AS side, false AS bundle FROM lst
+  UNION ALL SELECT iface, box, concat(box, ''), name, CASE dir WHEN 'out' THEN 'west' ELSE 'east' END, false FROM own
+  UNION ALL SELECT iface, mp, concat('frame/', mp), view, CASE WHEN (SELECT count(*) FILTER (dir = 'out') * 2 > count(*) FROM bus_members WHERE modport_id = mp) THEN 'east' ELSE 'west' END, true FROM vw""")
+def interface_pins(d: Data) -> DataFrame:
+    """The graph inside each interface: views as boxes, frame pins of its own ports and of its views."""
+    return _interiors(d)[0]
+
+
+@query("interface_wires", f"""WITH {_INSIDE}, tie AS (SELECT endpoint AS key, const FROM bus_edges e JOIN buses a ON a.id = e.port WHERE const IS NOT NULL)
+  SELECT iface, source, target, substr(n.path, strlen(i.path) + 2) AS net, tie.const AS constant FROM (SELECT * FROM met UNION ALL SELECT * FROM fan) w JOIN buses n ON n.id = w.key JOIN buses i ON i.id = iface LEFT JOIN tie ON tie.key = w.key""")
+def interface_wires(d: Data) -> DataFrame:
+    return _interiors(d)[1]
+
+
 _LEGACY = """inst AS (SELECT up.id, up.anc AS box FROM (WITH RECURSIVE up AS (SELECT id, id AS anc, kind, parent FROM nodes UNION ALL SELECT up.id, n.id, n.kind, n.parent FROM up JOIN nodes n ON n.id = up.parent WHERE up.kind <> 'Instance') SELECT * FROM up) up WHERE kind = 'Instance'),
   near AS (SELECT port AS node, endpoint AS other, edge FROM edges WHERE dir = 'out' UNION ALL SELECT endpoint, port, edge FROM edges WHERE dir = 'out' AND port <> endpoint),
   e1 AS (SELECT n.id AS seed, near.other, edge FROM nodes n JOIN near ON near.node = n.id WHERE n.kind = 'Param'),

@@ -140,7 +140,28 @@ GATED_EDGES = """
     UNION ALL SELECT 8000000000000 + o * 64 + l * 8, CASE WHEN o % 5 = 2 THEN b + 2 ELSE b + 4 + o % 2 END, 'out', NULL FROM t) e
 """
 
-VIEWS = {"chip": CHIP, "chip_edges": CHIP_EDGES, "gated": GATED, "gated_edges": GATED_EDGES, "scopes": SCOPES, "gates": GATES, "gate_edges": GATE_EDGES, "nodes": NODES, "edges": EDGES, "changes": CHANGES, "vars": VARS, "enums": ENUMS}
+#: Interfaces with two or three views that share members, a clock of their own, and signals that some block ties.
+BUSES = """
+  WITH s AS (SELECT s_suppkey AS s, 1000000000000 + s_suppkey * 16 AS b, concat('top.i', s_suppkey) AS path FROM supplier),
+  k AS (SELECT * FROM (VALUES (1, 'Port', 'clk', 'in'), (2, 'Net', 'valid', NULL), (3, 'Net', 'ready', NULL), (4, 'Var', 'data', NULL), (5, 'Modport', 'core', NULL), (6, 'Modport', 'mem', NULL), (7, 'Modport', 'mon', NULL)) AS v(i, kind, name, dir))
+  SELECT CAST(0 AS BIGINT) AS id, 'Instance' AS kind, 'top' AS name, 'top' AS path, CAST(NULL AS BIGINT) AS parent, CAST(NULL AS STRING) AS dir, CAST(NULL AS STRING) AS modport, CAST(NULL AS STRING) AS const
+  UNION ALL SELECT b, 'Interface', concat('i', s), path, CAST(0 AS BIGINT), NULL, NULL, NULL FROM s
+  UNION ALL SELECT b + i, kind, name, concat(path, '.', name), b, dir, NULL, NULL FROM s CROSS JOIN k WHERE i < 7 OR s % 3 = 0
+  UNION ALL SELECT b + 8, 'Assign', 'a', concat(path, '.$a'), CAST(0 AS BIGINT), NULL, NULL, CASE WHEN s % 2 = 0 THEN concat(s, '') END FROM s
+"""
+
+BUS_EDGES = """
+  SELECT concat(port, '>', endpoint, dir) AS edge, port, endpoint, dir, CAST(NULL AS STRING) AS sel FROM (
+    SELECT 1000000000000 + s_suppkey * 16 + 8 AS port, 1000000000000 + s_suppkey * 16 + 3 AS endpoint, 'out' AS dir FROM supplier WHERE s_suppkey % 5 > 0) e
+"""
+
+BUS_MEMBERS = """
+  SELECT b + i AS modport_id, pos, member, CASE WHEN i = 7 THEN 'in' ELSE dir END AS dir FROM (SELECT 1000000000000 + s_suppkey * 16 AS b, s_suppkey AS s FROM supplier) s
+  CROSS JOIN (SELECT * FROM (VALUES (5, 0, 'clk', 'in'), (5, 1, 'valid', 'out'), (5, 2, 'ready', 'in'), (5, 3, 'data', 'inout'), (5, 4, 'lost', 'out'), (6, 0, 'clk', 'in'), (6, 1, 'data', 'inout'), (6, 2, 'valid', 'in'), (6, 3, 'ready', 'out'),
+    (7, 0, 'valid', 'in'), (7, 1, 'ready', 'in'), (7, 2, 'data', 'in')) AS v(i, pos, member, dir)) m WHERE (i < 7 OR s % 3 = 0) AND (i + pos <> 8 OR s % 7 > 0)
+"""
+
+VIEWS = {"chip": CHIP, "chip_edges": CHIP_EDGES, "gated": GATED, "gated_edges": GATED_EDGES, "buses": BUSES, "bus_edges": BUS_EDGES, "bus_members": BUS_MEMBERS, "scopes": SCOPES, "gates": GATES, "gate_edges": GATE_EDGES, "nodes": NODES, "edges": EDGES, "changes": CHANGES, "vars": VARS, "enums": ENUMS}
 _NEEDS = {"vars": ("nodes",), "gated": ("chip",), "gated_edges": ("chip_edges",), "gate_edges": ("gates",)}
 
 

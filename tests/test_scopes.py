@@ -70,3 +70,35 @@ def test_lowering(spark):
     got = lowering.resolved_sources(names, [], none.unionAll(spark.createDataFrame([("s/y.c",)], "source string")), none)
     assert {r.ref: r.source for r in got.collect()} == {"x.c": "rtl/x.c", "/gone/y.c": "s/y.c"}
     assert lowering.resolved_sources(names.where(F.lit(False)), [], none, none).isEmpty()
+
+
+def test_gates(spark):
+    """~b & a into q inside an assign: the inverter is a bubble; a block without gates and a register stay."""
+    rows = [
+        (0, "Instance", "top", "top", None, None, None, None), (1, "Net", "a", "top.a", 0, None, None, None), (2, "Net", "b", "top.b", 0, None, None, None), (3, "Net", "q", "top.q", 0, None, None, None),
+        (4, "Assign", "", "top.$4", 0, None, None, None), (5, "And", "and", "top.$4.$5", 4, None, None, None), (6, "Not", "not", "top.$4.$6", 4, None, None, None), (7, "Const", "", "top.$4.$7", 4, None, None, "1'b1"),
+        (8, "FF", "f", "top.f", 0, None, None, None), (9, "Comb", "", "top.$9", 0, None, None, None), (10, "Not", "not", "top.$9.$10", 9, None, None, None), (11, "Assign", "", "top.$11", 0, None, None, None), (12, "Net", "z", "top.z", 0, None, None, None),
+    ]
+    edges = [("a", 5, 1, "in", "[0]"), ("b", 5, 6, "in", None), ("c", 6, 2, "in", None), ("d", 5, 3, "out", None), ("e", 5, 7, "in", None), ("f", 8, 1, "out", "[0]"), ("g", 8, 3, "in", None), ("h", 8, 2, "out", None), ("i", 10, 2, "in", None), ("j", 10, 12, "out", None), ("k", 11, 1, "in", "[1]"), ("l", 4, 3, "out", None)]
+    nodes, links = spark.createDataFrame(rows, NODES), spark.createDataFrame(edges, EDGES)
+    made = scopegraph.Scopes(nodes, links, gates=True)
+    assert sorted((r.box, r.kind) for r in made.boxes.collect()) == [(5, "And"), (8, "FF"), (10, "Not"), (11, "Assign")]
+    wires = made.wires()
+    assert {(r.source, r.target, r.net) for r in wires.collect()} == {("8/1", "5/1", "a[0]"), ("8/2", "5/2", "b"), ("5/5", "8/3", "q"), ("8/2", "10/2", "b")}
+    assert [tuple(r) for r in made.dangling(wires).collect()] == [(0, 10, 12)]
+    pins = {(r.gate, r.pin): (r.name, r.side, r.role, r.constant) for r in scopegraph.gate_pins(nodes, links).collect()}
+    assert pins == {(5, "5/1"): ("a", "west", None, None), (5, "5/2"): ("b", "west", "inv", None), (5, "5/7"): ("", "west", None, "1'b1"), (5, "5/5"): ("", "east", None, None), (10, "10/2"): ("b", "west", None, None), (10, "10/10"): ("", "east", None, None)}
+    plain = scopegraph.Scopes(nodes, links)
+    assert sorted(r.box for r in plain.boxes.collect()) == [4, 8, 9, 11]
+
+
+def test_interface_interior(spark):
+    rows = [
+        (0, "Instance", "top", "top", None, None, None, None), (1, "Interface", "i", "top.i", 0, None, None, None), (2, "Port", "clk", "top.i.clk", 1, "in", None, None), (3, "Net", "v", "top.i.v", 1, None, None, None),
+        (4, "Net", "d", "top.i.d", 1, None, None, None), (5, "Modport", "m", "top.i.m", 1, None, None, None), (6, "Modport", "s", "top.i.s", 1, None, None, None), (7, "Interface", "j", "top.j", 0, None, None, None),
+    ]
+    members = [(5, 0, "clk", "in"), (5, 1, "v", "out"), (5, 2, "d", "inout"), (6, 0, "v", "in"), (6, 1, "d", "inout"), (6, 2, "none", "in")]
+    nodes, links = spark.createDataFrame(rows, NODES), spark.createDataFrame([], EDGES)
+    pins, wires = scopegraph.interface_interiors(nodes, links, spark.createDataFrame(members, "modport_id long, pos int, member string, dir string"))
+    assert {(r.source, r.target, r.net) for r in wires.collect()} == {("2", "5/2", "clk"), ("5/3", "6/3", "v"), ("5/4", "6/4", "d"), ("frame/5", "5/3", "v"), ("frame/5", "5/4", "d"), ("frame/6", "6/3", "v"), ("frame/6", "6/4", "d")}
+    assert {(r.box, r.pin, r.side, r.bundle) for r in pins.collect()} == {(2, "2", "east", False), (5, "5/2", "west", False), (5, "5/3", "east", False), (5, "5/4", "west", False), (6, "6/3", "west", False), (6, "6/4", "west", False), (5, "frame/5", "west", True), (6, "frame/6", "west", True)}
