@@ -352,13 +352,19 @@ def deduplicated(docs: DataFrame, **options: object) -> DataFrame:
     wordy = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     own = F.coalesce(given, F.xxhash64(text).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
     found = near_duplicates(docs.select(own.alias("doc_id"), text.alias("text")), **options)
-    kept = saved(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("__copies")).withColumnRenamed("doc_id", "__kept_id"), "kept")
+    found = saved(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("__copies")).withColumnRenamed("doc_id", "__kept_id"), "kept")
+
+    def few(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+    # few rows go or repeat, so their ids are what texts are joined with
     mine = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("__own_id", own).join(kept, F.col("__own_id") == F.col("__kept_id"))
+    rows = docs.withColumn("__own_id", own).join(few(found.where("NOT kept").select(F.col("__kept_id").alias("__own_id"))), "__own_id", "left_anti")
+    repeated = found.where("kept AND __copies > 1").select(F.col("__kept_id").alias("__own_id"), F.lit(True).alias("__repeated"))
+    if repeated.isEmpty():
+        return rows.select(*mine)
+    rows = rows.join(few(repeated), "__own_id", "left")
     # rows that stand alone, and those without a word or id, aren't compared further
-    alone = (F.col("__copies") == 1) | (given.isNull() & ~wordy)
-    out = rows.where(alone).select(*mine)
-    if kept.where("__copies > 1").isEmpty():
-        return out
+    alone = F.col("__repeated").isNull() | (given.isNull() & ~wordy)
     # texts are compared too where there is no id, so that no two texts are taken for one by their number
-    return out.unionAll(rows.where(~alone).withColumn("__text", F.when(given.isNull(), text)).dropDuplicates(["__own_id", "__text"]).select(*mine))
+    return rows.where(alone).select(*mine).unionAll(rows.where(~alone).withColumn("__text", F.when(given.isNull(), text)).dropDuplicates(["__own_id", "__text"]).select(*mine))

@@ -14,7 +14,7 @@ def test_stages(spark, tmp_path):
     assert set(got) == {*range(30), 34}
     assert got[34].text == "mail <email> now " + prose(51, 30) and got[34].n_chars == len(got[34].text)
     assert all(r.round_trip and r.n_pieces == len(r.piece_ids) > 0 for r in got.values())
-    assert 4 <= len(corpus_pipeline.STAGES) <= 5 and len(queries.QUERIES) == 10
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5 and len(queries.QUERIES) == 13
 
 
 def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
