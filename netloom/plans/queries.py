@@ -620,4 +620,4 @@ def nav_targets(d: Data) -> DataFrame:
     return rows.where("r % step = 0 AND r div step < 4").select("id")
 
 
-from netloom.plans import more, scopes, texts, traces  # noqa: E402, F401  register further queries
+from netloom.plans import more, scopes, texts, traces, trees  # noqa: E402, F401  register further queries
