@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.operators.lookup import pick_node
+from netloom.operators.lookup import SIGNALS, rank_of_kind
+from netloom.operators.store import saved
 
-ELEMENT, GENBLOCK, ANY_INDEX = r"^\[[0-9]+\]$", r"^genblk[0-9]+$", r"^\[.*\]$"
+ELEMENT, GENBLOCK = r"^\[[0-9]+\]$", r"^genblk[0-9]+$"
 
 
 @dataclass(frozen=True)
@@ -49,16 +50,18 @@ def anchor_scores(names: DataFrame, nodes: DataFrame, opts: Options) -> DataFram
 
     ``first``: the least var_ref of all names, parameters too, that have the prefix.
     """
-    segs = F.split("full_name", r"\.")
-    cut = F.expr(f"explode(sequence(0, least(size(split(full_name, '\\\\.')) - 1, {opts.deepest})))")
-    tries = names.select("var_ref", "is_parameter", segs.alias("segs"), cut.alias("depth"))
-    rest = F.filter(F.slice("segs", F.col("depth") + 1, F.size("segs")), lambda s: ~s.rlike(ANY_INDEX))
+    # bracketed segments as nulls, which a joined array leaves out; told once a name, not once a cut
+    segs = names.select("var_ref", "is_parameter", F.split("full_name", r"\.").alias("segs"))
+    segs = segs.withColumn("plain", F.transform("segs", lambda s: F.when(~(F.startswith(s, F.lit("[")) & F.endswith(s, F.lit("]"))), s)))
+    cut = F.expr(f"explode(sequence(0, least(size(segs) - 1, {opts.deepest})))")
+    tries = segs.select("var_ref", "is_parameter", "segs", "plain", cut.alias("depth"))
+    rest = F.slice("plain", F.col("depth") + 1, F.size("plain"))
     tries = tries.select(
         "var_ref", "is_parameter", F.array_join(F.slice("segs", F.lit(1), F.col("depth")), ".").alias("prefix"), "depth", F.array_join(F.concat(F.array(F.lit(opts.top)), rest), ".").alias("path")
     )
-    hits = tries.join(nodes.select("path").distinct().withColumn("there", F.lit(True)), "path", "left")
-    scores = hits.groupBy("prefix", "depth").agg(F.count_if(F.col("there") & ~F.col("is_parameter")).alias("score"), F.min("var_ref").alias("first"))
-    return scores.where("score > 0")
+    hits = tries.where("NOT is_parameter").select("prefix", "depth", "path").join(nodes.select("path"), "path", "left_semi")
+    scores = hits.groupBy("prefix", "depth").agg(F.count("*").alias("score"))
+    return scores.join(tries.groupBy("prefix").agg(F.min("var_ref").alias("first")), "prefix")
 
 
 def detected_anchor(names: DataFrame, nodes: DataFrame, opts: Options) -> tuple[str, ...]:
@@ -81,17 +84,14 @@ def matched(names: DataFrame, nodes: DataFrame, opts: Options = Options()) -> Da
 
     An alias counts only if exactly one place of omission gives a path; otherwise the name is refused.
     """
-    anchor = opts.anchor if opts.anchor is not None else detected_anchor(names, nodes, opts)
+    # what a path means, worked out once for the anchor, for names and for their variants
+    paths = saved(meanings(nodes), "paths")
+    anchor = opts.anchor if opts.anchor is not None else detected_anchor(names, paths, opts)
     rows = classified(names, anchor, opts)
-    direct = pick_node(nodes).withColumnRenamed("id", "direct")
-    params = nodes.groupBy("path").agg(F.every(F.col("kind") == "Param").alias("only_param"))
-    rows = rows.join(direct.withColumnRenamed("path", "target"), "target", "left")
-    rows = rows.join(params.select(F.col("path").alias("target"), "only_param"), "target", "left")
+    rows = saved(rows.join(paths.select(F.col("path").alias("target"), F.col("id").alias("direct"), F.col("params").alias("only_param")), "target", "left"), "names")
     # only names without a direct hit need their variants
     open_ = rows.where("class = 'in' AND direct IS NULL").select("target").distinct()
-    known = nodes.groupBy("path").agg(F.every(F.col("kind") == "Param").alias("alias_param")).join(direct, "path", "left")
-    alias = alias_variants(open_).join(known.withColumnRenamed("direct", "alias"), "path")
-    alias = alias.groupBy("target").agg(F.count("*").alias("ways"), F.max("alias").alias("alias"), F.max("alias_param").alias("alias_param")).where("ways = 1").drop("ways")
+    alias = alias_variants(open_).join(paths, "path").groupBy("target").agg(F.count("*").alias("ways"), F.max("id").alias("alias"), F.max("params").alias("alias_param")).where("ways = 1").drop("ways")
     rows = rows.join(alias, "target", "left")
     status = (
         F.when(F.col("class") == "excluded", "excluded").when(F.col("class") == "out", "mystery")
@@ -102,6 +102,12 @@ def matched(names: DataFrame, nodes: DataFrame, opts: Options = Options()) -> Da
     return rows.select("var_ref", "full_name", status.alias("status"), F.coalesce("direct", F.when(status == "alias", F.col("alias"))).alias("node"), "target", rules.alias("rules"))
 
 
+def meanings(nodes: DataFrame) -> DataFrame:
+    """(path, id, params): the best signal of each path, null if it has none, and whether all of its nodes are parameters."""
+    rank = F.when(F.col("kind").isin(*SIGNALS), F.struct(rank_of_kind(F.col("kind")).alias("rank"), "id"))
+    return nodes.groupBy("path").agg(F.min(rank).alias("best"), F.every(F.col("kind") == "Param").alias("params")).select("path", F.col("best.id").alias("id"), "params")
+
+
 def report(found: DataFrame) -> DataFrame:
     """One row: counts by status, denominator, hit rate (1 if there is nothing to match) and the gate's verdict."""
     count = lambda s: F.count_if(F.col("status") == s)

@@ -233,17 +233,26 @@ def filter_signals(d: Data) -> DataFrame:
     return d.nodes.where(F.col("kind").isin(*lookup.SIGNALS) & F.contains(F.lower("path"), F.lower(F.trim(F.lit(" O[1 "))))).select("id", "path")
 
 
-@query("name_collisions", """SELECT parent, name, count(*) AS n FROM nodes WHERE name <> '' AND parent IS NOT NULL GROUP BY 1, 2
+# The design with faults: second instances of a name, ports at a net's path (which is none), lost parents, repeated ids, edges into nothing.
+_FAULTS = """bad AS (SELECT id, kind, name, path, parent FROM nodes
+    UNION ALL SELECT 20000000000000 + id, 'Instance', name, path, parent FROM nodes WHERE kind = 'Instance' AND id % 7 = 3 AND parent IS NOT NULL
+    UNION ALL SELECT 30000000000000 + id, 'Port', name, path, parent FROM nodes WHERE kind = 'Net' AND id % 11 = 4
+    UNION ALL SELECT 40000000000000 + id, 'Net', name, concat(path, '_'), parent FROM nodes WHERE kind = 'Net' AND id % 13 = 5
+    UNION ALL SELECT id, kind, name, path, -id - 1 FROM nodes WHERE kind = 'Var' AND id % 5 = 2),
+  bad_edges AS (SELECT edge, port, endpoint, dir, sel FROM edges UNION ALL SELECT concat('x', edge), port, -endpoint, dir, sel FROM edges WHERE port % 9 = 1 UNION ALL SELECT concat('y', edge), -port, endpoint, dir, sel FROM edges WHERE port % 9 = 2)"""
+
+
+@query("name_collisions", f"""WITH {_FAULTS} SELECT parent, name, count(*) AS n FROM bad WHERE name <> '' AND parent IS NOT NULL GROUP BY 1, 2
   HAVING count(*) > 1 AND NOT (count(DISTINCT path) = 1 AND bool_and(kind IN ('Port', 'Net', 'Var')))""")
 def name_collisions(d: Data) -> DataFrame:
-    return quality.name_collisions(d.nodes)
+    return quality.name_collisions(d.sql(f"WITH {_FAULTS} SELECT * FROM bad"))
 
 
-@query("integrity_violations", """SELECT 'parent' AS rule, id FROM nodes WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM nodes)
-  UNION ALL SELECT 'port', port FROM edges WHERE port NOT IN (SELECT id FROM nodes) UNION ALL SELECT 'endpoint', endpoint FROM edges WHERE endpoint NOT IN (SELECT id FROM nodes)
-  UNION ALL SELECT 'id', id FROM nodes GROUP BY id HAVING count(*) > 1""")
+@query("integrity_violations", f"""WITH {_FAULTS} SELECT 'parent' AS rule, id FROM bad WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM bad)
+  UNION ALL SELECT 'port', port FROM bad_edges WHERE port NOT IN (SELECT id FROM bad) UNION ALL SELECT 'endpoint', endpoint FROM bad_edges WHERE endpoint NOT IN (SELECT id FROM bad)
+  UNION ALL SELECT 'id', id FROM bad GROUP BY id HAVING count(*) > 1""")
 def integrity_violations(d: Data) -> DataFrame:
-    return quality.violations(d.nodes, d.edges)
+    return quality.violations(saved(d.sql(f"WITH {_FAULTS} SELECT * FROM bad"), "nodes"), d.sql(f"WITH {_FAULTS} SELECT * FROM bad_edges"))
 
 
 @query("signal_groups", """SELECT id, CASE WHEN kind IN ('Port', 'Net', 'Var') THEN min(CASE WHEN kind IN ('Port', 'Net', 'Var') THEN id END) OVER (PARTITION BY path) ELSE id END AS "group" FROM nodes""")
@@ -483,16 +492,31 @@ def latency_summary(d: Data) -> DataFrame:
     return quality.percentiles(d.events, "event_type", "value")
 
 
-@query("match_gate", f"WITH {_CLASS} SELECT status, count(*) AS n, status IN ('direct', 'alias') AS hit FROM fin GROUP BY status")
+@query("match_gate", f"""WITH {_CLASS}, g AS (SELECT 'all' AS names, * FROM fin UNION ALL SELECT 'known', * FROM fin WHERE status <> 'mystery' UNION ALL SELECT 'direct', * FROM fin WHERE status IN ('direct', 'excluded') UNION ALL SELECT 'none', * FROM fin WHERE status = 'excluded'),
+  c AS (SELECT names, count(*) FILTER (status IN ('direct', 'alias')) AS hits, count(*) FILTER (status = 'unmatched') AS misses, count(*) FILTER (status = 'mystery') AS mystery FROM g GROUP BY names)
+  SELECT names, round(CASE WHEN hits + misses = 0 THEN 1.0 ELSE hits / (hits + misses) END, 6) AS hit_rate, CASE WHEN hits + misses = 0 THEN 1.0 ELSE hits / (hits + misses) END >= 0.95 AND mystery = 0 AS passes FROM c""")
 def match_gate(d: Data) -> DataFrame:
-    return _match(d).groupBy("status").agg(F.count("*").alias("n")).withColumn("hit", F.col("status").isin("direct", "alias"))
+    """The gate over all names, and over those that it lets pass: without mysteries, direct ones only, none to match at all."""
+    found = saved(_match(d).select("status"), "statuses")
+    parts = {"all": "true", "known": "status <> 'mystery'", "direct": "status IN ('direct', 'excluded')", "none": "status = 'excluded'"}
+    out = None
+    for name, rows in parts.items():
+        part = linkage.report(found.where(rows)).select(F.lit(name).alias("names"), "hit_rate", "passes")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+_SWAPPED = "v2 AS (SELECT var_ref, CASE WHEN var_ref % 3 = 0 THEN replace(full_name, 'TOP.tb.dut.', 'SIM.') ELSE full_name END AS full_name, is_parameter FROM vars)"
 
 
-@query("rematch", """SELECT count(*) AS names, count(*) FILTER (full_name LIKE 'TOP.tb.%') AS inside, 0 AS direct FROM vars""")
+@query("rematch", f"""WITH {_SWAPPED}, s AS (SELECT var_ref, is_parameter, string_split(full_name, '.') AS s FROM v2 WHERE full_name LIKE 'SIM.%'),
+  t AS (SELECT var_ref, array_to_string(list_prepend('top', list_filter(s[2:], lambda x: NOT regexp_matches(x, '^\\[[0-9]+\\]$') AND NOT regexp_matches(x, '^genblk[0-9]+$'))), '.') AS target FROM s),
+  p AS (SELECT path, arg_min(id, (CASE kind WHEN 'Net' THEN 1 WHEN 'Port' THEN 2 ELSE 0 END) * 100000000000000 + id) AS id FROM nodes WHERE kind IN ('Var', 'Memory', 'Net', 'Port') GROUP BY path)
+  SELECT var_ref, p.id AS node FROM t JOIN p ON p.path = t.target""".replace("{1", "{{1"))
 def rematch(d: Data) -> DataFrame:
-    """Against another anchor: everything under it is tried, and nothing of this trace is found there directly."""
-    found = linkage.matched(d.vars, d.nodes, linkage.Options(anchor=("TOP", "tb")))
-    return found.agg(F.count("*").alias("names"), F.count_if(~F.col("status").isin("excluded", "mystery")).alias("inside"), F.count_if(F.col("status") == "direct").alias("direct"))
+    """The design against another trace, a third of whose names stand under another anchor: the names that are found there directly."""
+    names = d.sql(f"WITH {_SWAPPED} SELECT * FROM v2")
+    return linkage.matched(names, d.nodes, linkage.Options(anchor=("SIM",))).where("status = 'direct'").select("var_ref", "node")
 
 
 @query("signal_values", "SELECT sig, t, v FROM changes WHERE sig = (SELECT min(sig) FROM changes)")
