@@ -34,6 +34,8 @@ from netloom.llm.words import shingle_sets
 SLACK = 4.5
 #: Shingles of a part of a long list (8 bytes each); two parts meet in a task. A longer document is a part of its own.
 CELL = 150_000
+#: Documents of a side that are compared at a time (some 30 bytes a pair): short texts make many documents of few shingles.
+SIDE = 1_000
 #: Nodes whose ids may be broadcast (40 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 250_000
 #: Representatives that a document is compared with first.
@@ -252,6 +254,34 @@ def cell_links(nodes: np.ndarray, groups: np.ndarray, parts: np.ndarray, sets: l
     return out
 
 
+def tiled_links(nodes: np.ndarray, groups: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], k: int, percent: int) -> list[tuple[int, int]]:
+    """``cell_links`` tile by tile, each of at most ``SIDE`` documents a side. What a tile has joined is one component for the next ones."""
+    sides = [np.flatnonzero(parts == p) for p in np.unique(parts)]
+    left, right = ([side[s : s + SIDE] for s in range(0, len(side), SIDE)] for side in (sides[0], sides[-1]))
+    groups, out, head = groups.copy(), [], {}
+
+    def find(g: int) -> int:
+        while head.get(g, g) != g:
+            g = head[g]
+        return g
+
+    where = dict(zip(nodes.tolist(), range(len(nodes))))
+    for a, x in enumerate(left):
+        for y in right[a if len(sides) == 1 else 0 :]:
+            same = len(sides) == 1 and x[0] == y[0]
+            rows = x if same else np.concatenate([x, y])
+            made = cell_links(nodes[rows], groups[rows], np.zeros(len(rows), int) if same else np.repeat([0, 1], [len(x), len(y)]), [sets[r] for r in rows], k, percent)
+            if made:
+                out += made
+                for p, q in made:
+                    p, q = find(int(groups[where[p]])), find(int(groups[where[q]]))
+                    if p != q:
+                        head[p] = q
+                names, at = np.unique(groups, return_inverse=True)
+                groups = np.array([find(g) for g in names.tolist()], groups.dtype)[at]
+    return out
+
+
 def long_links(rows: DataFrame, full: DataFrame, k: int, percent: int, list_limit: int) -> DataFrame:
     """(a, b): exact links between components inside the long lists; each two parts of a list are a group of their own."""
     rows = rows.where(f"size > {list_limit}").withColumn("parts", F.expr(f"(shingles + {CELL - 1}) div {CELL}"))
@@ -264,7 +294,7 @@ def long_links(rows: DataFrame, full: DataFrame, k: int, percent: int, list_limi
         sets = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
         nodes, groups, parts = (table.column(x).to_numpy() for x in ("node", "c", "part"))
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        out = cell_links(nodes, groups, parts, sets, k, percent) if p == q or len(np.unique(parts)) == 2 else []
+        out = tiled_links(nodes, groups, parts, sets, k, percent) if p == q or len(np.unique(parts)) == 2 else []
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     return rows.join(full, "node").groupBy("cell", "v", "p", "q").applyInArrow(run, "a long, b long")

@@ -2,6 +2,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pytest
 from samples import ODD, prose
 from netloom.llm import minhash
 
@@ -95,3 +97,42 @@ def test_short_texts_in_a_large_group_are_linked(spark):
     rows = [(k, f"{words} extra{k}" if k else words) for k in range(61)] + [(100 + k, prose(100 + k, 12)) for k in range(5)]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 0 if i < 61 else i for i, _ in rows}
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_tiles_join_what_a_whole_cell_joins(monkeypatch, parts):
+    rng = np.random.default_rng(parts)
+    base = [np.unique(rng.integers(0, 1 << 63, 30, dtype=np.uint64)) for _ in range(12)]
+    sets = [np.unique(np.concatenate([b[: len(b) - rng.integers(0, 4)], rng.integers(0, 1 << 63, rng.integers(0, 3), dtype=np.uint64)])) for b in (base[k] for k in rng.integers(0, 12, 150))]
+    nodes, groups, sides = np.arange(1000, 1150), np.arange(1000, 1150), rng.integers(0, parts, 150)
+
+    def joined(links):
+        head = {int(n): int(n) for n in nodes}
+
+        def find(x):
+            while head[x] != x:
+                x = head[x]
+            return x
+
+        for a, b in links:
+            head[find(a)] = find(b)
+        return sorted(sorted(n for n in head if find(n) == r) for r in {find(n) for n in head})
+
+    whole = joined(minhash.cell_links(nodes, groups, sides, sets, 64, 80))
+    for side in (1, 7, 50, 1000):
+        monkeypatch.setattr(minhash, "SIDE", side)
+        assert joined(minhash.tiled_links(nodes, groups, sides, sets, 64, 80)) == whole
+    assert len(whole) < 60
+
+
+def test_many_short_texts_of_a_list_in_little_memory():
+    """Templated texts of five shingles with two in common: as one matrix of pairs they would take a gigabyte."""
+    import tracemalloc
+
+    common = np.array([1, 2], np.uint64)
+    sets = [np.concatenate([common, np.array([10, 11, 12], np.uint64) + np.uint64(4 * k)]) for k in range(6_000)]
+    nodes = np.arange(len(sets))
+    tracemalloc.start()
+    assert minhash.tiled_links(nodes, nodes, np.zeros(len(sets), int), sets, 64, 80) == []
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
