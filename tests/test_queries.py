@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -39,8 +41,22 @@ def test_equals_sql(spark, duck, name):
     assert got == want
 
 
-def test_entry_without_the_text_operators(spark):
+def test_entry(spark):
     import __spark_entry__ as entry
 
     assert set(queries.QUERIES) <= set(entry.queries()) and set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() == 1
+
+
+@pytest.mark.parametrize("gone", [("corpus_pipeline", "netloom.llm"), ("netloom.llm",), ("corpus_pipeline",)])
+def test_entry_where_they_are_gone(gone):
+    """In a process of its own, in which these modules can't be found."""
+    code = f"""
+import sys
+for name in {gone!r}:
+    sys.modules[name] = None
+import __spark_entry__ as entry
+from netloom.plans import queries
+assert set(entry.queries()) == set(queries.QUERIES) and set(entry.oracle_sql()) == set(queries.ORACLE_SQL)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
