@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators import spans
@@ -39,15 +39,33 @@ def references(refs: DataFrame, scopes: DataFrame, nodes: DataFrame) -> DataFram
     return absolute.unionAll(inside).distinct().join(nodes.select("path", "id"), "path").select("ref", "id")
 
 
-def responses(anchors: DataFrame, nodes: DataFrame, index: DataFrame) -> DataFrame:
-    """anchors (probe, anchor): kind, path, and link into the trace, as one JSON object a probe."""
-    rows = anchors.join(nodes.select(F.col("id").alias("anchor"), "kind", "path"), "anchor").join(index.select(F.col("node").alias("anchor"), "var_ref"), "anchor", "left")
-    return rows.select("probe", F.to_json(F.struct("anchor", "kind", "path", "var_ref")).alias("response"))
+def from_node_path(probes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """probes (path): the preferred node of each path as anchor, and all nodes of the path; paths without a node are left out."""
+    hits = probes.select(F.col("path").alias("probe")).distinct().join(nodes.select(F.col("path").alias("probe"), "id"), "probe")
+    return candidates(hits, nodes, ("probe",)).select("probe", "anchor", "nodes")
 
 
-def references_in_order(refs: DataFrame) -> DataFrame:
-    """Adds ``pos``: the number of each reference in its file, by offset."""
-    return refs.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("offset", "rel")) - 1)
+def to_source(anchors: DataFrame, nodes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """anchors (probe, anchor): (probe, path, file, def, inst): where the source view goes for an anchor.
+
+    ranges (id, role, file, lo, hi), of the roles def and inst, one each (the least counts). ``file`` is that of the definition, else of the instance; a node without
+    ranges keeps its path alone, and an anchor that is no node an empty one.
+    """
+    span = lambda role: F.min(F.when(F.col("role") == role, F.struct("file", "lo", "hi"))).alias(role)
+    places = ranges.where("role IN ('def', 'inst')").groupBy(F.col("id").alias("anchor")).agg(span("def"), span("inst"))
+    rows = anchors.select("probe", "anchor").join(nodes.select(F.col("id").alias("anchor"), "path"), "anchor", "left").join(places, "anchor", "left")
+    return rows.select("probe", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("def.file", "inst.file").alias("file"), "def", "inst")
+
+
+def responses(anchors: DataFrame, nodes: DataFrame, ranges: DataFrame, index: DataFrame, names: DataFrame) -> DataFrame:
+    """What a probe answers: (probe, anchor, kind, path, file, lo, hi, var_ref, full_name) of anchors (probe, anchor).
+
+    The place is the definition, else the instance, the link the trace variable as in :func:`to_wave` with its name, names (var_ref, full_name); both null if there is none.
+    """
+    at = anchors.select("probe", "anchor").join(nodes.select(F.col("id").alias("anchor"), "kind"), "anchor", "left")
+    place = to_source(anchors, nodes, ranges).select("probe", "path", "file", F.coalesce("def", "inst").alias("span"))
+    link = to_wave(anchors, nodes, index, "probe").join(names.select("var_ref", "full_name"), "var_ref", "left")
+    return at.join(place, "probe").join(link, "probe", "left").select("probe", "anchor", "kind", "path", "file", "span.lo", "span.hi", "var_ref", "full_name")
 
 
 def from_source(probes: DataFrame, nodes: DataFrame, ranges: DataFrame, maps: DataFrame, refs: DataFrame) -> DataFrame:

@@ -75,11 +75,6 @@ def ticks(windows: DataFrame, target: int = 8) -> DataFrame:
     return rows.select("key", "step", F.explode(F.expr("sequence(first, t1, step)")).alias("tick"))
 
 
-def visible(segments_: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Segments that reach into a window, cut to it."""
-    return segments_.where((F.col("t0") < end) & (F.col("t1") > start)).select("sig", F.greatest("t0", start).alias("t0"), F.least("t1", end).alias("t1"), "v")
-
-
 def time_to_x(t: Column, start: Column, end: Column, width: float) -> Column:
     """Where a time lies in a window of ``width`` pixels; an empty window is one tick wide."""
     return (t - start) * F.lit(width) / F.greatest(end - start, F.lit(1))

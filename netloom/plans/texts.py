@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators import lowering, probe, tokens, waves
+from netloom.operators.store import saved
 from netloom.plans.queries import Data, query
 
 # What the three lexical rules make of one made text, piece by piece: s SystemVerilog, c C++, p any other language.
@@ -124,3 +125,38 @@ def visible_lanes(d: Data) -> DataFrame:
 @query("working_group", f"""WITH {_PANES}, h AS (SELECT pane, max(g) AS g FROM la GROUP BY pane) SELECT gr.pane, coalesce(min(h.g), max(gr.g)) AS "group" FROM gr LEFT JOIN h ON h.pane = gr.pane GROUP BY gr.pane""")
 def working_group(d: Data) -> DataFrame:
     return waves.working_group(d.sql(f"WITH {_PANES} SELECT pane, g AS `group` FROM gr"), d.sql(f"WITH {_PANES} SELECT pane, g AS `group`, lane FROM la"))
+
+
+# Ranges of nodes by rule: a definition for two of three, an instance for every second.
+_PLACES = """pl AS (SELECT id, 'def' AS role, id % 10 AS file, id % 1000 AS lo, id % 1000 + id % 50 AS hi FROM nodes WHERE id % 3 < 2 UNION ALL SELECT id, 'inst', 10 + id % 10, id % 900, id % 900 + 7 FROM nodes WHERE id % 2 = 0)"""
+_ASKED = """ask AS (SELECT DISTINCT path FROM nodes WHERE id % 5 = 1), anc AS (SELECT path AS probe, arg_min(id, (CASE kind WHEN 'Var' THEN 0 WHEN 'Net' THEN 1 WHEN 'Port' THEN 2 WHEN 'Instance' THEN 3 WHEN 'GenBlock' THEN 4 ELSE 5 END) * 100000000000000 + id) AS anchor, count(*) AS nodes FROM nodes JOIN ask USING (path) GROUP BY path)"""
+
+
+def _asked(d: Data) -> DataFrame:
+    return d.nodes.where("id % 5 = 1").select("path").unionAll(d.nodes.select(F.concat("path", F.lit("?"))))
+
+
+@query("probe_node_path", f"WITH {_ASKED} SELECT * FROM anc")
+def probe_node_path(d: Data) -> DataFrame:
+    """Paths of a fifth of the nodes, and paths that no node has."""
+    return probe.from_node_path(_asked(d), d.nodes)
+
+
+@query("to_source", f"""WITH {_PLACES}, p AS (SELECT id, min(path) AS path FROM nodes GROUP BY id), f AS (SELECT * FROM pl WHERE role = 'def'), i AS (SELECT * FROM pl WHERE role = 'inst')
+  SELECT p.id AS probe, path, coalesce(f.file, i.file) AS file, f.lo AS def_lo, f.hi AS def_hi, i.lo AS inst_lo, i.hi AS inst_hi FROM p LEFT JOIN f USING (id) LEFT JOIN i USING (id) UNION ALL SELECT -1, '', NULL, NULL, NULL, NULL, NULL""")
+def to_source(d: Data) -> DataFrame:
+    """From every node, and from one that isn't there."""
+    anchors = d.nodes.select(F.col("id").alias("probe"), F.col("id").alias("anchor")).unionAll(d.sql("SELECT -1L, -1L"))
+    made = probe.to_source(anchors, d.nodes, d.sql(f"WITH {_PLACES} SELECT * FROM pl"))
+    return made.select("probe", "path", "file", F.col("def.lo").alias("def_lo"), F.col("def.hi").alias("def_hi"), F.col("inst.lo").alias("inst_lo"), F.col("inst.hi").alias("inst_hi"))
+
+
+@query("probe_response", f"""WITH {_ASKED}, {_PLACES}, ix AS (SELECT id AS node, id AS var_ref, concat('w.', name) AS full_name FROM nodes WHERE kind = 'Port' OR (kind = 'Net' AND id % 4 = 1)),
+  lk AS (SELECT a.probe, arg_min(x.var_ref, CASE WHEN n.id = a.anchor THEN 0 ELSE n.id END) AS var_ref FROM anc a JOIN nodes n ON n.path = a.probe JOIN ix x ON x.node = n.id GROUP BY a.probe)
+  SELECT a.probe, a.anchor, n.kind, a.probe AS path, coalesce(f.file, i.file) AS file, CASE WHEN f.id IS NOT NULL THEN f.lo ELSE i.lo END AS lo, CASE WHEN f.id IS NOT NULL THEN f.hi ELSE i.hi END AS hi, lk.var_ref, ix.full_name
+  FROM anc a JOIN nodes n ON n.id = a.anchor LEFT JOIN pl f ON f.id = a.anchor AND f.role = 'def' LEFT JOIN pl i ON i.id = a.anchor AND i.role = 'inst' LEFT JOIN lk ON lk.probe = a.probe LEFT JOIN ix ON ix.var_ref = lk.var_ref""")
+def probe_response(d: Data) -> DataFrame:
+    """What paths of nodes answer: place and link into a trace of ports and of some nets."""
+    index = d.nodes.where("kind = 'Port' OR (kind = 'Net' AND id % 4 = 1)").select(F.col("id").alias("node"), F.col("id").alias("var_ref"), F.concat(F.lit("w."), "name").alias("full_name"))
+    anchors = saved(probe.from_node_path(_asked(d), d.nodes).select("probe", "anchor"), "anchors")
+    return probe.responses(anchors, d.nodes, d.sql(f"WITH {_PLACES} SELECT * FROM pl"), index.select("node", "var_ref"), index.select("var_ref", "full_name"))
