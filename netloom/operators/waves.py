@@ -37,7 +37,8 @@ def nearest_edge(changes: DataFrame, probes: DataFrame) -> DataFrame:
     both = changes.select("sig", "t", F.lit(0).alias("side")).unionAll(probes.select("sig", F.col("at").alias("t"), F.lit(1).alias("side")))
     change = F.when(F.col("side") == 0, F.col("t"))
     before = F.last(change, ignorenulls=True).over(Window.partitionBy("sig").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(change, ignorenulls=True).over(Window.partitionBy("sig").orderBy("t", "side").rowsBetween(0, Window.unboundedFollowing))
+    # backwards rather than over the rows that follow: Spark works such a frame out anew for every row
+    after = F.last(change, ignorenulls=True).over(Window.partitionBy("sig").orderBy(F.desc("t"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumn("before", before).withColumn("after", after).where("side = 1")
     near = F.when(F.col("after").isNull() | (F.col("t") - F.col("before") <= F.col("after") - F.col("t")), F.col("before")).otherwise(F.col("after"))
     return both.select("sig", F.col("t").alias("at"), F.when(F.col("before").isNull(), F.col("after")).otherwise(near).alias("edge"))

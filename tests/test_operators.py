@@ -203,3 +203,12 @@ def test_stream_equals_batch(spark, tmp_path):
     run = last_value.last_values(stream).writeStream.outputMode("complete").format("memory").queryName("last_values").trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted(map(tuple, spark.table("last_values").collect())) == sorted(map(tuple, last_value.last_values(frame).collect()))
+
+
+def test_nearest_edge_never_looks_ahead_row_by_row(spark):
+    changes = spark.createDataFrame([(1, 10, "0"), (1, 10, "1"), (1, 20, "0"), (2, 5, "1")], "sig long, t long, v string")
+    probes = spark.createDataFrame([(1, 10), (1, 15), (1, 16), (1, 99), (2, 1), (3, 7)], "sig long, at long")
+    near = waves.nearest_edge(changes, probes)
+    assert {(r.sig, r["at"]): r.edge for r in near.collect()} == {(1, 10): 10, (1, 15): 10, (1, 16): 20, (1, 99): 20, (2, 1): 5, (3, 7): None}
+    # a frame that ends with the partition takes the square of a signal's rows
+    assert "unboundedfollowing" not in near._jdf.queryExecution().toString().lower()
