@@ -84,6 +84,8 @@ def percentiles(values: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def stamp(seconds: Column) -> Column:
-    """Seconds since 1970 as date and time in UTC, whatever the session's zone."""
+    """Seconds since 1970 as date and time in UTC, whatever the session's zone; years after 9999 without a sign."""
     since = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-    return F.date_format(since + F.make_dt_interval(secs=seconds), "yyyy-MM-dd HH:mm:ss")
+    # in days, since seconds have to fit a decimal of twelve digits
+    at = since + F.make_dt_interval(F.floor(seconds / 86400).cast("int"), secs=F.pmod(seconds, F.lit(86400)))
+    return F.ltrim(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit("+"))

@@ -212,3 +212,9 @@ def test_nearest_edge_never_looks_ahead_row_by_row(spark):
     assert {(r.sig, r["at"]): r.edge for r in near.collect()} == {(1, 10): 10, (1, 15): 10, (1, 16): 20, (1, 99): 20, (2, 1): 5, (3, 7): None}
     # a frame that ends with the partition takes the square of a signal's rows
     assert "unboundedfollowing" not in near._jdf.queryExecution().toString().lower()
+
+
+@pytest.mark.parametrize(("seconds", "shown"), [(0, "1970-01-01 00:00:00"), (-1, "1969-12-31 23:59:59"), (253402300800, "10000-01-01 00:00:00"), (8999999 * 86399, "26610-11-16 20:00:01"), (53999999 * 86399, "149815-04-08 00:00:01")])
+def test_stamp_of_far_years(spark, seconds, shown):
+    got = one(spark, quality.stamp(F.col("s")), s=seconds)
+    assert got == shown
