@@ -2,7 +2,9 @@
 
 import random
 
-from netloom.operators import syntax
+from pyspark.sql import functions as F
+
+from netloom.operators import hierarchy, syntax
 
 TREE = "id long, parent long, slot string, kind string, path string"
 STATEMENTS = "id long, parent long, slot string, pos int, kind string, cond string"
@@ -140,3 +142,40 @@ def test_nothing(spark):
     assert syntax.value_refs(tree, tree.select("id")).count() == syntax.lvalue_bases(tree, tree.select("id")).count() == 0
     muxes, roots = syntax.lowered_branches(spark.createDataFrame([], STATEMENTS), spark.createDataFrame([], "id long, path string"))
     assert muxes.count() == roots.count() == 0
+
+
+def test_walks_cross_blocks_and_cycles(spark):
+    rng = random.Random(5)
+    # ids far apart and close together, some on cycles, some whose parent is no node
+    ids = [rng.randrange(1 << 20) for _ in range(150)] + list(range(1 << 21, (1 << 21) + 60))
+    ids = sorted(set(ids))
+    parent = {i: rng.choice([None, -7, *ids[:k]]) if rng.random() < 0.9 else rng.choice(ids) for k, i in enumerate(ids)}
+    wanted = set(rng.sample(ids, 60))
+
+    def way(i):
+        seen = []
+        while i in parent and i not in seen:
+            seen.append(i)
+            i = parent[i]
+        return seen
+
+    nodes = spark.createDataFrame(list(parent.items()), "id long, parent long")
+    boxes = spark.createDataFrame([(i,) for i in wanted], "id long")
+    near = {r.id: r.ancestor for r in hierarchy.nearest(nodes, boxes).collect()}
+    assert near == {i: next((a for a in way(i) if a in wanted), None) for i in ids}
+    rows = [(r.id, r.box) for r in hierarchy.within(nodes, boxes).collect()]
+    assert sorted(rows) == sorted((i, a) for i in ids for a in way(i) if a in wanted)
+
+
+def test_nearest_exchanges_neighbours_once(spark):
+    tree = spark.range(4096).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    counted = []
+    keep = hierarchy.saved
+    hierarchy.saved = lambda df, name: counted.append(name) or keep(df, name)
+    try:
+        found = hierarchy.nearest(tree, F.col("id") == 0)
+    finally:
+        hierarchy.saved = keep
+    assert found.where("ancestor = 0").count() == 4096
+    # a chain of 4,096 took 13 rounds of writing all nodes
+    assert counted == ["links"]
