@@ -116,11 +116,14 @@ def associative_roots(gates: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def pruned(nodes: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Nodes that aren't at or under a dropped path; every prefix of a path is tried, one anti-join."""
+    """Nodes that aren't at or under a dropped path; every prefix of what nodes lie directly under is tried, once for all that lie there."""
     from netloom.operators.hierarchy import scope_frames
 
-    gone = scope_frames(nodes).join(dropped.select(F.col("path").alias("frame")).distinct(), "frame", "left_semi").select("path").distinct()
-    return nodes.join(gone, "path", "left_anti")
+    frames = dropped.select(F.col("path").alias("frame")).distinct()
+    above = F.when(F.contains("path", F.lit(".")), F.expr("left(path, length(path) - length(substring_index(path, '.', -1)) - 1)"))
+    gone = scope_frames(nodes.select(above.alias("path")).where("path IS NOT NULL")).join(frames, "frame", "left_semi").select(F.col("path").alias("above")).distinct()
+    kept = nodes.join(frames.withColumnRenamed("frame", "path"), "path", "left_anti")
+    return kept.withColumn("above", above).join(gone, "above", "left_anti").select(*nodes.columns)
 
 
 def unambiguous_select(edges: DataFrame) -> DataFrame:

@@ -218,3 +218,13 @@ def test_nearest_edge_never_looks_ahead_row_by_row(spark):
 def test_stamp_of_far_years(spark, seconds, shown):
     got = one(spark, quality.stamp(F.col("s")), s=seconds)
     assert got == shown
+
+
+def test_pruned_tries_shared_parents_once(spark, monkeypatch):
+    nodes = spark.createDataFrame([("a",), ("a.b",), ("a.b.c",), ("a.b.d",), ("a.bb",), ("e.f.g",), ("e.f",), (None,)], "path string")
+    tried, frames = [], hierarchy.scope_frames
+    monkeypatch.setattr(hierarchy, "scope_frames", lambda df: tried.append({r.path for r in df.collect()}) or frames(df))
+    kept = schematic.pruned(nodes, spark.createDataFrame([("a.b",), ("e.f.g",), ("e.f.g",), ("none",)], "path string"))
+    assert sorted(r.path or "" for r in kept.collect()) == ["", "a", "a.bb", "e.f"]
+    # leaves aren't split into prefixes themselves
+    assert tried == [{"a", "a.b", "e", "e.f"}]
