@@ -11,6 +11,8 @@ from netloom.operators.lookup import SIGNALS, rank_of_kind
 from netloom.operators.store import saved
 
 ELEMENT, GENBLOCK = r"^\[[0-9]+\]$", r"^genblk[0-9]+$"
+#: Beginnings of paths (two segments) that are broadcast, at most.
+MOST_HEADS = 100_000
 
 
 @dataclass(frozen=True)
@@ -22,51 +24,82 @@ class Options:
     deepest: int = 6
 
 
+def _rest(anchor: tuple[str, ...]) -> Column:
+    """The segments of ``full_name`` after the anchor's."""
+    segs, n = F.split("full_name", r"\."), len(anchor)
+    return F.slice(segs, F.lit(n + 1), F.greatest(F.size(segs) - n, F.lit(0)))
+
+
+def _trail(anchor: tuple[str, ...]) -> Column:
+    """The distinct rules of a name inside the anchor, in the order in which they first apply along the path."""
+    rule = lambda s: F.when(s.rlike(ELEMENT), "ArrayElement").when(s.rlike(GENBLOCK), "GenBlockFlatten").otherwise("")
+    return F.filter(F.array_distinct(F.concat(F.array(F.lit("AnchorRebase")), F.transform(_rest(anchor), rule))), lambda r: r != "")
+
+
 def classified(names: DataFrame, anchor: tuple[str, ...], opts: Options) -> DataFrame:
     """Adds ``class`` (in, excluded, out), ``target`` path and ``rules`` (the distinct rules used, in order)."""
     segs = F.split("full_name", r"\.")
     n = len(anchor)
-    rest = F.slice(segs, F.lit(n + 1), F.greatest(F.size(segs) - n, F.lit(0)))
     inside = (F.slice(segs, 1, n) == F.array(*map(F.lit, anchor))) if n else F.lit(True)
     inside = inside & (F.size(segs) > n)
-    element, block = (lambda s: s.rlike(ELEMENT)), (lambda s: s.rlike(GENBLOCK))
-    kept = F.filter(rest, lambda s: ~element(s) & ~block(s))
-    # the order in which rules first apply along the path
-    trail = F.filter(
-        F.array_distinct(F.concat(F.array(F.lit("AnchorRebase")), F.transform(rest, lambda s: F.when(element(s), "ArrayElement").when(block(s), "GenBlockFlatten").otherwise("")))),
-        lambda r: r != "",
-    )
+    kept = F.filter(_rest(anchor), lambda s: ~s.rlike(ELEMENT) & ~s.rlike(GENBLOCK))
     barred = F.arrays_overlap(segs, F.array(*map(F.lit, opts.excluded))) if opts.excluded else F.lit(False)
     return names.select(
         "*",
         F.when(inside, "in").when(barred, "excluded").otherwise("out").alias("class"),
         F.when(inside, F.array_join(F.concat(F.array(F.lit(opts.top)), kept), ".")).alias("target"),
-        F.when(inside, trail).otherwise(F.array().cast("array<string>")).alias("rules"),
+        F.when(inside, _trail(anchor)).otherwise(F.array().cast("array<string>")).alias("rules"),
     )
 
 
-def anchor_scores(names: DataFrame, nodes: DataFrame, opts: Options) -> DataFrame:
-    """(prefix, depth, score, first): signals whose rebased name is a path; here any bracketed segment goes and genblk ones stay.
-
-    ``first``: the least var_ref of all names, parameters too, that have the prefix.
-    """
+def _tries(names: DataFrame, opts: Options) -> DataFrame:
+    """(var_ref, is_parameter, prefix, depth, path): every name cut at every depth; here any bracketed segment goes and genblk ones stay."""
     # bracketed segments as nulls, which a joined array leaves out; told once a name, not once a cut
     segs = names.select("var_ref", "is_parameter", F.split("full_name", r"\.").alias("segs"))
     segs = segs.withColumn("plain", F.transform("segs", lambda s: F.when(~(F.startswith(s, F.lit("[")) & F.endswith(s, F.lit("]"))), s)))
     cut = F.expr(f"explode(sequence(0, least(size(segs) - 1, {opts.deepest})))")
     tries = segs.select("var_ref", "is_parameter", "segs", "plain", cut.alias("depth"))
     rest = F.slice("plain", F.col("depth") + 1, F.size("plain"))
-    tries = tries.select(
+    return tries.select(
         "var_ref", "is_parameter", F.array_join(F.slice("segs", F.lit(1), F.col("depth")), ".").alias("prefix"), "depth", F.array_join(F.concat(F.array(F.lit(opts.top)), rest), ".").alias("path")
     )
-    hits = tries.where("NOT is_parameter").select("prefix", "depth", "path").join(nodes.select("path"), "path", "left_semi")
-    scores = hits.groupBy("prefix", "depth").agg(F.count("*").alias("score"))
-    return scores.join(tries.groupBy("prefix").agg(F.min("var_ref").alias("first")), "prefix")
+
+
+def _scores(tries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(prefix, depth, score): signals whose rebased name is a path.
+
+    A cut of more than two segments is looked up only if some such path begins with its first two; those beginnings are broadcast if they are few.
+    """
+    head = F.substring_index("path", ".", 2)
+    heads = saved(nodes.where(head != F.col("path")).select(head.alias("head")).distinct(), "heads")
+    tries = tries.where("NOT is_parameter").select("prefix", "depth", "path")
+    if heads.count() <= MOST_HEADS:
+        known = F.broadcast(heads.withColumn("known", F.lit(True)))
+        tries = tries.withColumn("head", head).join(known, "head", "left").where("known OR head = path").select("prefix", "depth", "path")
+    return tries.join(nodes.select("path"), "path", "left_semi").groupBy("prefix", "depth").agg(F.count("*").alias("score"))
+
+
+def _firsts(tries: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(prefix, first): the least var_ref of all names, parameters too, that have one of ``prefixes`` (prefix)."""
+    return tries.select("prefix", "var_ref").join(prefixes, "prefix", "left_semi").groupBy("prefix").agg(F.min("var_ref").alias("first"))
+
+
+def anchor_scores(names: DataFrame, nodes: DataFrame, opts: Options) -> DataFrame:
+    """(prefix, depth, score, first): signals whose rebased name is a path, and the first name in the trace that has the prefix."""
+    tries = _tries(names, opts)
+    scores = saved(_scores(tries, nodes), "scores")
+    return scores.join(_firsts(tries, scores.select("prefix")), "prefix")
 
 
 def detected_anchor(names: DataFrame, nodes: DataFrame, opts: Options) -> tuple[str, ...]:
     """Best score, then the longer prefix, then the one that the trace names first; none if nothing matches."""
-    best = anchor_scores(names, nodes, opts).orderBy(F.desc("score"), F.desc("depth"), "first", "prefix").first()
+    tries = _tries(names, opts)
+    scores = saved(_scores(tries, nodes), "scores")
+    two = scores.orderBy(F.desc("score"), F.desc("depth")).take(2)
+    best = two[0] if two else None
+    if len(two) == 2 and (two[1].score, two[1].depth) == (best.score, best.depth):
+        tied = scores.where((F.col("score") == best.score) & (F.col("depth") == best.depth)).select("prefix")
+        best = _firsts(tries, tied).orderBy("first", "prefix").first()
     return tuple(best.prefix.split(".")) if best and best.prefix else ()
 
 
@@ -88,18 +121,19 @@ def matched(names: DataFrame, nodes: DataFrame, opts: Options = Options()) -> Da
     paths = saved(meanings(nodes), "paths")
     anchor = opts.anchor if opts.anchor is not None else detected_anchor(names, paths, opts)
     rows = classified(names, anchor, opts)
-    rows = saved(rows.join(paths.select(F.col("path").alias("target"), F.col("id").alias("direct"), F.col("params").alias("only_param")), "target", "left"), "names")
+    # names elsewhere have no target; in a join they would all meet in the task of the null key
+    away = rows.where("class <> 'in'").select("var_ref", "full_name", F.when(F.col("class") == "excluded", "excluded").otherwise("mystery").alias("status"), F.lit(None).cast("long").alias("node"), "target", "rules")
+    inside = rows.where("class = 'in'").select("var_ref", "full_name", "is_parameter", "target")
+    inside = saved(inside.join(paths.select(F.col("path").alias("target"), F.col("id").alias("direct"), F.col("params").alias("only_param")), "target", "left"), "names")
     # only names without a direct hit need their variants
-    open_ = rows.where("class = 'in' AND direct IS NULL").select("target").distinct()
-    alias = alias_variants(open_).join(paths, "path").groupBy("target").agg(F.count("*").alias("ways"), F.max("id").alias("alias"), F.max("params").alias("alias_param")).where("ways = 1").drop("ways")
-    rows = rows.join(alias, "target", "left")
-    status = (
-        F.when(F.col("class") == "excluded", "excluded").when(F.col("class") == "out", "mystery")
-        .when(F.col("direct").isNotNull(), "direct").when(F.col("alias").isNotNull(), "alias")
-        .when(F.col("is_parameter") | F.coalesce("only_param", F.lit(False)) | F.coalesce("alias_param", F.lit(False)), "parameter").otherwise("unmatched")
-    )
-    rules = F.when(status == "alias", F.concat("rules", F.array(F.lit("InterfaceAlias")))).otherwise(F.col("rules"))
-    return rows.select("var_ref", "full_name", status.alias("status"), F.coalesce("direct", F.when(status == "alias", F.col("alias"))).alias("node"), "target", rules.alias("rules"))
+    open_ = inside.where("direct IS NULL")
+    alias = alias_variants(open_.select("target").distinct()).join(paths, "path").groupBy("target").agg(F.count("*").alias("ways"), F.max("id").alias("alias"), F.max("params").alias("alias_param")).where("ways = 1").drop("ways")
+    parameter = F.col("is_parameter") | F.coalesce("only_param", F.lit(False)) | F.coalesce("alias_param", F.lit(False))
+    status = F.when(F.col("alias").isNotNull(), "alias").when(parameter, "parameter").otherwise("unmatched")
+    rules = F.when(F.col("alias").isNotNull(), F.concat(_trail(anchor), F.array(F.lit("InterfaceAlias")))).otherwise(_trail(anchor))
+    rest = open_.join(alias, "target", "left").select("var_ref", "full_name", status.alias("status"), F.col("alias").alias("node"), "target", rules.alias("rules"))
+    direct = inside.where("direct IS NOT NULL").select("var_ref", "full_name", F.lit("direct").alias("status"), F.col("direct").alias("node"), "target", _trail(anchor).alias("rules"))
+    return direct.unionAll(rest).unionAll(away)
 
 
 def meanings(nodes: DataFrame) -> DataFrame:

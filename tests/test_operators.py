@@ -228,3 +228,24 @@ def test_pruned_tries_shared_parents_once(spark, monkeypatch):
     assert sorted(r.path or "" for r in kept.collect()) == ["", "a", "a.bb", "e.f"]
     # leaves aren't split into prefixes themselves
     assert tried == [{"a", "a.b", "e", "e.f"}]
+
+
+def test_names_elsewhere_stay_apart(spark):
+    """Names outside the anchor have no target; they don't meet in the task of a null key, nor do cuts that no path begins with get looked up."""
+    names = spark.range(0, 400, 1, 4).selectExpr("id AS var_ref", "CASE WHEN id % 100 = 0 THEN 'T.d.u.a' WHEN id % 2 = 0 THEN concat('X.', id) ELSE concat('T.y', id) END AS full_name", "false AS is_parameter")
+    nodes = spark.createDataFrame([(1, "Net", "a", "top.u.a", 0), (2, "Net", "z", "top.z", 0)], "id long, kind string, name string, path string, parent long")
+    opts = linkage.Options(excluded=("T",))
+    assert linkage.detected_anchor(names, nodes, opts) == ("T", "d")
+    tries = linkage._tries(names, opts)
+    assert {(r.prefix, r.score) for r in linkage._scores(tries, nodes).collect()} == {("T.d", 4)}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = linkage.matched(names, nodes, opts)
+        rows = found.withColumn("part", F.spark_partition_id()).groupBy("status", "part").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in rows) == 400
+    assert max(r["count"] for r in rows if r.status == "mystery") == 49 and max(r["count"] for r in rows if r.status == "excluded") == 50
