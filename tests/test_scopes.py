@@ -25,6 +25,15 @@ def test_scope_graph(spark):
     assert sorted((r.scope, r.box, r.signal) for r in made.dangling(wires).collect()) == [(0, 9, 10)]
 
 
+def test_dangling_without_wires(spark):
+    """No pair of pins is needed: a block that reads what it alone drives dangles, as does one whose select nobody reads."""
+    rows = [(0, "Instance", "top", "top", None, None, None, None), (1, "Net", "n", "top.n", 0, None, None, None), (2, "Net", "m", "top.m", 0, None, None, None), (3, "Net", "k", "top.k", 0, None, None, None)]
+    rows += [(i, "FF", f"f{i}", f"top.f{i}", 0, None, None, None) for i in range(10, 16)]
+    edges = [("a", 10, 1, "out", None), ("b", 10, 1, "in", None), ("c", 11, 2, "out", "[0]"), ("d", 12, 2, "in", "[1]"), ("e", 13, 2, "out", "[1]"), ("f", 14, 3, "out", "[2]"), ("g", 15, 3, "in", None), ("h", 15, 9, "out", None)]
+    made = scopegraph.Scopes(spark.createDataFrame(rows, NODES), spark.createDataFrame(edges, EDGES))
+    assert sorted(tuple(r) for r in made.dangling().collect()) == [(0, 10, 1), (0, 11, 2), (0, 15, 9)]
+
+
 def test_scope_graph_of_nothing(spark):
     made = scopegraph.Scopes(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES))
     assert made.wires().isEmpty()
