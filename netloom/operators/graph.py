@@ -49,10 +49,20 @@ def signal_join(edges: DataFrame) -> DataFrame:
 
     The rows are the wires of a net; use fanout_cap where nets are too wide to draw.
     """
-    drivers = edges.where("dir IN ('out', 'inout')").select(F.col("endpoint").alias("net"), F.col("port").alias("driver"), F.col("sel").alias("ds"))
-    loads = edges.where("dir IN ('in', 'inout')").select(F.col("endpoint").alias("net"), F.col("port").alias("load"), F.col("sel").alias("ls"))
-    pairs = drivers.join(loads, "net").where("driver <> load AND (ds IS NULL OR ls IS NULL OR ds = ls)")
-    return pairs.groupBy("net", F.least("driver", "load").alias("a"), F.greatest("driver", "load").alias("b")).agg(F.count("*").alias("ways")).select("net", "a", "b")
+    drives, reads = F.col("dir").isin("out", "inout"), F.col("dir").isin("in", "inout")
+    # a port's own edges on a net come first: what it drives and reads there; so a pair is met once, from its lesser port, and nothing is left to be grouped
+    sels = lambda when: F.collect_set(F.when(when & F.col("sel").isNotNull(), F.col("sel")))
+    ports = edges.where("endpoint IS NOT NULL AND port IS NOT NULL").where(drives | reads).groupBy(F.col("endpoint").alias("net"), "port").agg(
+        F.bool_or(drives & F.col("sel").isNull()).alias("d"), sels(drives).alias("ds"), F.bool_or(reads & F.col("sel").isNull()).alias("l"), sels(reads).alias("ls")
+    )
+    a = ports.select("net", F.col("port").alias("a"), F.struct("d", "ds", "l", "ls").alias("x"))
+    b = ports.select("net", F.col("port").alias("b"), F.struct("d", "ds", "l", "ls").alias("y"))
+
+    def meets(p: str, q: str) -> Column:
+        d, l, ds, ls = F.col(f"{p}.d"), F.col(f"{q}.l"), F.col(f"{p}.ds"), F.col(f"{q}.ls")
+        return (d & (l | (F.size(ls) > 0))) | (l & (F.size(ds) > 0)) | F.arrays_overlap(ds, ls)
+
+    return a.join(b, "net").where(F.col("a") < F.col("b")).where(meets("x", "y") | meets("y", "x")).select("net", "a", "b")
 
 
 def net_ties(nodes: DataFrame, edges: DataFrame, constants: DataFrame) -> DataFrame:

@@ -249,3 +249,11 @@ def test_names_elsewhere_stay_apart(spark):
             spark.conf.set(k, v)
     assert sum(r["count"] for r in rows) == 400
     assert max(r["count"] for r in rows if r.status == "mystery") == 49 and max(r["count"] for r in rows if r.status == "excluded") == 50
+
+
+def test_signal_join_groups_nothing_after_the_join(spark):
+    rows = [(1, 9, "out", "[0]"), (1, 9, "in", "[1]"), (2, 9, "in", "[0]"), (3, 9, "inout", None), (4, 9, "in", "[2]"), (5, 9, "in", "[1]"), (6, None, "inout", None), (3, 9, "inout", None)]
+    made = graph.signal_join(spark.createDataFrame(rows, "port long, endpoint long, dir string, sel string"))
+    assert sorted(tuple(r) for r in made.collect()) == [(9, 1, 2), (9, 1, 3), (9, 2, 3), (9, 3, 4), (9, 3, 5)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
