@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from netloom.functions import bits
 
 SIGNALS = ("Port", "Net", "Var")
+#: Rows that a task groups by name, on average.
+TASK_ROWS = 100_000
 
 
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -22,9 +24,10 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def name_collisions(nodes: DataFrame) -> DataFrame:
     """(parent, name, n): a scope's name given to several nodes, unless they are signals of one path."""
-    named = nodes.where("name <> '' AND parent IS NOT NULL").groupBy("parent", "name").agg(
-        F.count("*").alias("n"), F.countDistinct("path").alias("paths"), F.every(F.col("kind").isin(*SIGNALS)).alias("signals")
-    )
+    rows = nodes.where("name <> '' AND parent IS NOT NULL").select("parent", "name", "path", F.col("kind").isin(*SIGNALS).alias("signal"))
+    # dealt once, to as many tasks as the rows need, so that the table of a task that tells paths apart stays small however many rows there are
+    rows = rows.repartition(rows.count() // TASK_ROWS + 1, "parent", "name")
+    named = rows.groupBy("parent", "name").agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths"), F.every("signal").alias("signals"))
     return named.where("n > 1 AND NOT (paths = 1 AND signals)").select("parent", "name", "n")
 
 

@@ -257,3 +257,10 @@ def test_signal_join_groups_nothing_after_the_join(spark):
     assert sorted(tuple(r) for r in made.collect()) == [(9, 1, 2), (9, 1, 3), (9, 2, 3), (9, 3, 4), (9, 3, 5)]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_name_collisions_deal_rows_once(spark):
+    nodes = spark.createDataFrame([("Net", "a", "p.a", 1), ("Port", "a", "p.a", 1), ("Net", "b", "p.b", 1), ("Net", "b", "p.c", 1), ("FF", "d", "p.d", 1), ("FF", "d", "p.d", 1), ("Net", "e", None, 1), ("Net", "e", None, 1)], "kind string, name string, path string, parent long")
+    made = quality.name_collisions(nodes)
+    assert sorted((r.name, r.n) for r in made.collect()) == [("b", 2), ("d", 2), ("e", 2)]
+    assert made._jdf.queryExecution().sparkPlan().toString().count("RepartitionByExpression") + made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
