@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ DIGIT_BITS = {"hex": 4, "oct": 3, "bin": 1}
 UNIT_EXPONENT = {"zs": -21, "as": -18, "fs": -15, "ps": -12, "ns": -9, "us": -6, "ms": -3, "s": 0}
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out a single time, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_known(value: Column) -> Column:
     return value.rlike("^[01]+$")
 
@@ -23,8 +30,7 @@ def trim_bus(value: Column) -> Column:
 def _parts(value: Column, size: int) -> Column:
     """The value in pieces of ``size`` characters, the first one filled up with zeros."""
     count = F.greatest(F.ceil(F.length(value) / size), F.lit(1)).cast("int")
-    padded = F.lpad(value, count * size, "0")
-    return F.transform(F.sequence(F.lit(1), count), lambda k: F.substring(padded, (k - 1) * size + 1, F.lit(size)))
+    return F.regexp_extract_all(F.lpad(value, count * size, "0"), F.lit(rf"[\s\S]{{{size}}}"), F.lit(0))
 
 
 def grouped(value: Column, bits: int) -> Column:
@@ -51,15 +57,18 @@ def _carried(limbs: Column, factor: int, plus: Column) -> Column:
 
 
 def _digits(limbs: Column) -> Column:
-    return trim_bus(F.array_join(F.transform(F.reverse(limbs), lambda d: F.lpad(d.cast("string"), 9, "0")), ""))
+    return once(F.array_join(F.transform(F.reverse(limbs), lambda d: F.lpad(d.cast("string"), 9, "0")), ""), trim_bus)
 
 
 def decimal(value: Column) -> Column:
     """Unsigned decimal of any width; x if any bit is unknown. Beyond 63 bits, 28 bits at a time are folded into limbs of nine digits."""
-    cut = F.regexp_replace(value, "^0+(?=.)", "")
-    parts = F.transform(_parts(cut, 28), lambda part: F.conv(part, 2, 10).cast("long"))
-    wide = _digits(F.aggregate(parts, F.array().cast("array<long>"), lambda limbs, part: _carried(limbs, 1 << 28, part)))
-    return F.when(value == "", "").when(~is_known(value), "x").when(F.length(cut) <= 63, F.conv(cut, 2, 10)).otherwise(wide)
+
+    def shown(cut: Column) -> Column:
+        parts = F.transform(_parts(cut, 28), lambda part: F.conv(part, 2, 10).cast("long"))
+        wide = _digits(F.aggregate(parts, F.array().cast("array<long>"), lambda limbs, part: _carried(limbs, 1 << 28, part)))
+        return F.when(cut == "", "").when(~is_known(cut), "x").when(F.length(cut) <= 63, F.conv(cut, 2, 10)).otherwise(wide)
+
+    return once(F.regexp_replace(value, "^0+(?=.)", ""), shown)
 
 
 def plus(number: Column, more: Column) -> Column:

@@ -47,7 +47,10 @@ def logic_role(keyword: Column, clocked: Column) -> Column:
 
 def parse_int(literal: Column) -> Column:
     """Value of a sized or plain integer literal of any width, as decimal digits, underscores left out; null if a digit is unknown."""
-    clean = F.lower(F.regexp_replace(literal, "_", ""))
+    return bits.once(F.lower(F.regexp_replace(literal, "_", "")), _parsed)
+
+
+def _parsed(clean: Column) -> Column:
     short = lambda number: F.regexp_replace(number, "^0+(?=.)", "")
     number = lambda letter, digits: F.regexp_extract(clean, rf"^[0-9]*'s?{letter}([{digits}]+)$", 1)
     # each digit of a power-of-two base as its bits

@@ -259,6 +259,13 @@ def test_signal_join_groups_nothing_after_the_join(spark):
     assert "Aggregate" not in plan[: plan.index("Join")]
 
 
+def test_literals_are_cleaned_once(spark):
+    wide = "".join(random.Random(5).choice("0123456789abcdef") for _ in range(600))
+    rows = spark.createDataFrame([(f"2400'h{wide}",), ("8'b1x0",), ("12'o7_7",), ("'d007",), ("0",), (None,)], "t string").select("t", quality.parse_int(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in rows.collect()} == {f"2400'h{wide}": str(int(wide, 16)), "8'b1x0": None, "12'o7_7": "63", "'d007": "7", "0": "0", None: None}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(t") == 1
+
+
 def test_name_collisions_deal_rows_once(spark):
     nodes = spark.createDataFrame([("Net", "a", "p.a", 1), ("Port", "a", "p.a", 1), ("Net", "b", "p.b", 1), ("Net", "b", "p.c", 1), ("FF", "d", "p.d", 1), ("FF", "d", "p.d", 1), ("Net", "e", None, 1), ("Net", "e", None, 1)], "kind string, name string, path string, parent long")
     made = quality.name_collisions(nodes)
