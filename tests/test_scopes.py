@@ -111,3 +111,10 @@ def test_interface_interior(spark):
     pins, wires = scopegraph.interface_interiors(nodes, links, spark.createDataFrame(members, "modport_id long, pos int, member string, dir string"))
     assert {(r.source, r.target, r.net) for r in wires.collect()} == {("2", "5/2", "clk"), ("5/3", "6/3", "v"), ("5/4", "6/4", "d"), ("frame/5", "5/3", "v"), ("frame/5", "5/4", "d"), ("frame/6", "6/3", "v"), ("frame/6", "6/4", "d")}
     assert {(r.box, r.pin, r.side, r.bundle) for r in pins.collect()} == {(2, "2", "east", False), (5, "5/2", "west", False), (5, "5/3", "east", False), (5, "5/4", "west", False), (6, "6/3", "west", False), (6, "6/4", "west", False), (5, "frame/5", "west", True), (6, "frame/6", "west", True)}
+
+
+def test_boxes_need_no_pins(spark):
+    """What only pins and wires need isn't worked out for the boxes of the gate level."""
+    nodes = spark.createDataFrame([(0, "Instance", "top", "top", None, None, None, None), (1, "Assign", "a", "top.a", 0, None, None, None), (2, "And", "g", "top.a.g", 1, None, None, None)], NODES)
+    made = scopegraph.Scopes(nodes, spark.createDataFrame([], EDGES), gates=True)
+    assert [tuple(r) for r in made.boxes.collect()] == [(0, 2, "And")] and not made._tables
