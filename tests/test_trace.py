@@ -302,3 +302,29 @@ def test_traces_equal_a_walk(spark, seed, boxes, fanout):
 def test_nothing(spark):
     made = trace.trace_graph(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES), spark.createDataFrame([(1, 1, 5, "out", 2, None)], trace.STEPS))
     assert [t.count() for t in made] == [0, 0, 0, 1]
+
+
+def test_only_what_lies_around_a_trace_is_written(spark, monkeypatch):
+    """A net with two readers beside 300 boxes that no trace comes near."""
+    nodes = [(0, "Instance", "top", "top", None, None, None, None), (1, "Net", "w", "top.w", 0, None, None, None)]
+    edges = []
+    for k in range(2, 304):
+        nodes += [(10 * k, "Instance", f"b{k}", f"top.b{k}", 0, None, None, None), (10 * k + 1, "Port", "i", f"top.b{k}.i", 10 * k, "in", None, None), (10 * k + 2, "Net", "i", f"top.b{k}.i", 10 * k, None, None, None)]
+        nodes += [(10 * k + 3, "FF", "f", f"top.b{k}.f", 10 * k, None, None, None)]
+        edges += [(f"a{k}", 10 * k + 3, 10 * k + 2, "in", None)] + ([(f"b{k}", 10 * k + 1, 1, "in", None)] if k < 4 else [])
+    written = {}
+
+    def counted(df, name):
+        out = saved(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    saved = trace.saved
+    for module in (trace, trace.hierarchy):
+        monkeypatch.setattr(module, "saved", counted)
+    steps = spark.createDataFrame([(7, 1, 1, "out", 1, None)], trace.STEPS)
+    drawn, _, wires, _ = trace.trace_graph(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES), steps)
+    assert sorted((r.node, r.kind, r.boxed) for r in drawn.collect()) == [(1, "Net", False), (20, "Instance", True), (30, "Instance", True)]
+    assert sorted((r.source, r.target, r.net) for r in wires.collect()) == [("1", "21", "w"), ("1", "31", "w")]
+    assert written.pop("twins") == 604
+    assert max(written.values()) < 20, written
