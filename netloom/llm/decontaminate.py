@@ -4,7 +4,8 @@
 2. A randomised SVD of the TF-IDF matrix of passages gives the latent space: the matrix times a random test matrix, twice through
    its transpose, is summed over partitions; only matrices of features times rank meet on the driver.
 3. Every window of every document goes into that space, and cosines with all passages give candidates, block by block. Where items are
-   shorter than a window, shorter windows are searched too. A window that holds fewer of the benchmark's words than the shortest item needs is left out.
+   shorter than a window, shorter windows are searched too. A window that holds fewer of the benchmark's words than the shortest item needs is left out, and
+   so is one whose surroundings hold too few of any item's words for the last step.
 4. The longest common subsequence of the item's and the region's words, and of the item's answer (its last sentence), confirm.
 """
 
@@ -34,6 +35,8 @@ COVER = 0.25
 MOST_WORDS, MOST_BYTES = 60_000, 8_000_000
 #: Windows and passages that are compared at once.
 BLOCK = 2048
+#: Words whose windows share a look at what their surroundings hold, and entries (words times items) of the table for it; a benchmark beyond has every window searched.
+SHARED, MOST_COUNTS = 64, 16_000_000
 
 # Bytes that belong to no word: ASCII but letters and digits.
 _OTHER = np.zeros(256, bool)
@@ -78,6 +81,11 @@ class Index:
     passages: np.ndarray  # rank x passages, of length 1
     weights: np.ndarray  # lengths that passages had
     owner: np.ndarray
+    counts: np.ndarray | None = None  # features x items: how often an item has a word
+
+    def reach(self) -> int:
+        """Words beside a window that the last step looks at, at most."""
+        return max((len(x) + min(WINDOW, len(x)) for x in self.items), default=0)
 
     def widths(self) -> list[int]:
         """Words of a window: WINDOW, and halves of it down to the shortest item."""
@@ -151,7 +159,45 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int
     latent = np.stack([weighted[x].sum(axis=0) for x in at])
     weights = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
     latent /= weights[:, None]
-    return Index(ids, items, answers, keys, idf, weighted, np.ascontiguousarray(latent.T), weights, owner)
+    return Index(ids, items, answers, keys, idf, weighted, np.ascontiguousarray(latent.T), weights, owner, _counts(items, features))
+
+
+def _counts(items: list[list[int]], features: np.ndarray) -> np.ndarray | None:
+    if len(features) * len(items) > MOST_COUNTS:
+        return None
+    counts = np.zeros((len(features), len(items)), np.float32)
+    for k, words in enumerate(items):
+        np.add.at(counts[:, k], np.searchsorted(features, np.array(words, np.uint64)), 1)
+    return counts
+
+
+def _able(index: Index, found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each word whether what the last step looks at around a window that starts there may hold enough words of some item.
+
+    ``SHARED`` words of a row are looked at together. An item's longest common subsequence has at most those of its words that occur.
+    """
+    if index.counts is None:
+        return np.ones(len(found), bool)
+    able, sizes, reach = np.zeros(len(found), bool), np.diff(bounds), index.reach()
+    n = (sizes + SHARED - 1) // SHARED
+    row = np.repeat(np.arange(len(sizes)), n)
+    start = bounds[:-1][row] + (np.arange(len(row)) - (np.cumsum(n) - n)[row]) * SHARED
+    end = np.minimum(start + SHARED, bounds[1:][row])
+    low, high = np.maximum(start - reach, bounds[:-1][row]), np.minimum(end + WINDOW + reach, bounds[1:][row])
+    least = COMMON * np.array([max(len(x), 1) for x in index.items]) - 1e-6
+    width, part = len(index.counts), max(1, 4_000_000 // (len(index.counts) + 1))
+    for k in range(0, len(row), part):
+        a, size = low[k : k + part], (high - low)[k : k + part]
+        at = np.arange(size.sum()) + np.repeat(a - (np.cumsum(size) - size), size)
+        held = np.zeros((len(a), width + 1), bool)
+        held[np.repeat(np.arange(len(a)), size), found[at]] = True  # -1: the last column
+        which, words = np.nonzero(held[:, :width])
+        first = np.searchsorted(which, np.arange(len(a) + 1))
+        for j in range(len(a)):
+            some = words[first[j] : first[j + 1]]
+            if len(some) and (index.counts[some].sum(axis=0) >= least).any():
+                able[start[k + j] : end[k + j]] = True
+    return able
 
 
 def _singular(matrix: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
@@ -197,8 +243,8 @@ def _features(column: pa.Array, keys: Keys) -> Iterator[tuple[np.ndarray, np.nda
         yield words, found[some].astype(np.int64), rows[some], len(at) - 1
 
 
-def _windows(near: set[tuple[int, int, int, int]], index: Index, found: np.ndarray, bounds: np.ndarray, space: np.ndarray, width: int) -> None:
-    """Adds (row, item, first word, width) of windows of ``width`` words close to a passage of the item."""
+def _windows(near: set[tuple[int, int, int, int]], index: Index, found: np.ndarray, bounds: np.ndarray, able: np.ndarray, space: np.ndarray, width: int) -> None:
+    """Adds (row, item, first word, width) of windows of ``width`` words, of those that start at ``able`` words, close to a passage of the item."""
     known = np.concatenate([[0], np.cumsum(found >= 0)])
     # windows: every few words, and the last one; a short text is one window
     step, counts = width // TEXT_STEPS, np.diff(bounds)
@@ -208,7 +254,7 @@ def _windows(near: set[tuple[int, int, int, int]], index: Index, found: np.ndarr
     start = (np.arange(len(rows)) - first[rows]) * step
     start = bounds[:-1][rows] + np.minimum(start, np.maximum(counts[rows] - width, 0))
     end = np.minimum(start + width, bounds[1:][rows])
-    some = np.flatnonzero(known[end] - known[start] >= np.minimum(KNOWN * (end - start), index.least()))
+    some = np.flatnonzero(able[start] & (known[end] - known[start] >= np.minimum(KNOWN * (end - start), index.least()))) if len(start) else start
     padded = np.concatenate([found, np.full(width, -1, found.dtype)])
     for k in range(0, len(some), BLOCK):
         part = some[k : k + BLOCK]
@@ -225,14 +271,14 @@ def _windows(near: set[tuple[int, int, int, int]], index: Index, found: np.ndarr
             latent[i] = space[padded[start[part[i]] : end[part[i]]]].sum(axis=0)
         # both lengths are taken in the latent space: what lies outside it (unknown words, dimensions beyond the rank) is the last step's to refuse
         length = np.sqrt(np.einsum("ij,ij->i", latent, latent))
-        able = np.flatnonzero(length > 1e-6)
-        if not len(able):
+        long = np.flatnonzero(length > 1e-6)
+        if not len(long):
             continue
-        latent, length = latent[able], length[able]
+        latent, length = latent[long], length[long]
         for j in range(0, index.passages.shape[1], BLOCK):
             near_by = latent @ index.passages[:, j : j + BLOCK]
             i, p = np.nonzero(near_by >= np.maximum(COSINE * length[:, None], COVER * index.weights[j : j + BLOCK][None]))
-            near.update(zip(rows[part[able[i]]].tolist(), index.owner[j + p].tolist(), start[part[able[i]]].tolist(), [width] * len(i)))
+            near.update(zip(rows[part[long[i]]].tolist(), index.owner[j + p].tolist(), start[part[long[i]]].tolist(), [width] * len(i)))
 
 
 def _searched(texts: list[str], index: Index) -> list[dict[int, float]]:
@@ -244,21 +290,19 @@ def _searched(texts: list[str], index: Index) -> list[dict[int, float]]:
     found = index.keys.get(words)
     space = np.vstack([index.basis, np.zeros((1, index.basis.shape[1]), np.float32)])  # -1: no feature
     near: set[tuple[int, int, int, int]] = set()
+    able = _able(index, found, bounds)
     for width in index.widths():
-        _windows(near, index, found, bounds, space, width)
-    done: dict[tuple[int, int], int] = {}
+        _windows(near, index, found, bounds, able, space, width)
     vocabulary: dict[int, set[int]] = {}
     for row, item, at, width in sorted(near):
         wanted = index.items[item]
         margin = len(wanted) + min(WINDOW, len(wanted))
-        if done.get((row, item), -1) >= at:
-            continue
         a, b = max(int(bounds[row]), at - margin), min(int(bounds[row + 1]), at + width + margin)
-        done[row, item] = at + width // 2
         # words that the item doesn't have add nothing to a common subsequence
         wordy = vocabulary.setdefault(item, set(wanted))
         region = [w for w in words[a:b].tolist() if w in wordy]
-        if len(region) < COMMON * len(wanted):
+        held = set(region)
+        if sum(w in held for w in wanted) < COMMON * len(wanted):
             continue
         share = common_length(wanted, region) / len(wanted)
         answer = index.answers[item]
