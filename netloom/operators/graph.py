@@ -71,7 +71,7 @@ def net_ties(nodes: DataFrame, edges: DataFrame, constants: DataFrame) -> DataFr
     ``constants`` (id, constant). Edges inside a group are no drivers.
     """
     groups = signal_groups(nodes).withColumnRenamed("id", "node")
-    near = incident(edges).join(groups, "node").join(groups.select(F.col("node").alias("other"), F.col("group").alias("og")), "other")
+    near = incident(edges).hint("merge").join(groups, "node").join(groups.select(F.col("node").alias("other"), F.col("group").alias("og")), "other")
     near = near.where((F.col("group") != F.col("og")) & box_drives(F.col("is_port"), F.col("dir")))
     one = near.groupBy("group").agg(F.count("*").alias("n"), F.count("sel").alias("selects"), F.min("other").alias("id")).where("n = 1 AND selects = 0")
     logic = nodes.where("kind IN ('Assign', 'Comb')").select("id").join(constants.where("constant IS NOT NULL"), "id")

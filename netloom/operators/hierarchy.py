@@ -8,11 +8,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.lookup import best_kind
-from netloom.operators.store import saved
+from netloom.operators.store import planned, saved
 
 #: Levels after which a walk upwards looks for pairs that it has met before.
 DEEP = 32
@@ -108,22 +108,22 @@ def nearest(nodes: DataFrame, wanted: DataFrame | Column, proper: bool = False,
         rows = rows.unionByName(marks, allowMissingColumns=True)
     kind = rows.schema["up"].dataType.simpleString()
     schema = ", ".join([f"up {kind}", f"next {kind}", "done boolean", "hit boolean", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)])
-    base = saved(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_shortened, schema), "links")
+    links, seen = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_shortened, schema), Observation()
+    base = saved(links.observe(seen, F.count(F.lit(1)).alias("n")), "links")
+    size = seen.get["n"]
     parts, active, rounds = [base.where("done")], base.where("NOT done"), 0
     while not active.isEmpty():
         # (up, next, done, hit): done once up is wanted or there is nothing above
-        if not rounds:
-            last = base.count().bit_length() + 1
-        elif rounds == last:
+        if rounds == size.bit_length() + 1:
             break
         hop = reduce(DataFrame.unionAll, [p.select("up", "next", "done", "hit") for p in (*parts, active)])
-        hop = hop.select(F.col("up").alias("next"), F.col("next").alias("beyond"), F.col("done").alias("end"), F.col("hit").alias("found"))
+        hop = planned(hop, size).select(F.col("up").alias("next"), F.col("next").alias("beyond"), F.col("done").alias("end"), F.col("hit").alias("found"))
         move = active.join(hop, "next", "left").select("up", F.col("beyond").alias("next"), F.coalesce("end", F.lit(True)).alias("done"), F.coalesce("found", F.lit(False)).alias("hit"), *keep)
         move, rounds = saved(move, "links"), rounds + 1
         parts.append(move.where("done"))
         active = move.where("NOT done")
     found = reduce(DataFrame.unionAll, parts).unionAll(active.withColumn("hit", F.lit(False)))
-    found = found.select(F.col("up").alias("id"), F.when(F.col("hit"), F.col("next")).alias("ancestor"), *keep)
+    found = planned(found, size).select(F.col("up").alias("id"), F.when(F.col("hit"), F.col("next")).alias("ancestor"), *keep)
     if not proper:
         return found
     return nodes.select("id", "parent").join(found.withColumnRenamed("id", "parent"), "parent", "left").select("id", "ancestor")

@@ -91,7 +91,7 @@ def access_ports(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> Data
     many connections drive it as read it. Connections from inside, and gates' taps, don't count.
     """
     bare = nodes.where("kind = 'Interface' AND modport IS NULL").select(F.col("id").alias("box"))
-    inside = bare.select("box", F.col("box").alias("node")).unionAll(nodes.select(F.col("parent").alias("box"), F.col("id").alias("node")).join(bare, "box", "left_semi"))
+    inside = bare.select("box", F.col("box").alias("node")).unionAll(nodes.select(F.col("parent").alias("box"), F.col("id").alias("node")).join(bare, "box", "left_semi")).hint("merge")
     at = nodes.select(F.col("id").alias("port"), F.col("kind").alias("pk"), F.col("modport").alias("pm"), F.col("parent").alias("pp"))
     above = nodes.where("kind = 'Interface'").select(F.col("id").alias("pp"), F.col("modport").alias("am"))
     view = F.when(F.col("pk") == "Interface", F.col("pm")).otherwise(F.col("am"))

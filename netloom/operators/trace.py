@@ -4,7 +4,7 @@ A trace is a list of steps, each a walk of some hops from a seed. Its state is k
 shows), visited nodes, wires, what was left out. A hop is one round of joins over all traces. What a walk decides in order (the first ``fanout``
 connections of a signal, the ``boxes`` that fit on the canvas, which of two wires between two pins stays) is decided by comparing
 order keys: the place of the signal in the frontier, then the name of the edge. So a hop costs the same plan however wide it is. A hop reads the
-design, but joins and writes only what lies around its signals.
+design, but joins and writes only what lies around its signals. Tables of more than ``store.MOST_ROWS`` rows aren't broadcast, unions of them neither; ids are, up to ``MOST_IDS``.
 
 Nodes are (id, kind, name, path, parent, dir, modport, const), edges (edge, port, endpoint, dir, sel). A pin is a string: a node's id, ``box/signal`` for a
 pin made for a logic box, ``raw/box`` for what reaches an interface without a view; a stub's pin is its signal's id.
@@ -19,12 +19,14 @@ from netloom.operators import graph, hierarchy
 from netloom.operators.graph import Limits
 from netloom.operators.schematic import LOGIC, navigable
 from netloom.operators.scopegraph import BOXES, access_ports
-from netloom.operators.store import saved
+from netloom.operators.store import sized as saved
 
 SIGNALS = ("Port", "Net", "Var")
 _SIGNAL = f"kind IN {SIGNALS}"
 #: Ids of what a hop looks at that are broadcast, at most; more are shuffled.
 MOST_IDS = 500_000
+#: Ids of one block, by which rows are sorted out before a shuffle.
+NEAR = 256
 STEPS = "trace long, step int, seed long, dir string, depth int, fanout int"
 
 
@@ -58,10 +60,17 @@ def shown_pins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` is one of ``ids`` (one column of a written table, each id once), which are broadcast if they are few."""
-    few = ids.count() <= MOST_IDS
-    wanted = ids.select(F.col(ids.columns[0]).alias(column))
-    return rows.join(F.broadcast(wanted) if few else wanted, column, "left_semi").select(rows.columns)
+    """Rows whose ``column`` is one of ``ids`` (one column of a written table, each id once), which are broadcast if they are few.
+
+    Of many ids the blocks of ``NEAR`` neighbours are broadcast first, if those are few: only rows of such a block are shuffled.
+    """
+    wanted, names = ids.select(F.col(ids.columns[0]).alias(column)), rows.columns
+    if ids.count() <= MOST_IDS:
+        return rows.join(F.broadcast(wanted), column, "left_semi").select(names)
+    blocks = saved(wanted.select(F.floor(F.col(column) / NEAR).alias("block")).distinct(), "blocks")
+    if blocks.count() <= MOST_IDS:
+        rows = rows.join(F.broadcast(blocks), F.floor(F.col(column) / NEAR) == F.col("block"), "left_semi")
+    return rows.join(wanted, column, "left_semi").select(names)
 
 
 class Design:
@@ -105,7 +114,7 @@ class Design:
             if up.isEmpty():
                 return found
             level = saved(_among(self.nodes, up, "id"), "found")
-            found = found.unionAll(level)
+            found = saved(found.unionAll(level), "found")
 
     def beyond(self, boxes: DataFrame) -> DataFrame:
         """(box, edge, next, next_rep): what a walk goes on to from ``boxes`` (box); literals are drawn inline."""
@@ -133,7 +142,7 @@ class Design:
         while not level.isEmpty():
             kids = _among(self.nodes, saved(level, "ids"), "parent").join(under.select("id"), "id", "left_anti").select(under.columns)
             kids = saved(kids, "under")
-            under, level = under.unionAll(kids), kids.where("kind = 'GenBlock'").select("id")
+            under, level = saved(under.unionAll(kids), "under"), kids.where("kind = 'GenBlock'").select("id")
         return hierarchy.cone_root(found, navigable(under))
 
 
@@ -147,7 +156,7 @@ class Around:
         # a pin may be that of another node of the path
         found = design.above(saved(design.named(ids).select(F.col("node").alias("id")).distinct(), "ids"))
         nodes, edges = self._with_taps(design, found)
-        edges = edges.unionAll(walked)
+        edges = saved(edges.unionAll(walked), "edges")
         home = saved(homes(found), "homes")
         #: (id, kind): nodes that the hop may meet
         self.kinds = found.select("id", "kind")
@@ -160,7 +169,7 @@ class Around:
         at = design.grouped(found.where("path IS NOT NULL OR NOT " + _SIGNAL).select("id", "kind", "path").join(home, "id"), "id")
         at = at.select(F.col("id").alias("node"), "home", F.col("group").alias("rep"), F.when(F.col("kind").isin(*SIGNALS), F.col("group")).alias("free"), F.col("kind").alias("node_kind"), "path")
         both = walked.select("edge", F.col("port").alias("node"), F.col("endpoint").alias("other"), F.lit(True).alias("is_port"), "dir", "sel", "endpoint")
-        both = both.unionAll(walked.select("edge", F.col("endpoint"), F.col("port"), F.lit(False), "dir", "sel", "endpoint").where("port <> endpoint"))
+        both = both.unionAll(walked.select("edge", F.col("endpoint"), F.col("port"), F.lit(False), "dir", "sel", "endpoint").where("port <> endpoint")).hint("merge")
         ends = saved(self._anchored(both.join(at, "node"), shown, made, found), "ends")
         far = ends.select("edge", F.col("node").alias("other"), F.col("rep").alias("other_rep"), F.col("home").alias("box"), "pin", "free", F.col("node_kind").alias("other_kind")).distinct()
         own = ends.select("edge", "node", "other", "rep", "is_port", "dir", "sel", F.when(F.col("home") == F.col("node"), F.col("pin")).alias("own_pin")).join(near.select(F.col("id").alias("node")), "node", "left_semi")
@@ -182,7 +191,7 @@ class Around:
         tapping = saved(_among(design.nodes, saved(taps.select("port").distinct(), "ids"), "id"), "nodes")
         parents = _among(design.nodes, saved(tapping.select("parent").distinct(), "ids"), "id")
         more = kids.unionAll(tapping).unionAll(parents).distinct().join(found.select("id"), "id", "left_anti").select(found.columns)
-        return found.unionAll(saved(more, "nodes")), edges.unionAll(taps)
+        return saved(found.unionAll(more), "nodes"), edges.unionAll(taps)
 
     def _anchored(self, ends: DataFrame, shown: DataFrame, made: DataFrame, nodes: DataFrame) -> DataFrame:
         """Ends of edges with the pin of their box: the node's own, else the far node's inside the box, else that of the node's path; made pins for logic boxes."""
@@ -274,7 +283,7 @@ class Traces:
             """Groups with a stub of their own: seeds, ports with a backing net, and signals with one side only; ``one``: the side that the stub takes."""
             sides = kept.groupBy("trace", "rep").agg(F.bool_or("drives").alias("d"), F.bool_or(~F.col("drives")).alias("l"))
             at = groups.join(sides, ["trace", "rep"], "left").join(sizes, "rep", "left").join(near.kinds.select(F.col("id").alias("rep"), "kind"), "rep")
-            boxed = self.canvas.where("boxed").unionByName(first(kept)[0].select("trace", F.col("box").alias("id"), F.lit(True).alias("boxed"), F.lit(0).alias("round")))
+            boxed = self.canvas.where("boxed").unionByName(first(kept)[0].select("trace", F.col("box").alias("id"), F.lit(True).alias("boxed"), F.lit(0).alias("round"))).hint("merge")
             at = at.join(boxed.select("trace", F.col("id").alias("rep")).distinct(), ["trace", "rep"], "left_anti")
             has_d, has_l = F.coalesce("d", F.lit(False)), F.coalesce("l", F.lit(False))
             at = at.withColumn("one", F.when(has_d != has_l, F.when(has_d, "load").otherwise("driver")))
@@ -339,7 +348,7 @@ class Traces:
         wires = direct.unionAll(inwards).unionAll(outwards).unionAll(straight).where("source <> target").withColumns({"a": F.least("source", "target"), "b": F.greatest("source", "target")})
         wires = wires.groupBy("trace", "a", "b").agg(F.min_by(F.struct("source", "target", F.col("rep").alias("key"), "sel"), "at").alias("w")).join(self.wires.select("trace", "a", "b"), ["trace", "a", "b"], "left_anti")
         self.wires = saved(self.wires.unionAll(wires.select("trace", "w.source", "w.target", "w.key", "w.sel", "a", "b")), "wires")
-        pins = stubs.select("trace", "rep", _text("rep").alias("pin")).unionAll(ends.select("trace", "rep", "pin").join(stubs, ["trace", "rep"], "left_anti"))
+        pins = stubs.select("trace", "rep", _text("rep").alias("pin")).unionAll(ends.select("trace", "rep", "pin").join(stubs, ["trace", "rep"], "left_anti")).hint("merge")
         self.more = saved(self.more.unionAll(cut.join(pins, ["trace", "rep"], "left").groupBy("trace", "pin").agg(F.sum("dropped").alias("more"))), "more")
 
     def _onwards(self, near: Around, groups: DataFrame, kept: DataFrame, lost: DataFrame) -> DataFrame:
@@ -376,7 +385,8 @@ class Traces:
         pins = saved(self.pins.distinct(), "pins")
         level, around = self.canvas.select("trace", "id"), None
         while True:
-            level = saved(level.join(inside, "id").select("trace", F.col("ancestor").alias("id")).distinct() if around is None else level.join(inside, "id").select("trace", F.col("ancestor").alias("id")).distinct().join(around, ["trace", "id"], "left_anti"), "around")
+            up = level.join(inside, "id").select("trace", F.col("ancestor").alias("id")).distinct()
+            level = saved(up if around is None else up.join(around.hint("merge"), ["trace", "id"], "left_anti"), "around")
             if level.isEmpty():
                 break
             around = level if around is None else around.unionAll(level)
@@ -385,7 +395,7 @@ class Traces:
         boxes = self.canvas.where("boxed").select("trace", "id", F.lit(False).alias("container")).unionAll(containers.select("trace", "id", F.lit(True)))
         taken = boxes.join(pins, F.col("id") == F.col("box")).select("trace", "pin", "box")
         stubs = self.canvas.where("NOT boxed").select("trace", "id").withColumn("pin", _text("id")).join(taken.select("trace", "pin").distinct(), ["trace", "pin"], "left_anti")
-        live = self.wires.select("trace", F.col("source").alias("pin")).unionAll(self.wires.select("trace", F.col("target").alias("pin"))).unionAll(self.more.where("pin IS NOT NULL").select("trace", "pin")).distinct()
+        live = self.wires.select("trace", F.col("source").alias("pin")).unionAll(self.wires.select("trace", F.col("target").alias("pin"))).unionAll(self.more.where("pin IS NOT NULL").select("trace", "pin")).distinct().hint("merge")
         alive = taken.join(live, ["trace", "pin"]).select("trace", F.col("box").alias("id")).unionAll(stubs.join(live, ["trace", "pin"], "left_semi").select("trace", "id"))
         alive = saved(alive.unionAll(self.seeds.select("trace", F.col("rep").alias("id"))).distinct().withColumn("alive", F.lit(True)), "alive")
         nodes = boxes.withColumn("boxed", F.lit(True)).unionByName(stubs.select("trace", "id", F.lit(False).alias("container"), F.lit(False).alias("boxed")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators import trace
 from netloom.operators.graph import Limits
-from netloom.operators.store import saved
+from netloom.operators.store import sized
 from netloom.plans.queries import Data, query
 
 # w: nets of the top; d, q: a customer's port that reads its net, and the one that drives it; hop: the two readers of a net that are followed first.
@@ -31,7 +31,7 @@ def _items(made: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame
 
 def _traced(d: Data, *steps: tuple[str, str, int, int | None]) -> DataFrame:
     """One trace a net of the top; a step's seed is the net, or the first port that drives it."""
-    nodes, edges = saved(d.chip, "chip"), saved(d.chip_edges, "chip_edges")
+    nodes, edges = sized(d.chip, "chip"), sized(d.chip_edges, "chip_edges")
     nets = nodes.where("kind = 'Net' AND parent = 0").select(F.col("id").alias("net"))
     first = edges.where("dir = 'out'").join(nets, F.col("endpoint") == F.col("net")).groupBy("net").agg(F.min("port").alias("port"))
     at = nets.join(first, "net", "left")

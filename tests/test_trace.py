@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from netloom.operators import trace
+from netloom.operators import store, trace
 from netloom.operators.graph import Limits
 
 NODES = "id long, kind string, name string, path string, parent long, dir string, modport string, const string"
@@ -328,3 +328,18 @@ def test_only_what_lies_around_a_trace_is_written(spark, monkeypatch):
     assert sorted((r.source, r.target, r.net) for r in wires.collect()) == [("1", "21", "w"), ("1", "31", "w")]
     assert written.pop("twins") == 604
     assert max(written.values()) < 20, written
+
+
+def test_many_rows_are_not_broadcast(spark, monkeypatch):
+    """Of many rows on both sides none is broadcast, whatever their files' size; ids that are shuffled are first told apart by their blocks."""
+    monkeypatch.setattr(store, "MOST_ROWS", 2)
+    few, many = store.sized(spark.range(2), "few"), store.sized(spark.range(3), "many")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(many.join(many.where("id > 0").groupBy("id").count(), "id")) and "BroadcastHashJoin" in plan(few.join(few.select("id"), "id"))
+    monkeypatch.setattr(trace, "MOST_IDS", 2)
+    rows = store.sized(spark.range(0, 3_000).selectExpr("id", "id AS x"), "rows")
+    found = trace._among(rows, store.sized(spark.createDataFrame([(5,), (6,), (300,), (9_000,)], "k long"), "ids"), "id")
+    assert sorted(r.id for r in found.collect()) == [5, 6, 300]
+    monkeypatch.setattr(trace, "MOST_IDS", 3)
+    found = trace._among(rows, store.sized(spark.createDataFrame([(5,), (6,), (300,), (2_999,)], "k long"), "ids"), "id")
+    assert sorted(found.collect()) == [(5, 5), (6, 6), (300, 300), (2_999, 2_999)] and found.columns == ["id", "x"] and "BroadcastHashJoin" in plan(found)
