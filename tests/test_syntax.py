@@ -179,3 +179,23 @@ def test_nearest_exchanges_neighbours_once(spark):
     assert found.where("ancestor = 0").count() == 4096
     # a chain of 4,096 took 13 rounds of writing all nodes
     assert counted == ["links"]
+
+
+def test_trees_inside_blocks_take_one_exchange(spark, monkeypatch):
+    """Reads and stores of trees that lie in a block of ids are worked out there; trees across blocks and cycles of parents give the same either way."""
+    rows = expressions(7, 60, 8)
+    n = len(rows)
+    rows += [(n + k, n + (k + 1) % 5, "value", ("MemberAccess", "NamedValue", "BinaryOp")[k % 3], f"top.c{k}" if k % 3 == 1 else None) for k in range(5)] + [(n + 5, n + 2, "operand", "NamedValue", "top.c9")]
+    tree = spark.createDataFrame(rows, TREE)
+    roots = tree.where(f"id % 3 = 0 OR parent IS NULL OR id = {n + 1}").select("id")
+    joined = {tuple(r) for r in syntax._joined_refs(tree.select("id", "parent", F.when(F.col("kind").isin(*syntax.VALUES), F.col("path")).alias("path")), roots).collect()}, {tuple(r) for r in syntax._joined_bases(tree, roots).collect()}
+    assert any(p == "top.c9" for _, p in joined[0])
+    for block in (16, 4):
+        monkeypatch.setattr(hierarchy, "BLOCK", block)
+        for made, want in zip((syntax.value_refs, syntax.lvalue_bases), joined):
+            df = made(tree, roots)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            got = [tuple(r) for r in df.collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+            if block == 16:
+                assert plan.count("Exchange hashpartitioning") == 1
