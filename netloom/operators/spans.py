@@ -55,6 +55,19 @@ def overlapping(ranges: DataFrame, probes: DataFrame, cell: int = 4096) -> DataF
     return p.join(a, ["file", "cell"]).where("a < greatest(hi, lo + 1) AND lo < b").groupBy("file", "lo", "hi", "id").agg(F.min("width").alias("width"))
 
 
+def innermost(ranges: DataFrame, probes: DataFrame, cell: int = 4096) -> DataFrame:
+    """(file, lo, hi, id): of the nodes that :func:`overlapping` finds those of least width. Wider ones go before anything leaves its grid cell."""
+    end = F.greatest(F.col("hi"), F.col("lo") + 1)
+    dealt = F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((end - 1) / cell)))
+    wide = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit((1 << 63) - 1))
+    a = ranges.select("file", "id", F.col("lo").alias("a"), end.alias("b"), wide.alias("width"), dealt.alias("cell"))
+    p = probes.select("file", "lo", "hi").distinct().select("file", "lo", "hi", dealt.alias("cell"))
+    rows = p.join(a, ["file", "cell"]).where("a < greatest(hi, lo + 1) AND lo < b").select("file", "cell", "lo", "hi", "id", "width")
+    for place in (("file", "cell", "lo", "hi"), ("file", "lo", "hi")):
+        rows = rows.withColumn("least", F.min("width").over(Window.partitionBy(*place))).where("width = least").drop("least")
+    return rows.select("file", "lo", "hi", "id").distinct()
+
+
 def narrowest(hits: DataFrame, ties: bool = True) -> DataFrame:
     """The narrowest range over each probe: all of equal width, or with ``ties`` off the one of least id."""
     if ties:

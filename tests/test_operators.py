@@ -271,3 +271,42 @@ def test_name_collisions_deal_rows_once(spark):
     made = quality.name_collisions(nodes)
     assert sorted((r.name, r.n) for r in made.collect()) == [("b", 2), ("d", 2), ("e", 2)]
     assert made._jdf.queryExecution().sparkPlan().toString().count("RepartitionByExpression") + made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_to_wave_takes_the_anchor_then_its_path(spark):
+    """An anchor's own link, else that of the least linked node of its path; linked anchors aren't looked up by path, so theirs may be wide."""
+    from netloom.operators import probe
+
+    nodes = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, None), (6, "c"), (7, "c")], "id long, path string")
+    index = spark.createDataFrame([(2, 20), (3, 30), (6, None), (7, 70)], "node long, var_ref long")
+    anchors = spark.createDataFrame([(100, 1), (101, 3), (102, 4), (103, 5), (104, 6), (105, 9), (106, 1), (106, 7)], "probe long, anchor long")
+    got = {tuple(r) for r in probe.to_wave(anchors, nodes, index, "probe").collect()}
+    assert got == {(100, 20), (101, 30), (102, None), (104, 70), (106, 70)}
+
+
+def test_innermost_are_the_narrowest_that_overlap(spark):
+    import random
+
+    from netloom.operators import spans
+
+    rng = random.Random(5)
+    spot = lambda: (lambda lo: (rng.randrange(3), lo, lo + rng.choice((0, 1, 5, 40, 300))))(rng.randrange(200))
+    ranges = [(f, k % 40, lo, hi) for k in range(120) for f, lo, hi in [spot()]]
+    probes = [spot() for _ in range(80)]
+    made = spans.innermost(spark.createDataFrame(ranges, "file long, id long, lo long, hi long"), spark.createDataFrame(probes + probes, "file long, lo long, hi long"), cell=16)
+    got, want = sorted(tuple(r) for r in made.collect()), set()
+    for f, lo, hi in probes:
+        over = [(b - a if b > a else 1 << 62, i) for g, i, a, b in ranges if g == f and a < max(hi, lo + 1) and lo < max(b, a + 1)]
+        want |= {(f, lo, hi, i) for w, i in over if w == min(over)[0]}
+    assert got == sorted(want) and len(got) > 80
+
+
+def test_a_probe_leaves_its_cell_with_the_narrowest(spark):
+    """A position under many nested ranges: only the narrowest of a grid cell is shuffled on."""
+    from netloom.operators import spans
+
+    ranges = spark.range(500).selectExpr("1L AS file", "id", "id AS lo", "2000 - id AS hi")
+    plan = spans.innermost(ranges, spark.createDataFrame([(1, 900, 901)], "file long, lo long, hi long"), cell=4096)
+    assert [r.id for r in plan.collect()] == [499]
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Window") == 2 and "Aggregate [file" in text.splitlines()[0]
