@@ -225,6 +225,24 @@ class Scopes:
             rows = rows.withColumn(p, F.col(p).dropFields("at"))
         return rows
 
+    def pin_candidates(self, edges: DataFrame) -> DataFrame:
+        """edges (port, endpoint, dir, sel) as :meth:`candidates` gives them, as far as :meth:`net_pins` looks at them: in the scopes that show the port's box, which is a block of logic or a gate itself, else its parent.
+
+        So nothing above a box is worked out, and of the endpoint only its own row, its scope's pin and the operand behind it are.
+        """
+        shown = self.boxes.groupBy(F.col("box").alias("of")).agg(F.collect_list(F.struct("scope", "box", (F.col("kind") == "Instance").alias("inst"))).alias("at"))
+        logic = F.col("kind").isin(*LOGIC, *GATES)
+        ports = self.nodes.where(logic | (F.col("kind") == "Port")).select(F.col("id").alias("port"), F.struct("id", "kind", "parent").alias("p"), F.when(logic, F.col("id")).otherwise(F.col("parent")).alias("of"))
+        none = F.lit(None).cast("long")
+        few = self.own.select(F.col("node").alias("endpoint"), F.col("pin").alias("own"), none.alias("operand"))
+        if self.gates:
+            few = few.unionAll(fold_inverters(self.nodes.select("id", "kind"), self.edges).select("inverter", none, "operand"))
+        few = few.groupBy("endpoint").agg(F.max("own").alias("own"), F.max("operand").alias("operand"))
+        far = self.nodes.select(F.col("id").alias("endpoint"), "id", "kind", "parent").join(few, "endpoint", "left").select("endpoint", F.struct("id", "kind", "parent", "own", "operand").alias("q"))
+        rows = edges.join(ports.join(shown, "of").drop("of"), "port").join(far, "endpoint", "left")
+        rows = rows.withColumn("px", F.explode("at")).drop("at").withColumn("scope", F.col("px.scope"))
+        return rows.withColumn("qo", F.when(F.col("q.parent") == F.col("scope"), F.col("q.own"))).withColumn("rank", F.lit(0))
+
     def _bundled(self) -> DataFrame:
         """(scope, node, box, pin): members that exactly one bundle stands for."""
         return self.members.groupBy("scope", "node").agg(F.count("*").alias("n"), F.min("box").alias("mbox"), F.min("pin").alias("mpin")).where("n = 1").drop("n")
@@ -321,8 +339,7 @@ class Scopes:
 
     def pins(self) -> DataFrame:
         """(scope, key, pin, sel, drives): the nets of every scope as pins and membership."""
-        placed = self.placed(self.edges.select("port", "endpoint", "dir", "sel"))
-        return self.net_pins(self.candidates(placed).withColumn("rank", F.lit(0))).select("scope", "key", _written("pin").alias("pin"), "sel", "drives")
+        return self.net_pins(self.pin_candidates(self.edges.select("port", "endpoint", "dir", "sel"))).select("scope", "key", _written("pin").alias("pin"), "sel", "drives")
 
     def wires(self) -> DataFrame:
         """(scope, source, target, net, constant): every wire of every scope once for its two pins.
@@ -366,18 +383,19 @@ class Scopes:
         """(scope, box, signal): outputs of logic boxes and gates that no wire of the scope meets; a gate's by the net it drives, null if it drives none.
 
         No wire is drawn for it, so ``wires`` isn't needed; callers may still give it. What a pin meets on a signal are pins of the other side whose select is none, its own, or any if it has none; the least and the
-        greatest of those say whether there is another pin among them.
+        greatest of those say whether there is another pin among them. A signal has one row with those of either side, and one a side and select where there are selects.
         """
-        placed = self.placed(self.edges.select("port", "endpoint", "dir", "sel"))
-        pins = saved(self.net_pins(self.candidates(placed).withColumn("rank", F.lit(0))).select("scope", "key", "pin", "sel", "drives", "ord.fold", "known"), "pins")
-        one = F.concat(F.lit("="), "sel")
-        seen = pins.where("known").select("scope", "key", (~F.col("drives")).alias("drives"), F.explode(F.array(F.lit("any"), F.coalesce(one, F.lit("none")))).alias("slot"), "pin")
-        seen = seen.groupBy("scope", "key", "drives", "slot").agg(F.min("pin").alias("least"), F.max("pin").alias("most"))
-        mine = pins.where(F.col("pin.way") == _OF_BOX).withColumn("slot", F.explode(F.when(F.col("sel").isNull(), F.array(F.lit("any"))).otherwise(F.array(F.lit("none"), one))))
-        met = mine.join(seen, ["scope", "key", "drives", "slot"], "left")
-        met = met.groupBy("scope", F.col("pin.a").alias("box"), F.col("pin.b").alias("signal")).agg(
-            F.max(F.coalesce(F.col("known") & ((F.col("least") != F.col("pin")) | (F.col("most") != F.col("pin"))), F.lit(False))).alias("wired"), F.max((F.col("fold") == 1) & F.col("drives")).alias("out"), F.max(F.col("fold") == 5).alias("gate")
-        ).where("NOT wired AND (out OR gate)")
+        pins = saved(self.net_pins(self.pin_candidates(self.edges.select("port", "endpoint", "dir", "sel"))).select("scope", "key", "pin", "sel", "drives", "ord.fold", "known"), "pins")
+        drives, bare = F.col("drives"), F.col("sel").isNull()
+        ends = lambda name, when: F.when(F.count_if(when) > 0, F.struct(F.min(F.when(when, F.col("pin"))).alias("least"), F.max(F.when(when, F.col("pin"))).alias("most"))).alias(name)
+        seen = pins.where("known").groupBy("scope", "key").agg(ends("loads", ~drives), ends("bare_loads", ~drives & bare), ends("drivers", drives), ends("bare_drivers", drives & bare))
+        another = lambda c: F.coalesce(F.col("known") & ((c["least"] != F.col("pin")) | (c["most"] != F.col("pin"))), F.lit(False)).alias("wired")
+        mine = pins.where(F.col("pin.way") == _OF_BOX)
+        far = F.when(drives, F.when(bare, F.col("loads")).otherwise(F.col("bare_loads"))).otherwise(F.when(bare, F.col("drivers")).otherwise(F.col("bare_drivers")))
+        met = mine.join(seen, ["scope", "key"], "left").select("scope", F.col("pin.a").alias("box"), F.col("pin.b").alias("signal"), another(far), ((F.col("fold") == 1) & drives).alias("out"), (F.col("fold") == 5).alias("gate"))
+        same = pins.where("known AND sel IS NOT NULL").groupBy("scope", "key", (~drives).alias("drives"), "sel").agg(F.struct(F.min("pin").alias("least"), F.max("pin").alias("most")).alias("far"))
+        chosen = mine.where("sel IS NOT NULL").join(same, ["scope", "key", "drives", "sel"]).select("scope", F.col("pin.a"), F.col("pin.b"), another(F.col("far")), F.lit(False), F.lit(False))
+        met = met.unionAll(chosen).groupBy("scope", "box", "signal").agg(*[F.max(c).alias(c) for c in ("wired", "out", "gate")]).where("NOT wired AND (out OR gate)")
         found = met.where("NOT gate").select("scope", "box", "signal")
         if not self.gates:
             return found

@@ -118,3 +118,18 @@ def test_boxes_need_no_pins(spark):
     nodes = spark.createDataFrame([(0, "Instance", "top", "top", None, None, None, None), (1, "Assign", "a", "top.a", 0, None, None, None), (2, "And", "g", "top.a.g", 1, None, None, None)], NODES)
     made = scopegraph.Scopes(nodes, spark.createDataFrame([], EDGES), gates=True)
     assert [tuple(r) for r in made.boxes.collect()] == [(0, 2, "And")] and not made._tables
+
+
+def test_pins_need_nothing_above_a_box(spark, monkeypatch):
+    """Pins on nets and what dangles are told by a port's own box; a select meets its own and none, a pin without one meets any."""
+    nodes = [(0, "Instance", "top", "top", None)] + [(k, "Net", f"n{k}", f"top.n{k}", 0) for k in (1, 2)] + [(k, "Assign", f"a{k}", f"top.a{k}", 0) for k in (10, 11, 12, 13)]
+    edges = [("e1", 10, 1, "out", "[0]"), ("e2", 11, 1, "in", "[1]"), ("e3", 12, 2, "out", "[0]"), ("e4", 13, 2, "in", "[0]"), ("e5", 13, 1, "out", None)]
+    made = scopegraph.Scopes(spark.createDataFrame([n + (None, None, None) for n in nodes], "id long, kind string, name string, path string, parent long, dir string, modport string, const string"), spark.createDataFrame(edges, "edge string, port long, endpoint long, dir string, sel string"))
+
+    def none(*args, **more):
+        raise AssertionError("nothing above a box is asked for")
+
+    for name in ("nearest", "chains"):
+        monkeypatch.setattr(scopegraph.hierarchy, name, none)
+    assert sorted(tuple(r) for r in made.dangling().collect()) == [(0, 10, 1)]
+    assert {(r.pin, r.drives) for r in made.pins().collect()} == {("10/1", True), ("11/1", False), ("12/2", True), ("13/2", False), ("13/1", True)}
