@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators import graph, hierarchy
-from netloom.operators.schematic import GATES, LOGIC, bare_interfaces, fold_inverters, gate_children, navigable
+from netloom.operators.schematic import GATES, LOGIC, bare_interfaces, fold_inverters, navigable
 from netloom.operators.store import saved
 
 BOXES = ("Instance", "Interface", *LOGIC)
@@ -38,9 +38,9 @@ def scope_boxes(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
     return saved(out.join(scopes, "scope", "left_semi"), "boxes")
 
 
-def dissolved(nodes: DataFrame, edges: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``boxes`` at the gate level: combinational blocks give way to their gates, folded inverters left out; a block without gates stays, as do registers."""
-    inner = gate_children(nodes.select("id", "kind", "parent"), edges).join(nodes.select(F.col("id").alias("gate"), F.col("kind").alias("gate_kind")), "gate").withColumnRenamed("block", "box")
+def dissolved(nodes: DataFrame, folds: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``boxes`` at the gate level: combinational blocks give way to their gates, folded inverters (inverter) left out; a block without gates stays, as do registers."""
+    inner = nodes.where(F.col("kind").isin(*GATES)).select(F.col("id").alias("gate"), F.col("kind").alias("gate_kind"), F.col("parent").alias("box")).join(folds.select(F.col("inverter").alias("gate")), "gate", "left_anti")
     rows = boxes.join(inner, (boxes["box"] == inner["box"]) & boxes["kind"].isin("Comb", "Latch", "Assign"), "left")
     return rows.select("scope", F.coalesce("gate", boxes["box"]).alias("box"), F.coalesce("gate_kind", boxes["kind"]).alias("kind"))
 
@@ -145,17 +145,22 @@ class Scopes:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, gates: bool = False) -> None:
         self.nodes, self.edges, self.gates = nodes, edges, gates
+        self._tables: dict[str, DataFrame] = {}
         self.scopes = scopes_of(nodes)
         self.boxes = scope_boxes(nodes, self.scopes)
         if gates:
-            self.boxes = saved(dissolved(nodes, edges, self.boxes), "boxes")
-        self._tables: dict[str, DataFrame] = {}
+            self.boxes = saved(dissolved(nodes, self.folds, self.boxes), "boxes")
 
     def _once(self, name: str, made: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = saved(made(), name)
         return self._tables[name]
 
+    @property
+    def folds(self) -> DataFrame:
+        """(inverter, operand), found once."""
+        return self._once("folds", lambda: fold_inverters(self.nodes.select("id", "kind"), self.edges).select("inverter", "operand"))
+
     @property
     def own(self) -> DataFrame:
         return self._once("own", lambda: own_pins(self.nodes, self.scopes))
@@ -195,7 +200,7 @@ class Scopes:
         rows = few(self.own, "node", "own", F.col("pin")).unionAll(few(nodes.where("kind = 'Port'").select("id", "parent").join(bundles, "parent"), "id", "grand", F.col("grand")))
         rows = rows.unionAll(few(self.owners, "node", "home", F.struct((F.col("node") == F.col("owner")).alias("self"), "owner", "raw"))).unionAll(few(self.members, "node", "member", F.lit(True)))
         if self.gates:
-            rows = rows.unionAll(few(fold_inverters(self.nodes.select("id", "kind"), self.edges), "inverter", "operand", F.col("operand")))
+            rows = rows.unionAll(few(self.folds, "inverter", "operand", F.col("operand")))
         rows = rows.groupBy("id").agg(*[F.max(c).alias(c) for c in none])
         place = F.struct("id", "kind", "parent", "bundle", "tie", *none, F.coalesce("at", F.array().cast("array<struct<scope: bigint, box: bigint, inst: boolean, iface: boolean>>")).alias("at"))
         return found.join(at, "ancestor", "left").join(rows, "id", "left").select("id", place.alias("place"))
@@ -236,7 +241,7 @@ class Scopes:
         none = F.lit(None).cast("long")
         few = self.own.select(F.col("node").alias("endpoint"), F.col("pin").alias("own"), none.alias("operand"))
         if self.gates:
-            few = few.unionAll(fold_inverters(self.nodes.select("id", "kind"), self.edges).select("inverter", none, "operand"))
+            few = few.unionAll(self.folds.select("inverter", none, "operand"))
         few = few.groupBy("endpoint").agg(F.max("own").alias("own"), F.max("operand").alias("operand"))
         far = self.nodes.select(F.col("id").alias("endpoint"), "id", "kind", "parent").join(few, "endpoint", "left").select("endpoint", F.struct("id", "kind", "parent", "own", "operand").alias("q"))
         rows = edges.join(ports.join(shown, "of").drop("of"), "port").join(far, "endpoint", "left")
